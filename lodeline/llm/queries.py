@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from lodeline.llm import decontaminate
+from lodeline.llm.decontaminate import op9_decontaminate
 from lodeline.llm.simhash import op6_simhash_near_dedup
 
 QUERIES = {
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op9_decontaminate": op9_decontaminate,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_decontaminate": decontaminate.ORACLE_SQL,
+}
