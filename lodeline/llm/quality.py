@@ -173,7 +173,7 @@ def document_odds(odds: np.ndarray, chars: np.ndarray, lines: np.ndarray) -> np.
     return np.log(p / (1 - p))
 
 
-def fit(own: list[np.ndarray], chars: list[np.ndarray], labels: np.ndarray, rounds: int = 150, ridge: float = 1e-3) -> Crf:
+def fit(own: list[np.ndarray], chars: list[np.ndarray], labels: np.ndarray, rounds: int = 250, ridge: float = 1e-5) -> Crf:
     """Maximum likelihood by Adam, then a logistic calibration of the documents' odds."""
     if len(set(labels.tolist())) < 2:
         constant = 0.5 if not len(labels) else float((labels.sum() + 0.5) / (len(labels) + 1))

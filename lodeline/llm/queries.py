@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from lodeline.llm import decontaminate
 from lodeline.llm.decontaminate import op9_decontaminate
+from lodeline.llm.quality import op2_quality_crf
 from lodeline.llm.simhash import op6_simhash_near_dedup
 
 QUERIES = {
+    "op2_quality_crf": op2_quality_crf,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op9_decontaminate": op9_decontaminate,
 }
