@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from lodeline.llm import decontaminate, mixing
+from lodeline.llm import decontaminate, linededup, mixing
 from lodeline.llm.decontaminate import op9_decontaminate
+from lodeline.llm.linededup import op5_line_dedup
 from lodeline.llm.mixing import op3_mix_sources
 from lodeline.llm.quality import op2_quality_crf
 from lodeline.llm.simhash import op6_simhash_near_dedup
@@ -13,11 +14,13 @@ QUERIES = {
     "op1_token_sstable": op1_token_sstable,
     "op2_quality_crf": op2_quality_crf,
     "op3_mix_sources": op3_mix_sources,
+    "op5_line_dedup": op5_line_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op9_decontaminate": op9_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_line_dedup": linededup.ORACLE_SQL,
     "op3_mix_sources": mixing.ORACLE_SQL,
     "op9_decontaminate": decontaminate.ORACLE_SQL,
 }
