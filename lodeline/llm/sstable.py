@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import bisect
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -27,7 +28,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-import regex
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -223,8 +223,13 @@ class Reader:
         return out
 
 
-#: Bytes of texts that any Unicode version splits alike: printable ASCII, tab and line ends, and U+00C0 to U+04FF.
-_PLAIN = bytes([9, 10, 13, *range(32, 127), *range(0x80, 0xC0), *range(0xC3, 0xD4)])
+#: Bytes of texts that are cut into pieces as bytes: printable ASCII, tab and line ends, and U+00C0 to U+023F, which are
+#: letters in every Unicode version but for the two signs in _SIGNS. All other texts go to the tokenizer whole.
+_PLAIN = bytes([9, 10, 13, *range(32, 127), *range(0x80, 0xC0), *range(0xC3, 0xC9)])
+_SIGNS = (b"\xc3\x97", b"\xc3\xb7")
+#: The byte-level pre-tokenizer's public pattern, over such bytes.
+_PIECES = re.compile(rb"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z\x80-\xff]+| ?[0-9]+| ?[!-/:-@\[-`{-~]+|\s+(?!\S)|\s+")
+_WORD = re.compile(rb" [A-Za-z\x80-\xff]+").fullmatch
 _CACHE_PIECES = 700_000
 _LONG = 1 << 18
 
@@ -246,20 +251,33 @@ class Encoder:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         self.pieces = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
-        self.find = regex.compile(public_tokenizers.PATTERN).findall
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.cache: dict[str, bytes] = {}
-
-    def _slow(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.cache: dict[bytes, bytes] = {}
+
+    def _slow(self, text: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, f"<u{self.width}").tobytes()
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Remember the ids of pieces; words after a space are encoded side by side and told apart by their word numbers."""
+        words = [p for p in pieces if _WORD(p)]
+        if words:
+            found = self.tokenizer.encode_batch_fast([b"".join(words).decode()], add_special_tokens=False)[0]
+            ids, place = np.array(found.ids, f"<u{self.width}"), np.array(found.word_ids)
+            edges = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1, [len(ids)]])
+            if len(edges) == len(words) + 1:
+                data, at = ids.tobytes(), (edges * self.width).tolist()
+                self.cache.update((w, data[a:b]) for w, a, b in zip(words, at[:-1], at[1:], strict=True))
+        for p in pieces:
+            if p not in self.cache:
+                self.cache[p] = self._slow(p)
 
     @staticmethod
-    def _parts(text: str) -> Iterator[str]:
+    def _parts(text: bytes) -> Iterator[bytes]:
         """Cuts a long text before a space or line end that follows another character: always an edge of pieces."""
         at = 0
         while len(text) - at > _LONG:
             cut = at + _LONG
-            while cut < len(text) and not (text[cut] in " \n" and not text[cut - 1].isspace()):
+            while cut < len(text) and not (text[cut] in b" \n" and text[cut - 1] > 32):
                 cut += 1
             yield text[at:cut]
             at = cut
@@ -267,19 +285,18 @@ class Encoder:
 
     def encode(self, text: bytes) -> bytes:
         """Ids of a whole UTF-8 text, as little-endian integers of ``width`` bytes."""
-        whole = text.decode()
-        if not self.pieces or text.translate(None, _PLAIN):
-            return self._slow([whole])[0]
+        if not self.pieces or text.translate(None, _PLAIN) or any(s in text for s in _SIGNS):
+            return self._slow(text)
         out, cache = [], self.cache
-        for part in self._parts(whole):
-            pieces = self.find(part)
-            new = list(set(pieces).difference(cache))
+        for part in self._parts(text):
+            pieces = _PIECES.findall(part)
+            new = set(pieces).difference(cache)
             if new:
                 if len(cache) + len(new) > _CACHE_PIECES:
                     cache.clear()
-                    new = list(set(pieces))
-                cache.update(zip(new, self._slow(new), strict=True))
-            out += map(cache.__getitem__, pieces)
+                    new = set(pieces)
+                self._learn(list(new))
+            out.append(b"".join(map(cache.__getitem__, pieces)))
         return b"".join(out)
 
 
