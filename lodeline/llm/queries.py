@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from lodeline.llm import decontaminate, linededup, mixing
 from lodeline.llm.decontaminate import op9_decontaminate
+from lodeline.llm.htmltext import op8_html_text
 from lodeline.llm.linededup import op5_line_dedup
 from lodeline.llm.mixing import op3_mix_sources
 from lodeline.llm.quality import op2_quality_crf
+from lodeline.llm.rules import op7_quality_rules
 from lodeline.llm.simhash import op6_simhash_near_dedup
 from lodeline.llm.sstable import op1_token_sstable
 
@@ -16,6 +18,8 @@ QUERIES = {
     "op3_mix_sources": op3_mix_sources,
     "op5_line_dedup": op5_line_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_html_text": op8_html_text,
     "op9_decontaminate": op9_decontaminate,
 }
 
