@@ -7,6 +7,7 @@ from lodeline.llm.decontaminate import op9_decontaminate
 from lodeline.llm.htmltext import op8_html_text
 from lodeline.llm.linededup import op5_line_dedup
 from lodeline.llm.mixing import op3_mix_sources
+from lodeline.llm.pii import op10_pii
 from lodeline.llm.quality import op2_quality_crf
 from lodeline.llm.rules import op7_quality_rules
 from lodeline.llm.simhash import op6_simhash_near_dedup
@@ -21,6 +22,7 @@ QUERIES = {
     "op7_quality_rules": op7_quality_rules,
     "op8_html_text": op8_html_text,
     "op9_decontaminate": op9_decontaminate,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {
