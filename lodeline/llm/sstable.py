@@ -230,7 +230,7 @@ _SIGNS = (b"\xc3\x97", b"\xc3\xb7")
 #: The byte-level pre-tokenizer's public pattern, over such bytes.
 _PIECES = re.compile(rb"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z\x80-\xff]+| ?[0-9]+| ?[!-/:-@\[-`{-~]+|\s+(?!\S)|\s+")
 _WORD = re.compile(rb" [A-Za-z\x80-\xff]+").fullmatch
-_CACHE_PIECES = 700_000
+_CACHE_PIECES = 400_000
 _LONG = 1 << 18
 
 
@@ -261,7 +261,7 @@ class Encoder:
         """Remember the ids of pieces; words after a space are encoded side by side and told apart by their word numbers."""
         words = [p for p in pieces if _WORD(p)]
         if words:
-            found = self.tokenizer.encode_batch_fast([b"".join(words).decode()], add_special_tokens=False)[0]
+            found = self.tokenizer.encode(b"".join(words).decode(), add_special_tokens=False)
             ids, place = np.array(found.ids, f"<u{self.width}"), np.array(found.word_ids)
             edges = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1, [len(ids)]])
             if len(edges) == len(words) + 1:
