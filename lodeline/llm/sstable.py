@@ -4,7 +4,7 @@ Texts are dealt by ranges of doc_id and sorted, each range becomes one shard. A
 keys are prefix-compressed from restart points, then a sparse index (first key and place of each block), a Bloom filter
 over all keys, and a footer. A lookup asks the filter, bisects the index, and bisects one block's restart points.
 
-File: blocks | index | filter | footer. A block is zlib data of ``entries | restart offsets (u32) | their number (u32)``
+File: blocks | index | filter | footer. A block is zstd data of ``entries | restart offsets (u32) | their number (u32)``
 with a crc32 after it; an entry is ``shared | unshared | value length`` as varints, the key's rest, and the ids.
 Keys order as ids do: null first, then integers, then strings; a repeated id repeats its key.
 
@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -125,7 +126,7 @@ class Writer:
     def _flush(self):
         if self.count:
             raw = b"".join(self.block) + struct.pack(f"<{len(self.restarts) + 1}I", *self.restarts, len(self.restarts))
-            data = zlib.compress(raw, 1)
+            data = zstandard.ZstdCompressor(level=1).compress(raw)
             data += struct.pack("<I", zlib.crc32(data))
             self.out.write(data)
             self.index.append((self.head, self.at, len(data)))
@@ -143,7 +144,7 @@ class Writer:
                 # Python integers, as a reader's probes must not wrap at 64 bits.
                 at = np.array([(int(x) + i * int(y)) % bits for x, y in zip(a, b, strict=True)], np.int64)
                 np.bitwise_or.at(bloom, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        index = zlib.compress(index, 1)
+        index = zstandard.ZstdCompressor(level=1).compress(index)
         self.out.write(index + bloom.tobytes())
         self.out.write(_FOOTER.pack(self.at, len(index), len(bloom), bits, self.docs, self.tokens, self.width, zlib.crc32(index + bloom.tobytes()), MAGIC))
 
@@ -162,7 +163,7 @@ class Reader:
         if zlib.crc32(both) != crc:
             raise ValueError("shard index is damaged")
         self.bloom = both[index:]
-        raw, self.keys, self.places, i = zlib.decompress(both[:index]), [], [], 0
+        raw, self.keys, self.places, i = zstandard.ZstdDecompressor().decompress(both[:index]), [], [], 0
         while i < len(raw):
             n, i = _read_varint(raw, i)
             self.keys.append(raw[i : i + n])
@@ -176,7 +177,7 @@ class Reader:
         data = self.file.read(n)
         if zlib.crc32(data[:-4]) != struct.unpack("<I", data[-4:])[0]:
             raise ValueError("shard block is damaged")
-        raw = zlib.decompress(data[:-4])
+        raw = zstandard.ZstdDecompressor().decompress(data[:-4])
         n = struct.unpack("<I", raw[-4:])[0]
         return raw[: -4 * n - 4], list(struct.unpack(f"<{n}I", raw[-4 * n - 4 : -4]))
 
