@@ -44,7 +44,7 @@ R.add("ss_all", lambda s, d: _told(summary.statistics(summary.collect(_line(s, d
 R.add("ss_by_group", lambda s, d: _told(summary.statistics(summary.collect(_line(s, d), "value", "place", ["flag"]), ["flag"]), "flag"), _stats_sql("group by flag", "flag, "))
 R.add("ss_merge", lambda s, d: _told(summary.statistics(summary.merge(summary.collect(_line(s, d), "value", "place", ["flag", "part"]), ["flag"]), ["flag"]), "flag"), _stats_sql("group by flag", "flag, "))
 R.add("ss_running", lambda s, d: summary.running(_line(s, d).filter("place < 300"), "value", "place", ["flag"], 2).select("flag", "place", "count", "min", "max", "sum", "first", "last"),
-      f"with {_L} select flag, place, " + ", ".join(f'round({c} over w, 2) as "{k}"' for k, c in {"count": "count(*)", "min": "min(value)", "max": "max(value)", "sum": "sum(value)", "first": "first_value(value)", "last": "last_value(value)"}.items()) + " from l where place < 300 window w as (partition by flag order by place rows between unbounded preceding and current row)")
+      f"with {_L} select flag, place, " + ", ".join(f'round(cast({c} over w as double), 2) as "{k}"' for k, c in {"count": "count(*)", "min": "min(value)", "max": "max(value)", "sum": "sum(value)", "first": "first_value(value)", "last": "last_value(value)"}.items()) + " from l where place < 300 window w as (partition by flag order by place rows between unbounded preceding and current row)")
 R.add("ss_named_rows", lambda s, d: summary.as_rows(summary.statistics(summary.collect(_line(s, d), "value", "place", ["flag"]), ["flag"], 2), ["flag"]).filter("name in ('count', 'avg', 'max')").select("flag", "name", "value"),
       f"with {_L}, x as (select flag, cast(count(*) as double) c, round(avg(value), 2) a, round(max(value), 2) m from l group by flag) select flag, 'count' as name, c as value from x union all select flag, 'avg', a from x union all select flag, 'max', m from x")
 
@@ -69,7 +69,7 @@ _RING = "with r as (select 'u' || user_id as key, event_id seq, event_type item
 R.add("ring_last", lambda s, d: containers.ring(_items(s, d), 5).select("key", F.array_join("items", ",").alias("items"), "n_items"), f"{_RING} select key, string_agg(item, ',' order by seq) items, count(*) n_items from r group by key")
 R.add("ring_popped", lambda s, d: containers.ring(_items(s, d), 5, 2).select("key", F.array_join("items", ",").alias("items")), "with r as (select 'u' || user_id as key, event_id seq, event_type item, row_number() over (partition by user_id order by event_id desc) p, count(*) over (partition by user_id) n from events), k as (select key, list(item order by seq) i from r where p <= 5 group by key) select key, array_to_string(i[3:], ',') items from k")
 _queue = lambda s, d: table(s, d, "events").select(F.col("event_type").alias("queue"), F.col("event_id").alias("seq"), F.col("props").alias("val"), F.when(F.col("event_id") % 3 == 0, F.lit(1)).otherwise(0).alias("expires_us"))
-_QUEUE = "q as (select event_type queue, event_id seq, props val, row_number() over (partition by event_type order by event_id) place from events where event_id % 3 <> 0)"
+_QUEUE = "q as (select event_type queue, event_id seq, props val, cast(row_number() over (partition by event_type order by event_id) as integer) place from events where event_id % 3 <> 0)"
 R.add("queue_pop", lambda s, d: containers.queue_pop(_queue(s, d), 1000, 3), f"with {_QUEUE} select queue, place, val from q where place <= 3")
 R.add("queue_rest", lambda s, d: containers.queue_rest(_queue(s, d).filter("expires_us = 0"), 3).select("queue", "seq"), f"with {_QUEUE} select queue, seq from q where place > 3")
 _hash = lambda s, d: table(s, d, "events").groupBy(F.col("user_id").cast("string").alias("name"), F.col("event_type").alias("field")).agg(F.max("event_id").cast("string").alias("val"))
@@ -238,7 +238,7 @@ R.add("state_counter", lambda s, d: state.fold(_sops(s, d).withColumn("op", F.li
 R.add("state_queue", lambda s, d: state.fold(_sops(s, d), state.queue))
 R.add("state_ring", lambda s, d: state.fold(_sops(s, d), state.ring(5)))
 R.add("state_register", lambda s, d: state.fold(_sops(s, d).withColumn("op", F.when(F.col("seq") % 3 == 0, F.lit("set")).otherwise(F.lit("cas"))).withColumn("arg", F.when(F.col("seq") % 3 == 0, F.lit("a")).otherwise(F.lit("a:b"))), state.register))
-R.add("window_counts", lambda s, d: state.windowed_counts(_ev(s, d)).select(F.col("w.start").alias("day"), "event_type", "n", F.round("total", 2).alias("total")), "select date_trunc('day', ts) as day, event_type, count(*) n, round(sum(value), 2) total from events group by 1, 2")
+R.add("window_counts", lambda s, d: state.windowed_counts(_ev(s, d)).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 2).alias("total")), "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) n, round(sum(value), 2) total from events group by 1, 2")
 _zone = lambda s, d: table(s, d, "customer").select(F.concat(F.when(F.col("c_custkey") % 2 == 0, F.lit("+")).otherwise(F.lit("-")), F.lit(":2024-01-"), F.lpad((F.col("c_custkey") % 28 + 1).cast("string"), 2, "0"), F.lit(":d"), F.col("c_custkey").cast("string"), F.lit(".com:ns1")).alias("value"))
 R.add("zone_rows", lambda s, d: files.zone_rows(_zone(s, d)), "with z as (select case when c_custkey % 2 = 0 then '+' else '-' end op, '2024-01-' || lpad(cast(c_custkey % 28 + 1 as varchar), 2, '0') dt, 'd' || c_custkey || '.com' dom from customer) select 'domain~' || dom || '~' || dt as key, op || ',ns1' as val from z union all select 'date~' || dt || '~' || dom, op || ',ns1' from z")
 _tsv = lambda s, d: table(s, d, "customer").select(F.concat_ws("\t", F.concat(F.lit("k"), (F.col("c_custkey") % 200).cast("string")), F.concat(F.lit("v"), F.col("c_custkey").cast("string")), F.lit("more")).alias("value"), F.lpad(F.col("c_custkey").cast("string"), 9, "0").alias("path"))
