@@ -37,8 +37,10 @@ def decode(key: Column, dims: int) -> Column:
     width = -(-dims * bits // 4)
     pad = width * 4 - dims * bits
     flat = F.concat(*[F.lpad(F.conv(F.substring(key, i + 1, 1), 16, 2), 4, "0") for i in range(width)])
-    out = []
-    for d in range(dims):
-        digits = F.concat(*[F.substring(flat, pad + i * dims + (dims - 1 - d) + 1, 1) for i in range(bits)])
-        out.append(F.conv(digits, 2, 10).cast("bigint"))
-    return F.array(*out)
+
+    def split(digits: Column) -> Column:
+        own = lambda d: F.concat(*[F.substring(digits, pad + i * dims + (dims - 1 - d) + 1, 1) for i in range(bits)])
+        return F.array(*[F.conv(own(d), 2, 10).cast("bigint") for d in range(dims)])
+
+    # A one-element array binds the digits to a name, so they are written once and not once for every bit.
+    return F.get(F.transform(F.array(flat), split), F.lit(0))

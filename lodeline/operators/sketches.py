@@ -45,9 +45,9 @@ def hll_estimate(registers: DataFrame, by: list[str] | None = None) -> DataFrame
     """(by, estimate): harmonic mean of the registers, by linear counting while many are empty."""
     m = float(1 << HLL_BITS)
     alpha = 0.7213 / (1 + 1.079 / m)
-    found = registers.groupBy(*(by or [])).agg(F.sum(F.pow(F.lit(2.0), -F.col("rank"))).alias("s"), F.count(F.lit(1)).alias("n"))
-    empty = F.lit(m) - F.col("n")
-    raw = alpha * m * m / (F.coalesce("s", F.lit(0.0)) + empty)
+    found = registers.groupBy(*(by or [])).agg(F.sum(F.pow(F.lit(2.0), -F.col("rank"))).alias("_hll_sum"), F.count(F.lit(1)).alias("_hll_n"))
+    empty = F.lit(m) - F.col("_hll_n")
+    raw = alpha * m * m / (F.coalesce("_hll_sum", F.lit(0.0)) + empty)
     return found.select(*(by or []), F.when((raw <= 2.5 * m) & (empty > 0), m * F.log(F.lit(m) / empty)).otherwise(raw).alias("estimate"))
 
 
