@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from lodeline.functions import session
 from lodeline.operators import scan, store
 from lodeline.plans.base import Registry, table
 
@@ -163,3 +164,4 @@ R.add("kv_rename", lambda s, d: store.copy(log(s, d), _moves(s, d), NOW, move=Tr
 R.add("kv_renamenx", lambda s, d: store.copy(log(s, d), _moves(s, d), NOW, move=True, absent_only=True), f"with {LOG}, {_REQ} {_COPY}{_FREE} union all select r.key, '', {_NEW.replace('false', 'true')} from r join live l on r.key = l.key{_FREE}")
 R.add("kv_apply", lambda s, d: store.live(reduce(lambda a, b: a.unionByName(b), [log(s, d), store.delete(_BULK(s, d), NOW)]), NOW).select("key", "val"), f"with {LOG} select key, val from live where not {_PRE}")
 R.add("kv_hash_fields", lambda s, d: store.fields(log(s, d), "8", NOW), f"with {LOG} select split_part(key, '~', 2) field, val from live where starts_with(key, '8~')")
+R.add("session_constants", lambda s, d: session.constants(s, "hello"), f"select {store.MAX_KEY} max_key, {store.MAX_VAL} max_val, '{session.VERSION}' as version, 'string' as type, 'hello' echo")
