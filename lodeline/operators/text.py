@@ -35,9 +35,11 @@ def hybrid(words: Column, n: int = 3) -> Column:
     return F.array_sort(F.array_distinct(F.concat(grams(words, n), words)))
 
 
-def postings(rows: DataFrame, terms: Column, sort: str, sub: str) -> DataFrame:
-    """(word, sort, sub), one row for each term of each document."""
-    return rows.select(F.explode(terms).alias("word"), F.col(sort).alias("sort"), F.col(sub).alias("sub"))
+def postings(rows: DataFrame, terms: Column, sort: str, sub: str, only: list[str] | None = None) -> DataFrame:
+    """(word, sort, sub), one row for each distinct term of each document; with ``only`` of those words alone, which
+    spares a search over unindexed text all other rows."""
+    found = F.array_distinct(terms) if only is None else F.array_intersect(terms, F.array(*[F.lit(w) for w in sorted(set(only))]))
+    return rows.select(F.explode(found).alias("word"), F.col(sort).alias("sort"), F.col(sub).alias("sub"))
 
 
 def search_word(index: DataFrame, word: str, n: int) -> DataFrame:

@@ -151,15 +151,15 @@ R.add("geo_encode", lambda s, d: _places(s, d).select("name", geohash.encode(F.c
 
 # Text
 
-_docs = lambda s, d: table(s, d, "documents").select("doc_id", "source", F.array_sort(F.array_distinct(F.filter(F.split(F.translate(F.lower("text"), "\n.,", "   "), " ", -1), lambda w: F.length(w) > 0))).alias("words"))
+_docs = lambda s, d: table(s, d, "documents").select("doc_id", "source", F.filter(F.split(F.translate(F.lower("text"), "\n.,", "   "), " ", -1), lambda w: F.length(w) > 0).alias("words"))
 _WORDS = "t as (select doc_id, source, list_distinct(list_filter(string_split(translate(lower(text), chr(10) || '.,', '   '), ' '), lambda w: len(w) > 0)) words from documents)"
-_post = lambda s, d: text.postings(_docs(s, d), F.col("words"), "source", "doc_id")
+_post = lambda s, d, only=None: text.postings(_docs(s, d), F.col("words"), "source", "doc_id", only)
 _POST = f"{_WORDS}, i as (select source sort, doc_id sub, unnest(words) word from t)"
 R.add("fts_index", lambda s, d: _post(s, d).groupBy("word").agg(F.count(F.lit(1)).alias("n")), f"with {_POST} select word, count(*) n from i group by word")
-R.add("fts_word", lambda s, d: text.search_word(_post(s, d), "than", 30), f"with {_POST} select sort, sub from i where word = 'than' order by sort, sub limit 30")
-R.add("fts_all", lambda s, d: text.search_all(_post(s, d), ["the", "than", "with", "the"], 40), f"with {_POST} select sort, sub from i where word in ('the', 'than', 'with') group by sort, sub having count(*) = 3 order by sort, sub limit 40")
-R.add("fts_any", lambda s, d: text.search_any(_post(s, d), ["than", "with", "von", "unknownword"], 40), f"with {_POST} select sort, sub, count(*) matches from i where word in ('than', 'with', 'von', 'unknownword') group by sort, sub order by matches desc, sort, sub limit 40")
-R.add("fts_all_unknown", lambda s, d: text.search_all(_post(s, d), ["the", "unknownword"], 40), f"with {_POST} select sort, sub from i where word in ('the', 'unknownword') group by sort, sub having count(*) = 2 order by sort, sub limit 40")
+R.add("fts_word", lambda s, d: text.search_word(_post(s, d, ["than"]), "than", 30), f"with {_POST} select sort, sub from i where word = 'than' order by sort, sub limit 30")
+R.add("fts_all", lambda s, d: text.search_all(_post(s, d, ["the", "than", "with", "the"]), ["the", "than", "with", "the"], 40), f"with {_POST} select sort, sub from i where word in ('the', 'than', 'with') group by sort, sub having count(*) = 3 order by sort, sub limit 40")
+R.add("fts_any", lambda s, d: text.search_any(_post(s, d, ["than", "with", "von", "unknownword"]), ["than", "with", "von", "unknownword"], 40), f"with {_POST} select sort, sub, count(*) matches from i where word in ('than', 'with', 'von', 'unknownword') group by sort, sub order by matches desc, sort, sub limit 40")
+R.add("fts_all_unknown", lambda s, d: text.search_all(_post(s, d, ["the", "unknownword"]), ["the", "unknownword"], 40), f"with {_POST} select sort, sub from i where word in ('the', 'unknownword') group by sort, sub having count(*) = 2 order by sort, sub limit 40")
 R.add("fts_stale", lambda s, d: text.stale(_post(s, d).filter("sub < 100"), _post(s, d).filter("sub < 60 and word < 'm'")), f"with {_POST} select sub, word, sort from i where sub < 60 and word >= 'm' and sub in (select sub from i where word < 'm')")
 _named = lambda s, d: table(s, d, "part").select(F.col("p_partkey").alias("sub"), F.col("p_brand").alias("sort"), F.split("p_name", " ").alias("words"))
 _GRAMS = "n as (select p_partkey sub, p_brand sort, unnest(string_split(p_name, ' ')) w from part), g as (select distinct sort, sub, case when len(w) <= 3 then w else substr(w, k, 3) end word from (select *, unnest(range(1, greatest(len(w) - 1, 2))) k from n))"
