@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from lodeline.functions.hashing import mixer64
 
 SCALES = {"I16": 32767.0, "I8": 127.0}
+#: Queries that go to all rows at once; more are taken in blocks.
+QUERY_BLOCK = 1000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -112,11 +114,19 @@ def nearest(rows: DataFrame, query, metric: str, k: int, vector: str = "v", name
 
 
 def nearest_each(rows: DataFrame, queries: DataFrame, metric: str, k: int, vector: str = "v", name: str = "name") -> DataFrame:
-    """The k nearest of each of a stated set of queries (query, q); queries go to the rows, and a bounded top-k leaves
-    each partition before the shuffle."""
+    """The k nearest of each of a stated set of queries (query, q).
+
+    Queries go to the rows in blocks of about QUERY_BLOCK; ranking keeps k of each query in every partition before the
+    shuffle (WindowGroupLimit), so what moves is bounded by k a query and partition.
+    """
     from pyspark.sql.window import Window
 
-    pairs = rows.join(F.broadcast(queries), F.lit(True)).select("query", name, distance(metric, F.col("q"), F.col(vector)).alias("distance"))
+    blocks = -(-max(1, queries.count()) // QUERY_BLOCK)
+    block = F.pmod(F.xxhash64("query"), F.lit(blocks))
+    pairs = None
+    for b in range(blocks):
+        some = rows.join(F.broadcast(queries.filter(block == b)), F.lit(True)).select("query", name, distance(metric, F.col("q"), F.col(vector)).alias("distance"))
+        pairs = some if pairs is None else pairs.unionByName(some)
     w = Window.partitionBy("query").orderBy("distance", name)
     return pairs.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 

@@ -24,7 +24,7 @@ def tsv_rows(lines: DataFrame, base64: bool = False, now: int = 0) -> DataFrame:
     rows = rows.filter(F.length("key") > 0)
     files = rows.select("path").distinct()
     order = files.select("path", F.dense_rank().over(_window("path")).alias("file"))
-    return rows.join(F.broadcast(order), "path").select(
+    return rows.join(order, "path").select(
         "key", "val", F.lit(now).cast("long").alias("created_us"), F.lit(0).cast("long").alias("expires_s"), (F.length("val") == 0).alias("is_tombstone"), (F.col("file").cast("long") * (1 << 50) + F.col("at")).alias("seq")
     )
 
