@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step takes at once; bounds the worker's memory whatever the batch size.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
+#: Most bytes of an Arrow batch that goes to a Python worker: what it and the JVM hold of it at once.
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,7 +55,10 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, so that their Python workers can import it wherever they start."""
+    """Send this package to the executors, so that their Python workers can import it wherever they start; keep the
+    batches they get small."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     sc = spark.sparkContext
     if getattr(sc, "_lodeline_shipped", False):
         return
