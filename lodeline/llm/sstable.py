@@ -230,7 +230,16 @@ _PLAIN = bytes([9, 10, 13, *range(32, 127), *range(0x80, 0xC0), *range(0xC3, 0xC
 _SIGNS = (b"\xc3\x97", b"\xc3\xb7")
 #: The byte-level pre-tokenizer's public pattern, over such bytes.
 _PIECES = re.compile(rb"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z\x80-\xff]+| ?[0-9]+| ?[!-/:-@\[-`{-~]+|\s+(?!\S)|\s+")
-_WORD = re.compile(rb" [A-Za-z\x80-\xff]+").fullmatch
+
+
+def _alphabet() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for U+0100 onwards, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_ALPHABET = _alphabet()
 _CACHE_PIECES = 400_000
 _LONG = 1 << 18
 
@@ -253,24 +262,17 @@ class Encoder:
         pre = spec.get("pre_tokenizer") or {}
         self.pieces = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.bytes_of = [i.to_bytes(self.width, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.cache: dict[bytes, bytes] = {}
 
     def _slow(self, text: bytes) -> bytes:
         return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, f"<u{self.width}").tobytes()
 
-    def _learn(self, pieces: list[bytes]) -> None:
-        """Remember the ids of pieces; words after a space are encoded side by side and told apart by their word numbers."""
-        words = [p for p in pieces if _WORD(p)]
-        if words:
-            found = self.tokenizer.encode(b"".join(words).decode(), add_special_tokens=False)
-            ids, place = np.array(found.ids, f"<u{self.width}"), np.array(found.word_ids)
-            edges = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1, [len(ids)]])
-            if len(edges) == len(words) + 1:
-                data, at = ids.tobytes(), (edges * self.width).tolist()
-                self.cache.update((w, data[a:b]) for w, a, b in zip(words, at[:-1], at[1:], strict=True))
+    def _learn(self, pieces: set[bytes]) -> None:
+        """Remember the ids of pieces. They are what the pre-tokenizer would cut, so they go to the model itself."""
+        model, two = self.tokenizer.model, self.bytes_of
         for p in pieces:
-            if p not in self.cache:
-                self.cache[p] = self._slow(p)
+            self.cache[p] = b"".join([two[t.id] for t in model.tokenize(p.decode("latin-1").translate(_ALPHABET))])
 
     @staticmethod
     def _parts(text: bytes) -> Iterator[bytes]:
@@ -296,7 +298,7 @@ class Encoder:
                 if len(cache) + len(new) > _CACHE_PIECES:
                     cache.clear()
                     new = set(pieces)
-                self._learn(list(new))
+                self._learn(new)
             out.append(b"".join(map(cache.__getitem__, pieces)))
         return b"".join(out)
 
