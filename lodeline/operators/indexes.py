@@ -8,6 +8,22 @@ from pyspark.sql import functions as F
 from lodeline.functions import geohash, zorder
 
 
+def current(versions: DataFrame, by: tuple[str, ...] = ("sub",), version: str = "version", dead: str = "is_tombstone") -> DataFrame:
+    """The newest version of each entry of an index, without those deleted: what adding and removing leave behind.
+
+    Moving an entry needs no stale rows taken out, as its dimensions are columns of the one newest row.
+    """
+    rest = [c for c in versions.columns if c not in by]
+    newest = versions.groupBy(*by).agg(F.max_by(F.struct(*rest), version).alias("_v"))
+    return newest.select(*by, *[F.col(f"_v.{c}").alias(c) for c in rest]).filter(~F.col(dead)).drop(dead)
+
+
+def lookup(entries: DataFrame, requests: DataFrame, *columns: str) -> DataFrame:
+    """requests (sub) with chosen columns of the entries, null where absent, and whether they exist."""
+    found = entries.select("sub", *columns, F.lit(True).alias("_there"))
+    return requests.join(found, "sub", "left").select("sub", *columns, F.coalesce("_there", F.lit(False)).alias("exists"))
+
+
 def composite_range(rows: DataFrame, dims: list[str], equal: list, n: int, after: tuple | None = None, sort: str = "sort", sub: str = "sub") -> DataFrame:
     """Rows whose leading dims equal the given values, ordered by the other dims, sort and sub; a keyset page of n.
 

@@ -170,6 +170,14 @@ def swap(log: DataFrame, requests: DataFrame, now: int) -> DataFrame:
     return requests.join(live(log, now).select("key", F.col("val").alias("old")), "key", "left").select("key", F.coalesce("old", F.lit("")).alias("old"), "val")
 
 
+def get_and(log: DataFrame, keys: DataFrame, now: int, write) -> tuple[DataFrame, DataFrame]:
+    """GETDEL, GETEX, GETEXAT, GETPERSIST: the live values of ``keys``, and the versions that ``write`` makes of those
+    rows, such as ``lambda rows: delete(rows, now)``."""
+    rows = live(log, now).join(keys.select("key").distinct(), "key", "left_semi")
+    values = keys.join(rows.select("key", "val"), "key", "left").select("key", F.coalesce("val", F.lit("")).alias("val"))
+    return values, write(rows)
+
+
 def in_prefix(prefix: str) -> Column:
     return F.col("key").startswith(prefix)
 
@@ -202,10 +210,14 @@ def copy(log: DataFrame, requests: DataFrame, now: int, move: bool = False, abse
 # Files
 
 
-def write_sorted(log: DataFrame, path: str, files: int | None = None) -> None:
-    """A table sorted by key, so that prefix and range reads skip by file and row-group statistics."""
+def write_sorted(log: DataFrame, path: str, files: int | None = None, bloom: bool = False) -> None:
+    """A table sorted by key, so that prefix and range reads skip by file and row-group statistics; with ``bloom`` a
+    Bloom filter in each row group answers exact lookups of absent keys."""
     rows = log.repartitionByRange(files, "key") if files else log.repartitionByRange("key")
-    rows.sortWithinPartitions("key", F.desc("created_us"), F.desc("seq")).write.parquet(path)
+    out = rows.sortWithinPartitions("key", F.desc("created_us"), F.desc("seq")).write
+    if bloom:
+        out = out.option("parquet.bloom.filter.enabled#key", "true")
+    out.parquet(path)
 
 
 def compact(log: DataFrame, now: int | None = None) -> DataFrame:

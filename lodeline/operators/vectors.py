@@ -80,6 +80,17 @@ def near_bytes(byte: int) -> list[int]:
     return sorted({byte, *[byte ^ 1 << i for i in range(8)]})
 
 
+def prepare(rows: DataFrame, dims_in: int, dims_out: int, kind: str, vector: str = "v") -> DataFrame:
+    """What a vector store keeps of each row: magnitude, quantised components after projection, bucket byte."""
+    inner = rows.withColumn("_p", project(F.col(vector), dims_in, dims_out)) if 1 < dims_out < dims_in else rows.withColumn("_p", F.transform(vector, lambda x: x.cast("double")))
+    return inner.select(
+        *[c for c in rows.columns if c != vector],
+        magnitude(F.col("_p")).alias("magnitude"),
+        quantize(normalized(F.col("_p")), kind).alias("q"),
+        lsh_byte(F.col("_p"), dims_out).alias("lsh"),
+    )
+
+
 def distance(metric: str, a: Column, b: Column) -> Column:
     """Distance of two raw vectors. COSINE is (1 - cos) / 2, 0.5 for a zero vector; the others are as named."""
     ma, mb = magnitude(a), magnitude(b)

@@ -109,6 +109,10 @@ for _n in range(1, 7):
         f"with {_INDEX} select * from (select distinct {', '.join(_order)}, sort, sub from i) where " + " and ".join(f"{k} = {_sql_value(_EQUAL[k])}" for k in _lead) + f" order by {', '.join([*_rest, 'sort', 'sub'])} limit 50",
     )
 R.add("ix2_range_page", lambda s, d: indexes.composite_range(_index(s, d).select("a", "b", "sort", "sub").distinct(), ["a", "b"], ["R"], 40, after=("F", 10.0, 0)), f"with {_INDEX} select * from (select distinct a, b, sort, sub from i) where a = 'R' and (b, sort, sub) > ('F', 10.0, 0) order by b, sort, sub limit 40")
+_moves = lambda s, d: table(s, d, "orders").select(F.col("o_custkey").alias("sub"), F.col("o_orderstatus").alias("i1"), F.col("o_orderpriority").alias("i2"), F.col("o_orderkey").alias("version"), (F.col("o_orderkey") % 6 == 0).alias("is_tombstone"))
+_MOVES = "m as (select o_custkey sub, o_orderstatus i1, o_orderpriority i2, o_orderkey as version, o_orderkey % 6 = 0 dead from orders), n as (select * from m qualify row_number() over (partition by sub order by version desc) = 1), k as (select sub, i1, i2, version from n where not dead)"
+R.add("ix_current", lambda s, d: indexes.current(_moves(s, d)), f"with {_MOVES} select sub, i1, i2, version from k")
+R.add("ix_lookup", lambda s, d: indexes.lookup(indexes.current(_moves(s, d)), table(s, d, "customer").select(F.col("c_custkey").alias("sub")), "i1", "i2"), f"with {_MOVES} select c_custkey sub, i1, i2, k.sub is not null as exists from customer left join k on k.sub = c_custkey")
 _part = lambda s, d: table(s, d, "part").select(F.col("p_partkey").alias("sub"), F.col("p_size").cast("bigint").alias("x"), F.round("p_retailprice").cast("bigint").alias("y"), F.col("p_name").alias("val"))
 _PART = "p as (select p_partkey sub, cast(p_size as bigint) x, cast(round(p_retailprice) as bigint) y, p_name val from part)"
 R.add("mc1_range", lambda s, d: indexes.linear_range(_part(s, d), 950, 1000, 60, x="y"), f"with {_PART} select * from p where y between 950 and 1000 order by y, sub limit 60")
@@ -199,6 +203,8 @@ for _m, _sql in _METRICS.items():
 R.add("vec_normalized", lambda s, d: _vec(s, d).select("name", F.round(vectors.magnitude(F.col("v")), 5).alias("magnitude"), F.round(F.get(vectors.normalized(F.col("v")), F.lit(3)), 5).alias("x3")), f"with {_V} select name, round({_MV}, 5) magnitude, round(v[4] / {_MV}, 5) x3 from v")
 R.add("vec_quantized", lambda s, d: _vec(s, d).select("name", *[F.get(vectors.quantize(vectors.normalized(F.col("v")), k), F.lit(0)).cast("int").alias(k.lower()) for k in ("I16", "I8", "BIT")]), f"with {_V} select name, cast(round(v[1] / {_MV} * 32767) as integer) i16, cast(round(v[1] / {_MV} * 127) as integer) i8, case when v[1] > 0 then 1 else 0 end bit from v")
 R.add("vec_nearest_each", lambda s, d: vectors.nearest_each(_vec(s, d), _vec(s, d).filter("name < 8").select(F.col("name").alias("query"), F.col("v").alias("q")), "COSINE", 5).select("query", "name", "place"), f"with e as (select vec_id as name, cast(embedding as double[]) v from embeddings), p as (select a.name query, b.name, 1 - (1 + list_sum(list_transform(range(1, {_DIM + 1}), lambda i: a.v[i] * b.v[i])) / (sqrt(list_sum(list_transform(a.v, lambda x: x * x))) * sqrt(list_sum(list_transform(b.v, lambda x: x * x))))) / 2 m from e a, e b where a.name < 8) select query, name, cast(row_number() over (partition by query order by m, name) as integer) place from p qualify row_number() over (partition by query order by m, name) <= 5")
+R.add("vec_prepare", lambda s, d: vectors.prepare(_vec(s, d).drop("label"), _DIM, _DIM, "I8").select("name", F.round("magnitude", 5).alias("magnitude"), F.get("q", F.lit(2)).cast("int").alias("q2")), f"with {_V} select name, round({_MV}, 5) magnitude, cast(round(v[3] / {_MV} * 127) as integer) q2 from v")
+R.add("vec_prepare_projected", lambda s, d: vectors.prepare(_vec(s, d).drop("label"), _DIM, 16, "BIT"))
 R.add("vec_project", lambda s, d: _vec(s, d).select("name", F.size(vectors.project(F.col("v"), _DIM, 16)).alias("dims")), "select vec_id as name, 16 dims from embeddings")
 R.add("vec_lsh", lambda s, d: vectors.nearest_lsh(_vec(s, d).withColumn("lsh", vectors.lsh_byte(F.col("v"), _DIM)), _QUERY, "COSINE", 20, _DIM))
 R.add("vec_raw", lambda s, d: _vec(s, d).select("name", vectors.raw_hex(F.col("v")).alias("hex"), vectors.raw_hex(F.col("v"), big_endian=False).alias("little")))

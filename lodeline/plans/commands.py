@@ -42,7 +42,10 @@ ROWS = [
     ("EXPIREAT XNEXPIREAT XREXPIREAT XREXPIREAY HEXPIREATALL", "operators.store.expire_at", "kv_expire_at_prefix"),
     ("PERSIST XNPERSIST XRPERSIST HPERSISTALL", "operators.store.persist", "kv_persist_prefix"),
     ("PERSISTDELETED PERSISTEXPIRED", "operators.store.revive", "kv_revive"),
-    ("GETSET GETDEL GETEX GETEXAT GETPERSIST", "operators.store.swap", "kv_getset"),
+    ("GETSET", "operators.store.swap", "kv_getset"),
+    ("GETDEL", "operators.store.get_and", "kv_getdel"),
+    ("GETEX GETEXAT", "operators.store.get_and", "kv_getex_writes"),
+    ("GETPERSIST", "operators.store.get_and", "kv_getpersist_writes"),
     ("XNDEL HDELALL", "operators.store.delete", "kv_delete_prefix"),
     ("XRDEL", "operators.store.delete", "kv_delete_range"),
     ("CAS", "operators.store.compare_and_set", "kv_cas"),
@@ -88,13 +91,13 @@ ROWS = [
     ("GEORADIUS GEORADIUS_RO", "operators.indexes.geo_radius", "geo_radius"),
     ("GEODIST", "operators.indexes.geo_distance", "geo_distance"),
     ("GEOENCODE GEODECODE", "functions.geohash.encode", "geo_encode"),
-    *[(f"MC{n}GET MC{n}MGET MC{n}EXISTS MC{n}SCORE MC{n}ADD MC{n}REM MC{n}REMOVE MC{n}DEL", "operators.store.mget", "kv_mget") for n in (1, 2, 3, 4, 8, 16)],
+    *[(f"MC{n}GET MC{n}MGET MC{n}EXISTS MC{n}SCORE MC{n}ADD MC{n}REM MC{n}REMOVE MC{n}DEL", "operators.indexes.lookup", "ix_lookup") for n in (1, 2, 3, 4, 8, 16)],
     ("MC1POINT", "operators.indexes.linear_range", "mc1_point"),
     ("MC1RANGE", "operators.indexes.linear_range", "mc1_range"),
     *[(f"MC{n}POINT", "operators.indexes.point", f"mc{n}_point") for n in (2, 3, 4, 8, 16)],
     *[(f"MC{n}RANGE MC{n}RANGENAIVE MC{n}RANGEFLAT", "operators.indexes.box", f"mc{n}_range") for n in (2, 3, 4, 8, 16)],
     *[(f"MC{n}ENCODE MC{n}DECODE", "functions.zorder.encode", f"mc{n}_encode") for n in (2, 3, 4, 8, 16)],
-    *[(f"IX{n}GET IX{n}MGET IX{n}EXISTS IX{n}GETINDEXES IX{n}ADD IX{n}REM IX{n}REMOVE IX{n}DEL", "operators.store.mget", "kv_mget") for n in range(1, 7)],
+    *[(f"IX{n}GET IX{n}MGET IX{n}EXISTS IX{n}GETINDEXES IX{n}ADD IX{n}REM IX{n}REMOVE IX{n}DEL", "operators.indexes.current", "ix_current") for n in range(1, 7)],
     *[(f"IX{n}RANGE", "operators.indexes.composite_range", f"ix{n}_range") for n in range(1, 7)],
     *[(f"{p}GET {p}MGET {p}EXISTS {p}GETINDEXES {p}REM {p}REMOVE {p}DEL", "operators.text.stale", "fts_stale") for p in ("IXM", "IXT", "IXH")],
     ("IXMADD", "operators.text.postings", "fts_index"),
@@ -109,7 +112,8 @@ ROWS = [
     ("ACADD ACADD_UTF8 ACADD_BIN ACDEL ACDEL_UTF8 ACDEL_BIN ACREM ACREM_UTF8 ACREM_BIN ACREMOVE ACREMOVE_UTF8 ACREMOVE_BIN", "operators.text.prefixes", "ac_index"),
     ("ACRANGE ACRANGE_UTF8 ACRANGE_BIN", "operators.text.complete", "ac_range"),
     ("ACRANGEALL ACRANGEALL_UTF8 ACRANGEALL_BIN", "operators.text.complete", "ac_all"),
-    ("VADD VREM VREMOVE VDEL VGET VKSET VKGET", "operators.vectors.quantize", "vec_quantized"),
+    ("VADD VREM VREMOVE VDEL VKSET", "operators.vectors.prepare", "vec_prepare"),
+    ("VGET VKGET", "operators.vectors.quantize", "vec_quantized"),
     ("VGETRAW VGETBLOB VKGETRAW VKGETBLOB", "operators.vectors.raw_hex", "vec_raw"),
     ("VGETNORMALIZED VGETNORM VKGETNORMALIZED VKGETNORM", "operators.vectors.normalized", "vec_normalized"),
     ("VSIMFLAT VKSIMFLAT", "operators.vectors.nearest", "vec_cosine"),

@@ -141,6 +141,11 @@ R.add("kv_msetxx", lambda s, d: store.put_all_present(log(s, d), _requests(s, d)
 R.add("kv_delete", lambda s, d: store.delete(_requests(s, d).select("key"), NOW), f"with {_REQ} select key, '' val, {_NEW.replace('false', 'true')} from r")
 R.add("kv_append", lambda s, d: store.append(log(s, d), _requests(s, d).withColumnRenamed("val", "more"), NOW), f"with {LOG}, {_REQ} select r.key, coalesce(live.val, '') || r.val as val, {_NEW} from r left join live on r.key = live.key")
 R.add("kv_getset", lambda s, d: store.swap(log(s, d), _requests(s, d), NOW), f"with {LOG}, {_REQ} select r.key, coalesce(live.val, '') as old, r.val from r left join live on r.key = live.key")
+_keys = lambda s, d: _requests(s, d).select("key")
+R.add("kv_getdel", lambda s, d: store.get_and(log(s, d), _keys(s, d), NOW, lambda rows: store.delete(rows, NOW))[0], f"with {LOG}, {_REQ} select r.key, coalesce(live.val, '') as val from r left join live on r.key = live.key")
+R.add("kv_getdel_writes", lambda s, d: store.get_and(log(s, d), _keys(s, d), NOW, lambda rows: store.delete(rows, NOW))[1], f"with {LOG}, {_REQ} select r.key, '' val, {_NEW.replace('false', 'true')} from r join live on r.key = live.key")
+R.add("kv_getex_writes", lambda s, d: store.get_and(log(s, d), _keys(s, d), NOW, lambda rows: store.expire(rows, NOW, 30))[1], f"with {LOG}, {_REQ} select r.key, live.val, {_NEW.replace('cast(0 as bigint) expires_s', 'cast(30 as bigint) expires_s')} from r join live on r.key = live.key")
+R.add("kv_getpersist_writes", lambda s, d: store.get_and(log(s, d), _keys(s, d), NOW, lambda rows: store.persist(rows, NOW))[1], f"with {LOG}, {_REQ} select r.key, live.val, {_NEW} from r join live on r.key = live.key")
 _PRE = "starts_with(key, '1')"
 _BULK = lambda s, d: store.live(log(s, d), NOW).filter(store.in_prefix("1"))
 R.add("kv_delete_prefix", lambda s, d: store.delete(_BULK(s, d), NOW), f"with {LOG} select key, '' val, {_NEW.replace('false', 'true')} from live where {_PRE}")

@@ -77,6 +77,19 @@ def test_sorted_tables_are_skipped_into(spark, versions, tmp_path):
     assert store.size(rows, NOW).first().asDict() == {"raw": 13, "keys": 9, "live": 6}
 
 
+def test_read_and_write(spark, versions, tmp_path):
+    keys = spark.createDataFrame([("a",), ("b",), ("zz",)], "key string")
+    values, writes = store.get_and(versions, keys, NOW, lambda rows: store.delete(rows, NOW))
+    assert pairs(values) == {"a": "2", "b": "", "zz": ""}
+    assert [(r.key, r.is_tombstone) for r in writes.collect()] == [("a", True)]
+    store.write_sorted(versions, str(tmp_path / "b"), 1, bloom=True)
+    assert store.get(files.open_tables(spark, str(tmp_path / "b")), "e", NOW).first().val == "second"
+    entries = indexes.current(spark.createDataFrame([(1, "x", 1, False), (1, "y", 2, False), (2, "x", 1, False), (2, "x", 3, True)], "sub long, i1 string, version long, is_tombstone boolean"))
+    assert [(r["sub"], r.i1) for r in entries.collect()] == [(1, "y")]
+    asked = spark.createDataFrame([(1,), (2,)], "sub long")
+    assert [(r["sub"], r.i1, r.exists) for r in indexes.lookup(entries, asked, "i1").orderBy("sub").collect()] == [(1, "y", True), (2, None, False)]
+
+
 def gold(spark):
     return spark.createDataFrame([(f"a~{y}", str((y * 37) % 500 - 100)) for y in range(1969, 2024)], "key string, val string")
 
