@@ -134,8 +134,13 @@ def mix(
     order = _order(seed, F.col(f"{p}epochs"), F.col("doc_id"))
     small = beside(sizes, leaf, ["epochs", "rest"], key).filter(F.col(f"{p}rest") > 0)
     bucket = small.groupBy(*key, F.substring(order, 1, DIGITS).alias("bucket")).agg(F.sum("tokens").alias("sum"), F.first(f"{p}rest").alias("rest"))
-    rising = Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    reached = bucket.withColumn("before", F.coalesce(F.sum("sum").over(rising), F.lit(0))).filter("before < rest")
+    # Running sums in two levels, so that no task meets more than 16 heads of a leaf, or 256 buckets of a head.
+    heads = bucket.groupBy(*key, F.substring("bucket", 1, 1).alias("head")).agg(F.sum("sum").alias("head_sum"))
+    rising = Window.partitionBy(*key).orderBy("head").rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.withColumn("head_before", F.coalesce(F.sum("head_sum").over(rising), F.lit(0))).drop("head_sum")
+    placed = bucket.withColumn("head", F.substring("bucket", 1, 1)).join(heads, [*key, "head"])
+    rising = Window.partitionBy(*key, "head").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    reached = placed.withColumn("before", F.col("head_before") + F.coalesce(F.sum("sum").over(rising), F.lit(0))).filter("before < rest")
     edge = reached.groupBy(*key).agg(F.max("bucket").alias("edge"), F.max("before").alias("before"))
     leaf = materialize(leaf.join(edge, key, "left"), "leaves")
 
