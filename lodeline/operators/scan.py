@@ -37,6 +37,11 @@ def next_row(rows: DataFrame, key: str, prefix: str | None = None, end: str | No
     return rows.filter(within("", prefix, end) & (F.col("key") > key)).orderBy("key").limit(1).select("key", "val")
 
 
+def nth(rows: DataFrame, index: int) -> DataFrame:
+    """The row at a place in key order, from 0."""
+    return rows.orderBy("key").offset(index).limit(1).select("key", "val")
+
+
 def pages(rows: DataFrame, n: int, prefix: str = ""):
     """Client-side iteration: lists of (key, val), one page at a time, by keyset."""
     start = prefix

@@ -225,6 +225,16 @@ def compact(log: DataFrame, now: int | None = None) -> DataFrame:
     return latest(log) if now is None else live(log, now)
 
 
+def merge(*logs: DataFrame) -> DataFrame:
+    """Any number of sorted tables as one: the newest version of each key; of equal versions the first table's."""
+    every = logs[0].withColumn("_table", F.lit(0))
+    for i, more in enumerate(logs[1:], 1):
+        every = every.unionByName(more.withColumn("_table", F.lit(-i)))
+    rest = [c for c in logs[0].columns if c != "key"]
+    newest = every.groupBy("key").agg(F.max_by(F.struct(*rest), F.struct("created_us", "seq", "_table")).alias("v"))
+    return newest.select("key", *[F.col(f"v.{c}").alias(c) for c in rest])
+
+
 def size(log: DataFrame, now: int) -> DataFrame:
     """Rows of the log, keys, and live keys."""
     newest = latest(log)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodeline.functions import geohash, hashing, zorder
 from lodeline.functions.numeric import parse_i64
-from lodeline.operators import containers, counters, indexes, sketches, summary, text, vectors
+from lodeline.operators import containers, counters, indexes, joins, sketches, summary, text, vectors
 from lodeline.plans.base import Registry, table
 from lodeline.sources import files
 from lodeline.streaming import state
@@ -251,3 +251,14 @@ _tsv = lambda s, d: table(s, d, "customer").select(F.concat_ws("\t", F.concat(F.
 R.add("tsv_rows", lambda s, d: files.tsv_rows(_tsv(s, d)).groupBy("key").agg(F.max_by("val", "seq").alias("val")), "select 'k' || c_custkey % 200 as key, 'v' || max(c_custkey) val from customer group by c_custkey % 200")
 _tabs = lambda s, d: table(s, d, "supplier").select(F.col("s_name").alias("name"), (F.col("s_suppkey") * 10).alias("created_min"), (F.col("s_suppkey") * 10 + F.col("s_suppkey") % 15).alias("created_max"))
 R.add("tables_overlapping", lambda s, d: files.overlapping(_tabs(s, d)), "with t as (select s_name as name, s_suppkey * 10 a, s_suppkey * 10 + s_suppkey % 15 b from supplier) select x.name, count(y.name) as \"overlaps\", min(x.a) created_min from t x left join t y on x.a <= y.b and y.a <= x.b and x.name <> y.name group by x.name")
+
+# Ordered joins
+
+_side = lambda s, d, kind, v: _ev(s, d).filter(F.col("event_type") == kind).select("user_id", "ts", F.col("event_id").alias(v))
+_SIDES = "p as (select user_id, ts, event_id buy from events where event_type = 'purchase'), v as (select user_id, ts, event_id seen from events where event_type = 'view')"
+R.add("join_asof", lambda s, d: joins.asof(_side(s, d, "purchase", "buy"), _side(s, d, "view", "seen"), ["user_id"], "ts", ["seen"]).select("user_id", "buy", "seen"), f"with {_SIDES} select p.user_id, buy, seen from p asof left join v on p.user_id = v.user_id and p.ts >= v.ts")
+R.add("join_next", lambda s, d: joins.asof(_side(s, d, "purchase", "buy"), _side(s, d, "view", "seen"), ["user_id"], "ts", ["seen"], forward=True).select("user_id", "buy", "seen"), f"with {_SIDES} select p.user_id, buy, seen from p asof left join v on p.user_id = v.user_id and p.ts <= v.ts")
+_spans = lambda s, d, n: table(s, d, "orders").filter(F.col("o_orderkey") % 5 == n).select(F.col("o_orderkey").alias(f"k{n}"), (F.col("o_custkey") * 10).alias(f"a{n}"), (F.col("o_custkey") * 10 + F.col("o_orderkey") % 37).alias(f"b{n}"))
+_SPANS = "s as (select o_orderkey k, o_custkey * 10 a, o_custkey * 10 + o_orderkey % 37 b from orders)"
+R.add("join_intervals", lambda s, d: joins.overlaps(_spans(s, d, 0), _spans(s, d, 1), ("a0", "b0"), ("a1", "b1"), 40).select("k0", "k1"), f"with {_SPANS} select x.k k0, y.k k1 from s x join s y on x.k % 5 = 0 and y.k % 5 = 1 and x.a <= y.b and y.a <= x.b")
+R.add("join_salted", lambda s, d: joins.salted(table(s, d, "lineitem"), table(s, d, "supplier").withColumnRenamed("s_suppkey", "l_suppkey"), "l_suppkey", 8).groupBy("s_name").agg(F.count(F.lit(1)).alias("n")), "select s_name, count(*) n from lineitem join supplier on l_suppkey = s_suppkey group by 1")

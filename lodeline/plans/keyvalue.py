@@ -91,6 +91,8 @@ def _next_of_each(s, d):
     return rows.select("key", F.lead("key").over(w).alias("next_key"))
 
 
+R.add("scan_nth", lambda s, d: scan.nth(orders(s, d), 700), f"with {ORDERS} select key, val from o order by key offset 700 limit 1")
+
 # Aggregates over scans
 
 _SQL = {
@@ -121,6 +123,8 @@ R.add("kv_dump", lambda s, d: store.dump(log(s, d)).select("key", F.get_json_obj
 R.add("kv_size", lambda s, d: store.size(log(s, d), NOW), f"with {LOG} select (select count(*) from e) raw, (select count(*) from newest) keys, (select count(*) from live) live")
 R.add("kv_compact", lambda s, d: store.compact(log(s, d), NOW).select("key", "val"), f"with {LOG} select key, val from live")
 
+R.add("kv_merge", lambda s, d: store.merge(log(s, d).filter("seq % 3 = 0"), log(s, d).filter("seq % 3 = 1"), log(s, d).filter("seq % 3 = 2")), f"with {LOG} select * from newest")
+
 # Writes: each returns what would be appended
 
 _REQ = "r as (select cast(c_custkey as varchar) || '~view' as key, 'new' || c_custkey as val from customer where c_custkey < 120)"

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from lodeline.functions import geohash, hashing, zorder
 from lodeline.functions.numeric import I64_MAX, I64_MIN, parse_i64, saturating_sum
-from lodeline.operators import containers, counters, indexes, scan, sketches, store, summary, text, vectors
-from lodeline.sources import files
+from lodeline.operators import containers, counters, indexes, joins, scan, sketches, store, summary, text, vectors
+from lodeline.sources import config, files
 from lodeline.streaming import state
 
 NOW = 10_000_000_000
@@ -327,3 +327,37 @@ def test_change_log_stream(spark, versions, tmp_path):
     finally:
         query.stop()
     assert pairs(store.live(files.open_tables(spark, str(tmp_path / "log")), NOW)) == pairs(store.live(versions, NOW))
+
+
+def test_ordered_joins(spark):
+    left = spark.createDataFrame([("u", 5, 1), ("u", 1, 2), ("w", 9, 3)], "k string, at long, id long")
+    right = spark.createDataFrame([("u", 2, "a"), ("u", 5, "b"), ("u", 8, "c")], "k string, at long, v string")
+    got = lambda **o: {r.id: r.v for r in joins.asof(left, right, ["k"], "at", ["v"], **o).collect()}
+    assert got() == {1: "b", 2: None, 3: None}
+    assert got(strict=True) == {1: "a", 2: None, 3: None}
+    assert got(forward=True) == {1: "b", 2: "a", 3: None}
+    assert got(forward=True, strict=True) == {1: "c", 2: "a", 3: None}
+    rnd = random.Random(1)
+    a = [(i, s, s + rnd.randint(0, 60)) for i in range(60) for s in [rnd.randint(-100, 200)]]
+    b = [(i, s, s + rnd.randint(0, 9)) for i in range(60) for s in [rnd.randint(-100, 200)]]
+    pairs_ = joins.overlaps(spark.createDataFrame(a, "i long, a0 long, a1 long"), spark.createDataFrame(b, "j long, b0 long, b1 long"), ("a0", "a1"), ("b0", "b1"), 13)
+    assert sorted((r.i, r.j) for r in pairs_.collect()) == sorted((i, j) for i, x, y in a for j, u, v in b if x <= v and u <= y)
+    big = spark.createDataFrame([(1, i) for i in range(90)] + [(2, 0)], "k int, n int")
+    for how, n in (("inner", 90), ("left", 91), ("left_semi", 90), ("left_anti", 1)):
+        assert joins.salted(big, spark.createDataFrame([(1, "x")], "k int, v string"), "k", 4, how).count() == n
+
+
+def test_settings(spark):
+    assert config.parse("# c\n[s]\na = 1\n b=x=y\n;d=2\na=3\nnothing") == {"a": "3", "b": "x=y"}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    config.apply(spark, {"spark.sql.shuffle.partitions": "5", "spark.other": "1"})
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "5"
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_merge_of_tables(spark):
+    one = log(spark, [("a", "1", 5, 0, False), ("b", "1", 1, 0, False)])
+    two = log(spark, [("a", "2", 5, 0, False), ("b", "2", 2, 0, False), ("c", "2", 1, 0, False)])
+    assert pairs(store.merge(one, two)) == {"a": "1", "b": "2", "c": "2"}
+    assert pairs(store.merge(two, one))["a"] == "2"
+    assert scan.nth(two.select("key", "val"), 1).first().key == "b"
