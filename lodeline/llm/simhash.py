@@ -165,6 +165,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         step = materialize(small.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "edges")
         discard(now)
         now = step
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("component"))
 
 
