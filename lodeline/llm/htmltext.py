@@ -255,7 +255,7 @@ class TreeModel:
         for at in reversed(levels[1:]):
             b = below[at]
             up[at] = np.logaddexp(t[at, 1, 1] + b, t[at, 1, 0]) - np.logaddexp(t[at, 0, 1] + b, t[at, 0, 0])
-            np.add.at(below, f.parent[at], up[at])
+            below += np.bincount(f.parent[at], up[at], len(below))
         whole = below.copy()
         for at in levels[1:]:
             above = whole[f.parent[at]] - up[at]
@@ -266,7 +266,7 @@ class TreeModel:
         return 1 / (1 + np.exp(-np.clip(self.messages(f)[2], -500, 500)))
 
 
-def train(pages: list[str], rounds: int = 200, ridge: float = 1e-3) -> TreeModel:
+def train(pages: list[str], rounds: int = 300, ridge: float = 1e-5) -> TreeModel:
     """From pages whose elements carry ``data-label="1"`` (content) or ``"0"``; children inherit."""
     trees = [parse(p) for p in pages]
     f = forest(trees)
@@ -285,15 +285,14 @@ def train(pages: list[str], rounds: int = 200, ridge: float = 1e-3) -> TreeModel
         joint = np.stack([t[:, 0, 0], t[:, 0, 1] + b, t[:, 1, 0] + above, t[:, 1, 1] + above + b], axis=1)
         joint = np.exp(joint - joint.max(axis=1, keepdims=True))
         joint /= joint.sum(axis=1, keepdims=True)
-        expected = np.zeros((KINDS, 4))
-        np.add.at(expected, f.kind[child], joint)
+        expected = np.stack([np.bincount(f.kind[child], joint[:, c], KINDS) for c in range(4)], axis=1)
         grad = np.concatenate([f.x.T @ (y - p), (seen.reshape(KINDS, 4) - expected).ravel()]) / len(y) - ridge * theta
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         theta = theta + 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return TreeModel(theta[:size], theta[size:].reshape(KINDS, 2, 2))
 
 
-def labelled_pages(n: int = 160, seed: int = 11) -> list[str]:
+def labelled_pages(n: int = 240, seed: int = 11) -> list[str]:
     """Training pages in several layouts, of invented words, with the article's nodes marked."""
     rnd = random.Random(seed)
     words = ["".join(rnd.choice(["ka", "lo", "mi", "ter", "en", "su", "ra", "on", "di", "ve"]) for _ in range(rnd.randint(1, 4))) for _ in range(300)]
@@ -320,7 +319,7 @@ def labelled_pages(n: int = 160, seed: int = 11) -> list[str]:
             "nav": lambda: f"<nav><ul>{links(rnd.randint(2, 8))}</ul></nav>",
             "menu": lambda: f"<div class='{rnd.choice(['menu', 'nav-bar', 'breadcrumb', 'top-menu'])}'>{links(rnd.randint(2, 8), rnd.choice(['li', 'span']))}</div>",
             "ad": lambda: f"<div class='{rnd.choice(['ad', 'advert', 'sponsored', 'promo-box', 'banner', 'ads top'])}'>{rnd.choice(['', '<p>'])}{text(1, 3)}</div>",
-            "header": lambda: f"<header><div class='logo'>{say(1, 3, '')}</div>{rnd.choice(['', say(3, 9)])}</header>",
+            "header": lambda: f"<header>{rnd.choice(['<div class=logo>', '<h1>', '<p>', '<h2>'])}{say(1, 3, '')}{rnd.choice(['', '</h1>', '</div>'])}{rnd.choice(['', say(3, 9), '<nav>' + links(3) + '</nav>'])}</header>",
             "footer": lambda: f"<footer>{rnd.choice(['<p>', '', '&copy; '])}{say(2, 12)} &middot; {say(1, 10)}</footer>",
             "foot": lambda: f"<div id='{rnd.choice(['footer', 'page-foot', 'legal'])}'><p>{say(4, 15)}</p>{links(3, 'span')}</div>",
             "aside": lambda: f"<aside>{rnd.choice(['<h3>' + say(1, 3, '') + '</h3>', ''])}{rnd.choice(['<ul>' + links(4) + '</ul>', '<p>' + text(1, 2) + '</p>'])}</aside>",
@@ -332,7 +331,8 @@ def labelled_pages(n: int = 160, seed: int = 11) -> list[str]:
         return f"<div data-label=\"0\">{body}</div>" if rnd.random() < 0.1 else re.sub(r"^<(\w+)", r'<\1 data-label="0"', body)
 
     def article() -> str:
-        out = [f"<h1>{say(3, 10, rnd.choice(['', '.']))}</h1>"] if rnd.random() < 0.8 else []
+        head = f"<h1>{say(3, 10, rnd.choice(['', '.']))}</h1>"
+        out = [rnd.choice([head, head, head, f"<header>{head}</header>", ""])]
         for _ in range(max(1, int(rnd.expovariate(0.15)))):
             roll = rnd.random()
             if roll < 0.7:
@@ -349,8 +349,10 @@ def labelled_pages(n: int = 160, seed: int = 11) -> list[str]:
                 out.append(f"<blockquote><p>{text(1, 3)}</p></blockquote>")
             else:
                 out.append(f"<table><tr><td>{say(1, 5, '')}<td>{say(1, 5, '')}</table>")
-            if rnd.random() < 0.04:
-                out.append(noise(rnd.choice(["ad", "notice", "side"])))
+            if rnd.random() < 0.06:
+                out.append(noise(rnd.choice(["ad", "notice", "side", "form", "ad"])))
+        if rnd.random() < 0.15:
+            out.append(noise(rnd.choice(["footer", "comments", "notice"])))
         return "".join(out)
 
     before = ["nav", "menu", "ad", "header", "notice", "form"]

@@ -325,3 +325,14 @@ def test_pages_on_held_out():
     runs = np.array([t == -1 for x in trees for t in x.tag])
     truth = np.array([v for x in trees for v in x.label]) == 1
     assert np.mean((said == truth)[runs]) > 0.98
+
+
+def test_pages_of_other_hands():
+    p = "The quick committee said on Monday that it would review the plan again. Members were not happy with it."
+    pages = {
+        f"<body><header><h1>Site name</h1><nav><a href=/>Home</a> <a href=/b>News</a></nav></header><main><h1>Real title here</h1><p>{p}</p><p>Short one.</p><section id='comments'><h3>3 comments</h3><div class='comment'><p>I liked it a lot, thanks.</p></div></section></main><aside><h3>Related</h3><ul><li><a href=/x>One more</a></ul></aside><footer>Copyright 2020 Site.</footer></body>": f"Real title here\n{p}\nShort one.",
+        f"<div id=header>My Blog</div><div id=menu><ul><li><a href=1>a</a><li><a href=2>b</a></ul></div><div class=post><h2>Title of it</h2><p>{p}<p>{p}<ul><li>first point made<li>second point made</ul></div><div class=sidebar><p>About me: I write here often.</p></div><div id=footer>Powered by x</div>": f"Title of it\n{p}\n{p}\nfirst point made\nsecond point made",
+        f"<body><div class='cookie-consent'><p>We use cookies to improve your stay. Accept?</p><button>OK</button></div><article class=post><header><h1>Head</h1></header><p>{p}</p><form><label>Mail</label><input><p>Sign up for our newsletter today.</p></form><p>{p}</p><div class='share'>Share this</div></article><div class=ad>Buy now cheap things!</div></body>": f"Head\n{p}\n{p}",
+        f"<article><h1>Head</h1><p>{p}</p><div class=ad><p>Buy things cheap. They are good.</p></div><p>{p}</p><footer>Posted by x</footer></article>": f"Head\n{p}\n{p}",
+    }
+    assert htmltext.texts(list(pages), htmltext.default_model()) == list(pages.values())
