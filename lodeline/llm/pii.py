@@ -50,13 +50,13 @@ CHECKS = {
     "phone": "length(regexp_replace(x.t, '[^0-9]', '')) between 9 and 15",
 }
 GENERATORS = {
-    "secret": r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}",
+    "secret": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}",
     "local_phone": r"(?<![0-9A-Za-z.-])(?:\([0-9]{2,4}\)[\x20.-]?|[0-9]{2,4}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9A-Za-z-])",
     "national_id": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "account": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[0-9A-Z]{4}){3,7}(?:\x20?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
 }
 EXTRA_GATES = {
-    "secret": r"masked rlike r'[A-Za-z0-9+/_=-]{16}'",
+    "secret": r"masked rlike r'[A-Za-z0-9+/_-]{16}'",
     "local_phone": r"masked rlike r'[0-9]{3,4}[\x20.-][0-9]{3,4}'",
     "national_id": r"masked rlike r'[0-9]{3}-[0-9]{2}-[0-9]{4}'",
     "account": r"masked rlike r'[A-Z]{2}[0-9]{2}'",
@@ -76,6 +76,7 @@ FEATURES = {
     "hexes": "regexp_count(x.t, '[0-9a-f]') / length(x.t)",
     "vowels": "regexp_count(x.t, '[aeiouAEIOU]') / length(x.t)",
     "assigned": r"""case when x.before rlike r'[=:"\x27][\x20"\x27]*$' then 1 else 0 end""",
+    "prefixed": "case when x.t rlike '^(AKIA|ASIA|AIza|ghp_|gho_|github_pat_|sk-|sk_live_|xox[abps]-|glpat-|eyJ)' then 1 else 0 end",
     **{f"cue_{k}": f"case when lower(x.before) rlike '{v}' then 1 else 0 end" for k, v in CUES.items()},
 }
 
@@ -230,9 +231,9 @@ def labelled_examples(examples: int = 2400, seed: int = 7) -> list[tuple[str, in
         if roll == 0:
             return say("token = \"", "api_key: ", "secret=", "password: ") + pick(digits + "abcdef", rnd.choice([24, 32, 40, 64])), 1
         if roll == 1:
-            return say("key ", "aws key: ") + rnd.choice(["AKIA", "ASIA"]) + pick(upper + digits, 16), 1
+            return say("key ", "aws key: ") + rnd.choice(["AKIA", "ASIA"]) + pick(upper + rnd.choice(["", digits]), 16), 1
         if roll == 2:
-            return say("token ", "Bearer ", "auth=") + pick(lower + upper + digits + "_-", rnd.randint(20, 60)), 1
+            return say("token ", "Bearer ", "auth=") + rnd.choice(["", "", "ghp_", "sk-", "xoxb-", "AIza"]) + pick(lower + upper + digits + "_-", rnd.randint(20, 60)), 1
         if roll == 3:
             return "".join(rnd.choice(syllables) for _ in range(rnd.randint(8, 14))), 0
         if roll == 4:
