@@ -81,7 +81,11 @@ def mixed(value: Column) -> Column:
 
 
 def slots(value: Column, width: int, count: int) -> Column:
-    """array<long>: the value's hash modulo ``width`` under each of the seeds 0 to count - 1."""
+    """array<long>: the value's hash modulo ``width`` under each of the seeds 0 to count - 1.
+
+    A seed is mixed in where the last bytes are, so items of up to seven bytes that differ by a seed's bits share slots
+    under different seeds; filters over such items have more false positives than the design says, never false negatives.
+    """
 
     @F.pandas_udf("array<long>")
     def each(s: pd.Series) -> pd.Series:
