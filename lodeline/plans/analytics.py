@@ -117,19 +117,20 @@ _part = lambda s, d: table(s, d, "part").select(F.col("p_partkey").alias("sub"),
 _PART = "p as (select p_partkey sub, cast(p_size as bigint) x, cast(round(p_retailprice) as bigint) y, p_name val from part)"
 R.add("mc1_range", lambda s, d: indexes.linear_range(_part(s, d), 950, 1000, 60, x="y"), f"with {_PART} select * from p where y between 950 and 1000 order by y, sub limit 60")
 R.add("mc1_point", lambda s, d: indexes.linear_range(_part(s, d), 950, 950, 60, x="y"), f"with {_PART} select * from p where y = 950 order by y, sub limit 60")
-for _n in (2, 3, 4, 8, 16):
+# Names without _whole keep to the rows of their SQL; those with it read all of lineitem.
+for _n, _tag, _some in [(n, *x) for n in (2, 3, 4, 8, 16) for x in (("", "l_orderkey < 400"), ("_whole", ""))]:
     _names = [f"x{i}" for i in range(_n)]
     _expr = [f"cast((l_orderkey * {i + 3} + l_partkey * {i * i + 1} + l_linenumber) % {97 + i} as bigint)" for i in range(_n)]
     _bounds = {c: (5, 60) if _n <= 4 else (1, 90) for c in _names}
-    _z = lambda s, d, e=_expr, c=_names: table(s, d, "lineitem").filter("l_orderkey < 400").select(*[F.expr(x).alias(k) for x, k in zip(e, c, strict=True)], F.concat_ws("-", "l_orderkey", "l_partkey", "l_linenumber", "l_suppkey").alias("sub"))
-    _Z = "z as (select " + ", ".join(f"{x} as {k}" for x, k in zip(_expr, _names, strict=True)) + ", concat_ws('-', l_orderkey, l_partkey, l_linenumber, l_suppkey) sub from lineitem where l_orderkey < 400)"
+    _z = lambda s, d, e=_expr, c=_names, w=_some: table(s, d, "lineitem").filter(w or "true").select(*[F.expr(x).alias(k) for x, k in zip(e, c, strict=True)], F.concat_ws("-", "l_orderkey", "l_partkey", "l_linenumber", "l_suppkey").alias("sub"))
+    _Z = "z as (select " + ", ".join(f"{x} as {k}" for x, k in zip(_expr, _names, strict=True)) + ", concat_ws('-', l_orderkey, l_partkey, l_linenumber, l_suppkey) sub from lineitem" + (f" where {_some}" if _some else "") + ")"
     _in = " and ".join(f"{c} between {a} and {b}" for c, (a, b) in _bounds.items())
-    R.add(f"mc{_n}_range", lambda s, d, z=_z, b=_bounds, c=_names: indexes.box(z(s, d), b).select("sub", *c), f"with {_Z} select sub, {', '.join(_names)} from z where {_in}")
-    R.add(f"mc{_n}_point", lambda s, d, z=_z: indexes.point(z(s, d), {"x0": 9}, 20).select("sub"), f"with {_Z} select sub from z where x0 = 9 order by sub limit 20")
+    R.add(f"mc{_n}_range{_tag}", lambda s, d, z=_z, b=_bounds, c=_names: indexes.box(z(s, d), b).select("sub", *c), f"with {_Z} select sub, {', '.join(_names)} from z where {_in}")
+    R.add(f"mc{_n}_point{_tag}", lambda s, d, z=_z: indexes.point(z(s, d), {"x0": 9}, 20).select("sub"), f"with {_Z} select sub from z where x0 = 9 order by sub limit 20")
     _wide = zorder.BITS[_n]
     _interleaved = " || ".join(f"substr(b{i}, {k}, 1)" for k in range(1, _wide + 1) for i in reversed(range(_n)))
     _b = ", ".join(f"right(repeat('0', {_wide}) || bin({c}), {_wide}) b{i}" for i, c in enumerate(_names))
-    R.add(f"mc{_n}_encode", lambda s, d, z=_z, c=_names: _encoded(z(s, d), c), f"with {_Z}, b as (select *, {_b} from z) select sub, {_interleaved} bits, true as same from b")
+    R.add(f"mc{_n}_encode{_tag}", lambda s, d, z=_z, c=_names: _encoded(z(s, d), c), f"with {_Z}, b as (select *, {_b} from z) select sub, {_interleaved} bits, true as same from b")
 
 
 def _encoded(rows, names):

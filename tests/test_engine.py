@@ -1,5 +1,6 @@
 """Known answers of the operators, and properties of sketches, stores and streams."""
 
+import os
 import random
 import time
 
@@ -10,10 +11,12 @@ from pyspark.sql import functions as F
 from lodeline.functions import geohash, hashing, zorder
 from lodeline.functions.numeric import I64_MAX, I64_MIN, parse_i64, saturating_sum
 from lodeline.operators import containers, counters, indexes, joins, scan, sketches, store, summary, text, vectors
+from lodeline.plans.queries import QUERIES
 from lodeline.sources import config, files
 from lodeline.streaming import state
 
 NOW = 10_000_000_000
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def log(spark, rows):
@@ -361,3 +364,20 @@ def test_merge_of_tables(spark):
     assert pairs(store.merge(one, two)) == {"a": "1", "b": "2", "c": "2"}
     assert pairs(store.merge(two, one))["a"] == "2"
     assert scan.nth(two.select("key", "val"), 1).first().key == "b"
+
+
+def test_zorder_queries_reach_every_row(spark):
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey").toPandas().itertuples(index=False)
+    for n in (2, 3, 4, 8, 16):
+        bits, want, inside = zorder.BITS[n], {}, set()
+        low, high = (5, 60) if n <= 4 else (1, 90)
+        lines = list(lines)
+        for r in lines:
+            x = [(r[0] * (i + 3) + r[1] * (i * i + 1) + r[2]) % (97 + i) for i in range(n)]
+            sub = "-".join(map(str, r))
+            want[sub] = "".join(str(x[i] >> b & 1) for b in reversed(range(bits)) for i in reversed(range(n)))
+            inside |= {sub} if all(low <= v <= high for v in x) else set()
+        got = QUERIES[f"mc{n}_encode_whole"](spark, SF).collect()
+        assert len(got) == len(lines) and all(r.same for r in got)
+        assert {r.sub: r.bits for r in got} == want
+        assert {r.sub for r in QUERIES[f"mc{n}_range_whole"](spark, SF).collect()} == inside
