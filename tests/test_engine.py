@@ -381,3 +381,27 @@ def test_zorder_queries_reach_every_row(spark):
         assert len(got) == len(lines) and all(r.same for r in got)
         assert {r.sub: r.bits for r in got} == want
         assert {r.sub for r in QUERIES[f"mc{n}_range_whole"](spark, SF).collect()} == inside
+
+
+def test_whole_digests_are_near_brute_force(spark, tmp_path):
+    """2,000 parts a brand, far beyond the capacity of 100: sizes and ends are exact, shares within a twentieth of the range."""
+    rng = np.random.default_rng(5)
+    rows = [(i, f"Brand#{i % 2}", float(round(900 + 1100 * rng.beta(2, 4), 2)), int(rng.integers(1, 51))) for i in range(4000)]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_retailprice double, p_size int").repartition(3).write.parquet(f"{tmp_path}/part.parquet")
+    ask = lambda q: {r.p_brand: r for r in QUERIES[q](spark, str(tmp_path)).collect()}
+    shares, info, trimmed = ask("td_percentiles_whole"), ask("td_info_whole"), ask("td_trimmed_mean_whole")
+    for brand in ("Brand#0", "Brand#1"):
+        own = sorted((r[2], r[3]) for r in rows if r[1] == brand)
+        m, w = np.array([x for x, _ in own]), np.array([x for _, x in own])
+        upto, total, near = np.cumsum(w), w.sum(), (m[-1] - m[0]) / 20
+        assert (info[brand].size, info[brand].min, info[brand].max) == (total, m[0], m[-1])
+        assert abs(info[brand]["mean"] - (m * w).sum() / total) < 0.001
+        assert (shares[brand].p0, shares[brand].p1000) == (m[0], m[-1])
+        for p in (0.25, 0.5, 0.9):
+            assert abs(shares[brand][f"p{round(p * 1000)}"] - m[np.searchsorted(upto, total * p)]) <= near
+        inside = np.maximum(0, np.minimum(upto, total * 0.9) - np.maximum(upto - w, total * 0.1))
+        assert abs(trimmed[brand].trimmed_mean - (m * inside).sum() / inside.sum()) <= near
+
+
+def test_running_statistics_reach_every_order(spark):
+    assert QUERIES["ss_running_whole"](spark, SF).count() == spark.read.parquet(f"{SF}/orders.parquet").count()
