@@ -271,4 +271,6 @@ R.add("join_next", lambda s, d: joins.asof(_side(s, d, "purchase", "buy"), _side
 _spans = lambda s, d, n: table(s, d, "orders").filter(F.col("o_orderkey") % 5 == n).select(F.col("o_orderkey").alias(f"k{n}"), (F.col("o_custkey") * 10).alias(f"a{n}"), (F.col("o_custkey") * 10 + F.col("o_orderkey") % 37).alias(f"b{n}"))
 _SPANS = "s as (select o_orderkey k, o_custkey * 10 a, o_custkey * 10 + o_orderkey % 37 b from orders)"
 R.add("join_intervals", lambda s, d: joins.overlaps(_spans(s, d, 0), _spans(s, d, 1), ("a0", "b0"), ("a1", "b1"), 40).select("k0", "k1"), f"with {_SPANS} select x.k k0, y.k k1 from s x join s y on x.k % 5 = 0 and y.k % 5 = 1 and x.a <= y.b and y.a <= x.b")
+_every_span = lambda s, d, n: table(s, d, "orders").select(F.col("o_orderkey").alias(f"k{n}"), (F.col("o_custkey") * 10).alias(f"a{n}"), (F.col("o_custkey") * 10 + F.col("o_orderkey") % 37).alias(f"b{n}"))
+R.add("join_intervals_whole", lambda s, d: joins.overlaps(_every_span(s, d, 0), _every_span(s, d, 1), ("a0", "b0"), ("a1", "b1"), 40).select("k0", "k1"), f"with {_SPANS} select x.k k0, y.k k1 from s x join s y on x.a <= y.b and y.a <= x.b")
 R.add("join_salted", lambda s, d: joins.salted(table(s, d, "lineitem"), table(s, d, "supplier").withColumnRenamed("s_suppkey", "l_suppkey"), "l_suppkey", 8).groupBy("s_name").agg(F.count(F.lit(1)).alias("n")), "select s_name, count(*) n from lineitem join supplier on l_suppkey = s_suppkey group by 1")

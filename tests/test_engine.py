@@ -405,3 +405,9 @@ def test_whole_digests_are_near_brute_force(spark, tmp_path):
 
 def test_running_statistics_reach_every_order(spark):
     assert QUERIES["ss_running_whole"](spark, SF).count() == spark.read.parquet(f"{SF}/orders.parquet").count()
+
+
+def test_every_order_meets_itself_and_its_neighbours(spark):
+    spans = [(r.o_orderkey, r.o_custkey * 10, r.o_custkey * 10 + r.o_orderkey % 37) for r in spark.read.parquet(f"{SF}/orders.parquet").collect()]
+    want = sorted((k, j) for k, a, b in spans for j, c, e in spans if a <= e and c <= b)
+    assert sorted((r.k0, r.k1) for r in QUERIES["join_intervals_whole"](spark, SF).collect()) == want
