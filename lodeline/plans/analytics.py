@@ -79,6 +79,7 @@ _bits = lambda s, d: table(s, d, "events").select(F.col("event_type").alias("key
 _BITS = "b as (select event_type as key, user_id * 37 idx, case when event_id % 4 <> 0 then 1 else 0 end bit from events qualify row_number() over (partition by event_type, user_id order by event_id desc) = 1)"
 R.add("bit_count", lambda s, d: containers.bit_count(containers.bitsets(_bits(s, d))), f"with {_BITS} select key, cast(sum(bit) as bigint) bits from b group by key having sum(bit) > 0")
 R.add("bit_get", lambda s, d: containers.bit_get(containers.bitsets(_bits(s, d)), table(s, d, "customer").filter("c_custkey < 60").select(F.lit("click").alias("key"), (F.col("c_custkey") * 37).alias("idx"))), f"with {_BITS} select 'click' as key, c_custkey * 37 idx, cast(coalesce(bit, 0) as integer) bit from customer left join b on b.key = 'click' and b.idx = c_custkey * 37 where c_custkey < 60")
+R.add("bit_get_whole", lambda s, d: containers.bit_get(containers.bitsets(_bits(s, d)), table(s, d, "customer").select(F.lit("click").alias("key"), (F.col("c_custkey") * 37).alias("idx"))), R.sql["bit_get"].replace(" where c_custkey < 60", ""))
 _REC = "8:id,20:name,3:nation"
 _record = lambda s, d: table(s, d, "customer").select("c_custkey", containers.record_pack(_REC, F.col("c_custkey").cast("string"), F.col("c_name"), F.col("c_nationkey").cast("string")).alias("r"))
 _RECORD = "r as (select c_custkey, rpad(left(cast(c_custkey as varchar), 8), 8, ' ') || rpad(left(c_name, 20), 20, ' ') || rpad(left(cast(c_nationkey as varchar), 3), 3, ' ') r from customer)"
@@ -150,6 +151,7 @@ R.add("geo_radius", lambda s, d: indexes.geo_radius(_places(s, d), 42.69, 23.32,
 R.add("geo_radius_dateline", lambda s, d: indexes.geo_radius(_places(s, d), -10.0, 179.5, 3_000_000.0), f"with {_PLACES}, m as (select name, {_HAV.format(a='-10.0', b='lat', c='179.5', d='lon')} m from p) select name, cast(floor(m) as bigint) metres from m where m < 3000000")
 R.add("geo_distance", lambda s, d: indexes.geo_distance(_places(s, d), table(s, d, "customer").filter("c_custkey < 100").select(F.col("c_name").alias("name1"), F.concat(F.lit("Customer#"), F.lpad((F.col("c_custkey") * 3).cast("string"), 9, "0")).alias("name2"))),
       f"with {_PLACES}, q as (select c_name name1, 'Customer#' || lpad(cast(c_custkey * 3 as varchar), 9, '0') name2 from customer where c_custkey < 100) select name1, name2, coalesce(cast(floor({_HAV.format(a='a.lat', b='b.lat', c='a.lon', d='b.lon')}) as bigint), -1) metres from q left join p a on a.name = name1 left join p b on b.name = name2")
+R.add("geo_distance_whole", lambda s, d: indexes.geo_distance(_places(s, d), table(s, d, "customer").select(F.col("c_name").alias("name1"), F.concat(F.lit("Customer#"), F.lpad((F.col("c_custkey") * 3).cast("string"), 9, "0")).alias("name2"))), R.sql["geo_distance"].replace(" where c_custkey < 100", ""))
 _GEO_BITS = " || ".join(f"case when ({'x' if i % 2 == 0 else 'y'} // {1 << (29 - i // 2)}) % 2 = 1 then '1' else '0' end" for i in range(60))
 R.add("geo_encode", lambda s, d: _places(s, d).select("name", geohash.encode(F.col("lat"), F.col("lon")).alias("cell")).select("name", "cell", F.round(geohash.decode(F.col("cell"))["lat"], 4).alias("lat"), F.round(geohash.decode(F.col("cell"))["lon"], 4).alias("lon")),
       f"with {_PLACES}, g as (select name, lat, lon, cast(least(floor((lon + 180.0) / 360.0 * 1073741824), 1073741823) as bigint) x, cast(least(floor((lat + 90.0) / 180.0 * 1073741824), 1073741823) as bigint) y from p), b as (select *, {_GEO_BITS} bits from g) select name, "
@@ -167,6 +169,7 @@ R.add("fts_all", lambda s, d: text.search_all(_post(s, d, ["the", "than", "with"
 R.add("fts_any", lambda s, d: text.search_any(_post(s, d, ["than", "with", "von", "unknownword"]), ["than", "with", "von", "unknownword"], 40), f"with {_POST} select sort, sub, count(*) matches from i where word in ('than', 'with', 'von', 'unknownword') group by sort, sub order by matches desc, sort, sub limit 40")
 R.add("fts_all_unknown", lambda s, d: text.search_all(_post(s, d, ["the", "unknownword"]), ["the", "unknownword"], 40), f"with {_POST} select sort, sub from i where word in ('the', 'unknownword') group by sort, sub having count(*) = 2 order by sort, sub limit 40")
 R.add("fts_stale", lambda s, d: text.stale(_post(s, d).filter("sub < 100"), _post(s, d).filter("sub < 60 and word < 'm'")), f"with {_POST} select sub, word, sort from i where sub < 60 and word >= 'm' and sub in (select sub from i where word < 'm')")
+R.add("fts_stale_whole", lambda s, d: text.stale(_post(s, d), _post(s, d).filter("word < 'm'")), f"with {_POST} select sub, word, sort from i where word >= 'm' and sub in (select sub from i where word < 'm')")
 _named = lambda s, d: table(s, d, "part").select(F.col("p_partkey").alias("sub"), F.col("p_brand").alias("sort"), F.split("p_name", " ").alias("words"))
 _GRAMS = "n as (select p_partkey sub, p_brand sort, unnest(string_split(p_name, ' ')) w from part), g as (select distinct sort, sub, case when len(w) <= 3 then w else substr(w, k, 3) end word from (select *, unnest(range(1, greatest(len(w) - 1, 2))) k from n))"
 _gram = lambda s, d: text.postings(_named(s, d), text.grams(F.col("words")), "sort", "sub")
@@ -217,12 +220,14 @@ _ev = lambda s, d: table(s, d, "events")
 R.add("hll_count", lambda s, d: sketches.hll_estimate(sketches.hll(table(s, d, "lineitem"), F.col("l_partkey"), ["l_returnflag"]), ["l_returnflag"]))
 R.add("hll_union", lambda s, d: sketches.hll_estimate(sketches.hll_merge(sketches.hll(table(s, d, "lineitem"), F.col("l_partkey"), ["l_returnflag"]))))
 R.add("hll_relations", lambda s, d: sketches.hll_relations(sketches.hll(_ev(s, d), F.col("user_id"), ["event_type"]), "event_type", ["click", "view", "error"]))
+_everyone = lambda s, d: table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("item"))
 _users = lambda s, d: table(s, d, "customer").filter("c_custkey < 400").select(F.col("c_custkey").cast("string").alias("item"))
 # With slots far beyond the number of items a count-min sketch answers exactly, so SQL over the rows says the same.
 _USERS = "c as (select cast(c_custkey as varchar) item from customer where c_custkey < 400), u as (select cast(user_id as varchar) item, count(*) n from events group by 1)"
-R.add("bf_exists", lambda s, d: sketches.bloom_exists(sketches.bloom(_ev(s, d), F.col("user_id"), 1 << 20, 7), _users(s, d), 1 << 20, 7))
+R.add("bf_exists", lambda s, d: sketches.bloom_exists(sketches.bloom(_ev(s, d), F.col("user_id"), 1 << 20, 7), _everyone(s, d), 1 << 20, 7))
 R.add("cms_estimate", lambda s, d: sketches.counters_estimate(sketches.counters(_ev(s, d), F.col("user_id"), F.lit(1), 1 << 20, 4), _users(s, d), 1 << 20, 4), f"with {_USERS} select c.item, coalesce(u.n, 0) estimate from c left join u on c.item = u.item")
-R.add("cbf_estimate", lambda s, d: sketches.counters_estimate(sketches.counters(_ev(s, d), F.col("user_id"), F.lit(1), 1 << 20, 4, by_row=False), _users(s, d), 1 << 20, 4, by_row=False))
+R.add("cms_estimate_whole", lambda s, d: sketches.counters_estimate(sketches.counters(_ev(s, d), F.col("user_id"), F.lit(1), 1 << 20, 4), _everyone(s, d), 1 << 20, 4), R.sql["cms_estimate"].replace(" where c_custkey < 400", ""))
+R.add("cbf_estimate", lambda s, d: sketches.counters_estimate(sketches.counters(_ev(s, d), F.col("user_id"), F.lit(1), 1 << 20, 4, by_row=False), _everyone(s, d), 1 << 20, 4, by_row=False))
 R.add("cuckoo_ops", lambda s, d: sketches.cuckoo(_ev(s, d).select(F.col("event_type").alias("key"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 5 == 0, F.lit("exists")).when(F.col("event_id") % 7 == 0, F.lit("rem")).otherwise(F.lit("add")).alias("op"), F.col("user_id").cast("string").alias("item")), 1024, 16))
 _scores = lambda s, d: _ev(s, d).select("event_type", F.col("user_id").cast("string").alias("item"), F.col("value").alias("score"))
 _TOP = "b as (select event_type, cast(user_id as varchar) item, {f}(value) score from events group by 1, 2) select event_type, item, score from b qualify row_number() over (partition by event_type order by score {o}, item) <= 4"

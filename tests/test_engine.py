@@ -411,3 +411,24 @@ def test_every_order_meets_itself_and_its_neighbours(spark):
     spans = [(r.o_orderkey, r.o_custkey * 10, r.o_custkey * 10 + r.o_orderkey % 37) for r in spark.read.parquet(f"{SF}/orders.parquet").collect()]
     want = sorted((k, j) for k, a, b in spans for j, c, e in spans if a <= e and c <= b)
     assert sorted((r.k0, r.k1) for r in QUERIES["join_intervals_whole"](spark, SF).collect()) == want
+
+
+def test_every_customer_is_asked(spark, tmp_path):
+    """2,000 customers, of whom every third has events: far beyond the ids of the queries without _whole."""
+    spark.createDataFrame([(i, f"Customer#{i:09d}") for i in range(2000)], "c_custkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    events = [(j, i, "click") for j, i in enumerate(k for k in range(0, 2000, 3) for _ in range(1 + k % 4))]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    many = {str(i): 1 + i % 4 if i % 3 == 0 else 0 for i in range(2000)}
+    ask = lambda q: QUERIES[q](spark, str(tmp_path))
+    there = {r.item: r.found for r in ask("bf_exists").collect()}
+    assert there.keys() == many.keys() and all(there[i] for i in many if many[i])
+    assert {r.item: r.estimate for r in ask("cms_estimate_whole").collect()} == many
+    counted = {r.item: r.estimate for r in ask("cbf_estimate").collect()}
+    assert counted.keys() == many.keys() and all(counted[i] >= n for i, n in many.items())
+    for q in ("kv_set_whole", "kv_setex_whole", "kv_delete_whole", "bit_get_whole", "geo_distance_whole"):
+        assert ask(q).count() == 2000
+
+
+def test_stale_words_of_every_document(spark):
+    got = {r.sub for r in QUERIES["fts_stale_whole"](spark, SF).select("sub").distinct().collect()}
+    assert max(got) >= 100
