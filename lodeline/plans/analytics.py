@@ -208,6 +208,7 @@ for _m, _sql in _METRICS.items():
 R.add("vec_normalized", lambda s, d: _vec(s, d).select("name", F.round(vectors.magnitude(F.col("v")), 5).alias("magnitude"), F.round(F.get(vectors.normalized(F.col("v")), F.lit(3)), 5).alias("x3")), f"with {_V} select name, round({_MV}, 5) magnitude, round(v[4] / {_MV}, 5) x3 from v")
 R.add("vec_quantized", lambda s, d: _vec(s, d).select("name", *[F.get(vectors.quantize(vectors.normalized(F.col("v")), k), F.lit(0)).cast("int").alias(k.lower()) for k in ("I16", "I8", "BIT")]), f"with {_V} select name, cast(round(v[1] / {_MV} * 32767) as integer) i16, cast(round(v[1] / {_MV} * 127) as integer) i8, case when v[1] > 0 then 1 else 0 end bit from v")
 R.add("vec_nearest_each", lambda s, d: vectors.nearest_each(_vec(s, d), _vec(s, d).filter("name < 8").select(F.col("name").alias("query"), F.col("v").alias("q")), "COSINE", 5).select("query", "name", "place"), f"with e as (select vec_id as name, cast(embedding as double[]) v from embeddings), p as (select a.name query, b.name, 1 - (1 + list_sum(list_transform(range(1, {_DIM + 1}), lambda i: a.v[i] * b.v[i])) / (sqrt(list_sum(list_transform(a.v, lambda x: x * x))) * sqrt(list_sum(list_transform(b.v, lambda x: x * x))))) / 2 m from e a, e b where a.name < 8) select query, name, cast(row_number() over (partition by query order by m, name) as integer) place from p qualify row_number() over (partition by query order by m, name) <= 5")
+R.add("vec_nearest_each_whole", lambda s, d: vectors.nearest_each(_vec(s, d), _vec(s, d).filter("name % 20 = 0").select(F.col("name").alias("query"), F.col("v").alias("q")), "COSINE", 5).select("query", "name", "place"), R.sql["vec_nearest_each"].replace("a.name < 8", "a.name % 20 = 0"))
 R.add("vec_prepare", lambda s, d: vectors.prepare(_vec(s, d).drop("label"), _DIM, _DIM, "I8").select("name", F.round("magnitude", 5).alias("magnitude"), F.get("q", F.lit(2)).cast("int").alias("q2")), f"with {_V} select name, round({_MV}, 5) magnitude, cast(round(v[3] / {_MV} * 127) as integer) q2 from v")
 R.add("vec_prepare_projected", lambda s, d: vectors.prepare(_vec(s, d).drop("label"), _DIM, 16, "BIT"))
 R.add("vec_project", lambda s, d: _vec(s, d).select("name", F.size(vectors.project(F.col("v"), _DIM, 16)).alias("dims")), "select vec_id as name, 16 dims from embeddings")
