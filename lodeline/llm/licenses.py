@@ -4,7 +4,8 @@ Every template's shingles of ``k`` words are hashed and winnowed (the smallest h
 and an inverted index leads from a fingerprint to its templates and places. All shingles of a document are looked up, so
 any shingle shared at a template's fingerprint makes a candidate: template, and where in the document it would start.
 Candidates of one template whose starts lie within the band are one region, which a banded local alignment of words
-(+2 match, -1 mismatch or gap) compares with the template. Reported is what reaches the similarity: the share of the
+(+2 match, -1 mismatch or gap) compares with the template; what lies before and after the best match is aligned again,
+until nothing is left that reaches the similarity. Reported is what reaches the similarity: the share of the
 template's words matched (coverage), the same against the longer of template and span (similarity), and the span.
 
 Templates are a stated query set of at most ``MAX_TEMPLATES`` texts; their index goes to every task.
@@ -137,25 +138,66 @@ class Index:
         return [_outermost(m) for m in out]
 
     def _measure(self, words: Words, texts: list[bytes], d: int, t: int, anchors: list[int]):
-        template, band = self.words[t], self.band
         low, high = int(words.docs[d]), int(words.docs[d + 1])
+        base = sum(len(x) + 1 for x in texts[:d])
         group = [anchors[0]]
         for a in [*anchors[1:], None]:
-            if a is not None and a - group[-1] <= band:
+            if a is not None and a - group[-1] <= self.band:
                 group.append(a)
                 continue
-            wide = band + (group[-1] - group[0] + 1) // 2
-            middle = (group[0] + group[-1]) // 2
+            for first, end, matched in self._along(words, t, group, low, high):
+                a_byte = int(words.at[first]) - base
+                z = end - 1
+                z_byte = int(words.at[z] + words.ends[z] - words.starts[z]) - base
+                yield (self.names[t], len(texts[d][:a_byte].decode()), len(texts[d][:z_byte].decode()), matched, end - first)
+            group = [a]
+
+    def _along(self, words: Words, t: int, group: list[int], low: int, high: int):
+        """(first, end, matched) of all matches of one chain of starts, a bounded piece of it after the other.
+
+        No match is longer than ``most`` words. A piece leaves out what starts in its last ``most`` words, which the
+        next piece holds whole.
+        """
+        most = int(len(self.words[t]) / self.similarity) + 1
+        while group:
+            piece = [a for a in group if a <= group[0] + 4 * most + self.band]
+            found = self._within(words, t, piece, low, high)
+            if len(piece) == len(group):
+                yield from found
+                return
+            sure = piece[-1] - most
+            found = [f for f in found if f[0] < sure]
+            yield from found
+            low = max([low, *[end for _, end, _ in found]])
+            group = [a for a in group if a >= sure - most]
+
+    def _within(self, words: Words, t: int, anchors: list[int], low: int, high: int) -> list[tuple[int, int, int]]:
+        """The best match near the anchors, and those in the words before and after it."""
+        template, out = self.words[t], []
+        need, todo = self.similarity * len(template), [(anchors, low, high)]
+        while todo:
+            anchors, low, high = todo.pop()
+            if not anchors:
+                continue
+            wide = self.band + (anchors[-1] - anchors[0] + 1) // 2
+            middle = (anchors[0] + anchors[-1]) // 2
             first, last = max(low, middle - wide), min(high, middle + wide + len(template))
+            if last - first < need:
+                continue
             own = [_word(words, i) for i in range(first, last)]
+            there = set(own)
+            if sum(w in there for w in template) < need:
+                continue
             _, matched, begin, end = align(template, own, middle - first, wide)
-            if matched and matched >= self.similarity * max(len(template), end - begin):
-                base = sum(len(x) + 1 for x in texts[:d])
-                a_byte = int(words.at[first + begin]) - base
-                z = first + end - 1
-                z_byte = int(words.at[z] + words.ends[z] - words.starts[z]) - base
-                yield (self.names[t], len(texts[d][:a_byte].decode()), len(texts[d][:z_byte].decode()), matched, end - begin)
-            group = [a]
+            if not matched:
+                continue
+            if matched >= self.similarity * max(len(template), end - begin):
+                out.append((first + begin, first + end, matched))
+            # Starts as the fingerprints tell them may be off by the words that an edit adds or drops.
+            slack = max(self.band, len(template) // 4 + 1)
+            todo.append(([a for a in anchors if a < first + begin], first, first + begin))
+            todo.append(([a for a in anchors if a > first + end - slack], first + end, last))
+        return out
 
 
 def _word(words: Words, i: int) -> bytes:

@@ -300,6 +300,17 @@ def test_licence_spans(spark):
     assert got[2] == got[3] == got[4] == []
 
 
+@pytest.mark.parametrize("name", ["Apache-2.0-line", "MIT-line", "GPL-3.0-line", "CC-BY-NC-4.0-line", "ISC"])
+def test_notices_that_follow_each_other(name):
+    line, index = licenses.TEMPLATES[name], licenses.Index(licenses.TEMPLATES)
+    one = len(re.findall("[0-9A-Za-z]+", line))
+    for n in (1, 2, 3, 7, 40, 201):
+        got = index.scan([b"x", "\n".join(["é", *[line] * n, "end"]).encode(), b""])
+        assert got[0] == got[2] == []
+        size = len(line.rstrip("."))
+        assert got[1] == [(name, 2 + i * (len(line) + 1), 2 + i * (len(line) + 1) + size, one, one) for i in range(n)]
+
+
 # Pages
 
 
