@@ -1,8 +1,9 @@
 """License scans: winnowed fingerprints pick candidates, banded alignment measures them.
 
 Every template's shingles of ``k`` words are hashed and winnowed (the smallest hash of each window of ``w`` shingles),
-and an inverted index leads from a fingerprint to its templates and places. All shingles of a document are looked up, so
-any shingle shared at a template's fingerprint makes a candidate: template, and where in the document it would start.
+and an inverted index leads from a fingerprint to its templates and places. Of a template of at most ``SHORT`` words all
+shingles are kept, of so few words that one is left whatever edits the similarity allows. All shingles of a document are
+looked up, so any shingle shared at a template's fingerprint makes a candidate: template, and where in the document it would start.
 Candidates of one template whose starts lie within the band are one region, which a banded local alignment of words
 (+2 match, -1 mismatch or gap) compares with the template; what lies before and after the best match is aligned again,
 until nothing is left that reaches the similarity. Reported is what reaches the similarity: the share of the
@@ -10,13 +11,14 @@ template's words matched (coverage), the same against the longer of template and
 
 Templates are a stated query set of at most ``MAX_TEMPLATES`` texts; their index goes to every task.
 
-Defined cases: null and empty texts match nothing; a template of fewer than k words is one shingle of all its words;
-templates without words match nothing; repeated rows are each reported; a match inside a longer match of another
-template is left out; an empty table gives an empty result; other columns are ignored.
+Defined cases: null and empty texts match nothing; a template of at most k words is found only with all its words,
+others between them as the similarity allows; templates without words match nothing; repeated rows are each reported; a
+match inside a longer match of another template is left out; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 
 import numpy as np
@@ -28,6 +30,8 @@ from lodeline.llm.common import ship, slices, texts_of
 from lodeline.llm.words import ALNUM, Words, split
 
 MAX_TEMPLATES = 10_000
+#: Templates of at most so many words are looked up by all their shingles.
+SHORT = 16
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 #: Public notices as they are written.
@@ -67,6 +71,14 @@ def winnow(hashes: np.ndarray, w: int) -> list[int]:
     return sorted({i + w - 1 - int(np.argmin(hashes[i : i + w][::-1])) for i in range(len(hashes) - w + 1)})
 
 
+def surviving(n: int, least: int, similarity: float) -> int:
+    """Words of the longest run that is left in every match of a template of n words, at the worst.
+
+    A match of m words lacks n - m of the template's and holds m / similarity - m others at most; each splits a run.
+    """
+    return min((-(-m // (1 + n - m + int(m / similarity + 1e-9) - m)) for m in range(least, n + 1)), default=0) if n else 0
+
+
 def align(template: list[bytes], words: list[bytes], shift: int, band: int) -> tuple[int, int, int, int]:
     """(score, matches, first, end) of the best local alignment near the diagonal word = template + shift.
 
@@ -109,15 +121,19 @@ class Index:
         places: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
         for t, own in enumerate(self.words):
             hashes = words.hashes[words.docs[t] : words.docs[t + 1]]
-            size = min(k, len(own))
+            size = surviving(len(own), self._least(len(own)), similarity) if len(own) <= SHORT else k
             if size:
                 found = shingles(hashes, size)
-                for at in winnow(found, w):
+                for at in range(len(found)) if len(own) <= SHORT else winnow(found, w):
                     places[size, int(found[at])].append((t, at))
         self.sizes = sorted({s for s, _ in places})
         self.places = dict(places)
         self.known = {s: np.array(sorted(h for q, h in places if q == s), np.uint64) for s in self.sizes}
 
+    def _least(self, n: int) -> int:
+        """Words that a match of a template of n words has at least."""
+        return n if n <= self.k else math.ceil(self.similarity * n - 1e-9)
+
     def scan(self, texts: list[bytes]) -> list[list[tuple[str, int, int, int, int]]]:
         """For each text its matches: (template, start, end in code points, matched words, words of the span)."""
         words = split(texts, ALNUM)
@@ -139,13 +155,13 @@ class Index:
 
     def _measure(self, words: Words, texts: list[bytes], d: int, t: int, anchors: list[int]):
         low, high = int(words.docs[d]), int(words.docs[d + 1])
-        base = sum(len(x) + 1 for x in texts[:d])
         group = [anchors[0]]
         for a in [*anchors[1:], None]:
             if a is not None and a - group[-1] <= self.band:
                 group.append(a)
                 continue
             for first, end, matched in self._along(words, t, group, low, high):
+                base = sum(len(x) + 1 for x in texts[:d])
                 a_byte = int(words.at[first]) - base
                 z = end - 1
                 z_byte = int(words.at[z] + words.ends[z] - words.starts[z]) - base
@@ -174,7 +190,7 @@ class Index:
     def _within(self, words: Words, t: int, anchors: list[int], low: int, high: int) -> list[tuple[int, int, int]]:
         """The best match near the anchors, and those in the words before and after it."""
         template, out = self.words[t], []
-        need, todo = self.similarity * len(template), [(anchors, low, high)]
+        need, todo = self._least(len(template)), [(anchors, low, high)]
         while todo:
             anchors, low, high = todo.pop()
             if not anchors:
@@ -191,7 +207,7 @@ class Index:
             _, matched, begin, end = align(template, own, middle - first, wide)
             if not matched:
                 continue
-            if matched >= self.similarity * max(len(template), end - begin):
+            if matched >= max(need, self.similarity * (end - begin)):
                 out.append((first + begin, first + end, matched))
             # Starts as the fingerprints tell them may be off by the words that an edit adds or drops.
             slack = max(self.band, len(template) // 4 + 1)

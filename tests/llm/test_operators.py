@@ -311,6 +311,34 @@ def test_notices_that_follow_each_other(name):
         assert got[1] == [(name, 2 + i * (len(line) + 1), 2 + i * (len(line) + 1) + size, one, one) for i in range(n)]
 
 
+def test_edited_notices_that_follow_each_other():
+    line = licenses.TEMPLATES["Apache-2.0-line"]
+    edited = [line, line.replace("Apache License", "Apache Software License"), line.replace("Licensed ", "Provided "), line]
+    got = licenses.Index(licenses.TEMPLATES).scan([" ".join(edited * 30).encode()])[0]
+    assert [m[3:] for m in got] == [(8, 8), (8, 9), (7, 7), (8, 8)] * 30
+
+
+def test_short_notices_are_found_whatever_the_edits():
+    """All edits of one or two words: found wherever a full alignment reaches 0.8 of the longer of notice and span."""
+    index, seen = licenses.Index(licenses.TEMPLATES), 0
+    for name, text in licenses.TEMPLATES.items():
+        own = words_of(text)
+        n = len(own)
+        if n > licenses.SHORT:
+            continue
+        for i, j in itertools.combinations_with_replacement(range(n), 2):
+            for a, b in itertools.product(([], ["zzz"], None), repeat=2):  # None: a word more, before this one
+                edit = {j: b, i: a}
+                out = [x for k, w in enumerate(own) for x in ([w] if k not in edit else ["zzz", w] if edit[k] is None else edit[k])]
+                doc = ["so", *out, "it", "ends"]
+                _, matched, first, end = brute_align(own, doc)
+                found = [m[3:] for m in index.scan([" ".join(doc).encode()])[0] if m[0] == name]
+                right = matched >= (n if n <= index.k else 0.8 * n) and matched >= 0.8 * (end - first)
+                assert found == [(matched, end - first)] * right, (name, out)
+                seen += right
+    assert seen > 500
+
+
 # Pages
 
 
