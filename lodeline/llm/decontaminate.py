@@ -10,7 +10,8 @@ The benchmark is a stated query set: it is taken in blocks of ``block_bytes``, e
 in the same task (no shuffle), so what a worker holds is bounded however many items there are.
 
 Defined cases: null and empty texts (and items) have no words and match nothing; repeated items count once by
-item_id; repeated documents are each reported; an empty benchmark marks nothing; other columns are ignored.
+item_id; items without an item_id are searched like others and together stand as one null, the last of the list;
+repeated documents are each reported; an empty benchmark marks nothing; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -97,7 +98,7 @@ class Searcher:
 class Benchmark:
     """Windows of the items, by length."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int):
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int):
         by: dict[int, dict[bytes, list[int]]] = {}
         self.names = [name for name, _ in items]
         words = split([t for _, t in items], ALNUM)
@@ -116,7 +117,7 @@ class Benchmark:
         """For each text: a mask of its words (True: hit), and the set of item names."""
         words = split(texts, ALNUM)
         cover = np.zeros(len(words.hashes) + 1, np.int64)
-        names: list[set[str]] = [set() for _ in texts]
+        names: list[set[str | None]] = [set() for _ in texts]
         for s in self.searchers:
             last, pattern = s.search(words)
             np.add.at(cover, last - s.length + 1, 1)
@@ -132,7 +133,7 @@ def _item_blocks(items: DataFrame, block_bytes: int):
     block, size = [], 0
     for row in items.select(F.col("item_id").cast("string"), F.col("text").cast("binary")).toLocalIterator():
         text = bytes(row[1] or b"")
-        if row[0] is None or not text:
+        if not text:
             continue
         if block and size + len(text) > block_bytes:
             yield block
@@ -143,7 +144,7 @@ def _item_blocks(items: DataFrame, block_bytes: int):
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 8 << 20, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns of each row with n_words, n_hit (words inside any occurrence) and items (ids, sorted strings)."""
+    """``keep`` columns of each row with n_words, n_hit (words inside any occurrence) and items (ids, sorted strings, then null for those without)."""
     ship(docs.sparkSession)
     keep = ["doc_id"] if keep is None else keep
     fields = [docs.schema[c] for c in keep]
@@ -169,7 +170,7 @@ def _pass(block, window: int, kept: int, resumed: bool, last: bool):
                     masks = [m | np.unpackbits(np.frombuffer(o, np.uint8))[: len(m)].astype(bool) for m, o in zip(masks, old, strict=True)]
                     names = [n.union(o) for n, o in zip(names, batch.column(kept + 2).slice(a, b - a).to_pylist(), strict=True)]
                 own = [batch.column(c).slice(a, b - a) for c in range(kept)]
-                listed = pa.array([sorted(n) for n in names], pa.list_(pa.string()))
+                listed = pa.array([sorted(n - {None}) + [None] * (None in n) for n in names], pa.list_(pa.string()))
                 labels = batch.schema.names[:kept]
                 if last:
                     counts = [pa.array([len(m) for m in masks], pa.int64()), pa.array([int(m.sum()) for m in masks], pa.int64())]

@@ -194,8 +194,14 @@ def op6_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without all but one row (that of the smallest doc_id) of each group of near-duplicates."""
+    """``docs`` without all but one row (that of the smallest doc_id) of each group of near-duplicates.
+
+    Rows without a doc_id stand for themselves by text: one of each text is kept, near-duplicates or not.
+    """
     groups = near_duplicates(docs, **options)
     drop = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     kept = docs.join(drop, "doc_id", "left_anti")
-    return kept.dropDuplicates(["doc_id"]) if not groups.groupBy("doc_id").count().filter("count > 1").isEmpty() else kept
+    if groups.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return kept
+    own = next(c for c in (f"_own{i}" for i in range(len(docs.columns) + 1)) if c not in docs.columns)
+    return kept.withColumn(own, F.when(F.col("doc_id").isNull(), F.col("text"))).dropDuplicates(["doc_id", own]).select(*[F.col(f"`{c}`") for c in docs.columns])

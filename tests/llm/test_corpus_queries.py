@@ -14,6 +14,7 @@ from test_sstable import tokenizer
 import corpus_pipeline
 from lodeline.llm import mixing, pii, quality
 from lodeline.llm.queries import ORACLE_SQL, QUERIES
+from lodeline.llm import decontaminate
 
 
 def small_tables():
@@ -162,3 +163,18 @@ def test_pipeline_against_brute_force(spark, folder):
         want.append((i, start, len(tokens), zlib.crc32(np.array(tokens, "<u4").tobytes())))
         start += len(tokens)
     assert sorted(tuple(r) for r in corpus_pipeline.run(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32").collect()) == want
+
+
+def test_op9_searches_items_without_an_id(spark, tmp_path):
+    passage, other = "ten words stand here in a row and end it", "these are nine more words of some other passage"
+    docs = [(1, f"So {passage} ends."), (2, f"{other}, and {passage}"), (3, "nothing of it"), (4, other)]
+    items = [(None, passage), (None, passage.upper()), (7, other), (None, "never seen anywhere"), (None, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    test_against_sql(spark, str(tmp_path), "op9_decontaminate")
+    tables = [spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("documents", "benchmark")]
+    for block in (8 << 20, 1):
+        got = {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate.scan(*tables, block_bytes=block).collect()}
+        assert got == {1: (10, [None]), 2: (19, ["7", None]), 3: (0, []), 4: (9, ["7"])}
+    assert [r.doc_id for r in decontaminate.clean(*tables).collect()] == [3]

@@ -106,3 +106,10 @@ def test_one_large_group_of_near_copies(spark):
     got = {r.node: r.component for r in S.components(edges).collect()}
     assert {i: got.get(i, i) for i in range(len(fps))} == want
     assert edges.filter(F.col("u") >= F.col("v")).isEmpty()
+
+
+def test_rows_without_an_id_stand_for_themselves_by_text(spark):
+    a, b = "one text of some words that stand here alone", "quite another thing is told in this other row"
+    rows = [(None, a), (None, b), (None, b), (None, None), (None, None), (3, a), (4, a), (7, "a third text with no copy at all in the table")]
+    kept = S.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((tuple(r) for r in kept.collect()), key=repr) == sorted([(None, a), (None, b), (None, None), (3, a), (7, rows[-1][1])], key=repr)
