@@ -9,10 +9,12 @@ with a crc32 after it; an entry is ``shared | unshared | value length`` as varin
 Keys order as ids do: null first, then integers, then strings; a repeated id repeats its key.
 
 Shards go to the shared folder under names that no other attempt uses; the manifest, written by Spark's own commit
-protocol, names those that count. A lost executor leaves at most a file that no manifest names.
+protocol, names those that count. A lost executor leaves at most a file that no manifest names. The manifest's rows, one
+a shard, are gathered to few files, as a file a shard would cost a task and two small files each.
 
 Defined cases: null text is the empty text, one end id; null ids sort first; repeated rows are all kept; an empty table
-writes no shard; other columns are ignored.
+writes no shard; other columns are ignored; the content of an added token inside a text (such as an end-of-text mark)
+becomes that token, as the library does by default, or ordinary text with ``marks_as_text``.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from __future__ import annotations
 import bisect
 import json
 import re
+from array import array
 import struct
 import uuid
 import zlib
@@ -91,7 +94,7 @@ class Writer:
         self.out, self.width, self.limit = out, width, block_bytes
         self.at = self.docs = self.tokens = 0
         self.index: list[tuple[bytes, int, int]] = []
-        self.hashes: list[tuple[int, int]] = []
+        self.hashes = (array("Q"), array("Q"))
         self.first = self.last = b""
         self._start()
 
@@ -119,7 +122,8 @@ class Writer:
         self.previous = self.last = key
         self.docs += 1
         self.tokens += len(ids) // self.width
-        self.hashes.append((xxhash.xxh64_intdigest(key, 0), xxhash.xxh64_intdigest(key, 1) | 1))
+        self.hashes[0].append(xxhash.xxh64_intdigest(key, 0))
+        self.hashes[1].append(xxhash.xxh64_intdigest(key, 1) | 1)
         if self.size >= self.limit:
             self._flush()
 
@@ -138,12 +142,11 @@ class Writer:
         index = b"".join(_varint(len(k)) + k + _varint(a) + _varint(n) for k, a, n in self.index)
         bits = max(64, self.docs * BLOOM_BITS)
         bloom = np.zeros((bits + 7) // 8, np.uint8)
-        if self.hashes:
-            a, b = np.array(self.hashes, np.uint64).T
-            for i in range(BLOOM_HASHES):
-                # Python integers, as a reader's probes must not wrap at 64 bits.
-                at = np.array([(int(x) + i * int(y)) % bits for x, y in zip(a, b, strict=True)], np.int64)
-                np.bitwise_or.at(bloom, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        # Remainders before sums, as a reader's probes do not wrap at 64 bits.
+        a, b = (np.array(h, np.uint64) % np.uint64(bits) for h in self.hashes)
+        for i in range(BLOOM_HASHES):
+            at = ((a + np.uint64(i) * b) % np.uint64(bits)).astype(np.int64)
+            np.bitwise_or.at(bloom, at >> 3, (1 << (at & 7)).astype(np.uint8))
         index = zstandard.ZstdCompressor(level=1).compress(index)
         self.out.write(index + bloom.tobytes())
         self.out.write(_FOOTER.pack(self.at, len(index), len(bloom), bits, self.docs, self.tokens, self.width, zlib.crc32(index + bloom.tobytes()), MAGIC))
@@ -245,9 +248,12 @@ _LONG = 1 << 18
 
 
 class Encoder:
-    """A tokenizer of the tokenizers library. Byte-level ones encode each distinct piece once and remember its ids."""
+    """A tokenizer of the tokenizers library. Byte-level ones encode each distinct piece once and remember its ids.
 
-    def __init__(self, path: str | None):
+    marks_as_text: the content of added tokens inside a text is ordinary text, not the token.
+    """
+
+    def __init__(self, path: str | None, marks_as_text: bool = False):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -256,11 +262,12 @@ class Encoder:
 
         path = path or public_tokenizers.path("byte_bpe_50k.json")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = marks_as_text
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         self.pieces = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
+        self.marks = [] if marks_as_text else [t["content"].encode() for t in spec.get("added_tokens") or []]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.bytes_of = [i.to_bytes(self.width, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.cache: dict[bytes, bytes] = {}
@@ -288,7 +295,7 @@ class Encoder:
 
     def encode(self, text: bytes) -> bytes:
         """Ids of a whole UTF-8 text, as little-endian integers of ``width`` bytes."""
-        if not self.pieces or text.translate(None, _PLAIN) or any(s in text for s in _SIGNS):
+        if not self.pieces or text.translate(None, _PLAIN) or any(s in text for s in _SIGNS) or any(m in text for m in self.marks):
             return self._slow(text)
         out, cache = [], self.cache
         for part in self._parts(text):
@@ -303,21 +310,25 @@ class Encoder:
         return b"".join(out)
 
 
-_encoders: dict[str | None, Encoder] = {}
+_encoders: dict[tuple[str | None, bool], Encoder] = {}
 
 
-def encoder(path: str | None) -> Encoder:
+def encoder(path: str | None, marks_as_text: bool = False) -> Encoder:
     """This worker's encoder; it serves all tasks that run here."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, marks_as_text) not in _encoders:
+        _encoders[path, marks_as_text] = Encoder(path, marks_as_text)
+    return _encoders[path, marks_as_text]
 
 
 def _open(uri: str):
     return pafs.FileSystem.from_uri(uri)
 
 
-def write(docs: DataFrame, folder: str, tokenizer_path: str | None = None, end_id: int = 0, partitions: int | None = None) -> DataFrame:
+#: Shards that one file of the manifest names, about.
+_SHARDS_A_FILE = 100
+
+
+def write(docs: DataFrame, folder: str, tokenizer_path: str | None = None, end_id: int = 0, partitions: int | None = None, marks_as_text: bool = False) -> DataFrame:
     """Write ``docs`` (doc_id, text) as shards in ``folder``, a URI all executors share; the manifest, one row a shard."""
     ship(docs.sparkSession)
     fs, path = _open(folder)
@@ -325,7 +336,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str | None = None, end_i
 
     def run(batches):
         out = writer = name = None
-        enc = encoder(tokenizer_path)
+        enc = encoder(tokenizer_path, marks_as_text)
         fs, path = _open(folder)
         end = end_id.to_bytes(enc.width, "little")
         part = TaskContext.get().partitionId()
@@ -343,7 +354,10 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str | None = None, end_i
 
     rows = docs.select("doc_id", "text")
     rows = rows.repartitionByRange(partitions, "doc_id") if partitions else rows.repartitionByRange("doc_id")
-    rows.sortWithinPartitions("doc_id").mapInArrow(run, "shard int, file string, n_docs long, n_tokens long, first_key binary, last_key binary").write.parquet(f"{folder}/manifest")
+    written = rows.sortWithinPartitions("doc_id").mapInArrow(run, "shard int, file string, n_docs long, n_tokens long, first_key binary, last_key binary")
+    # A task gives one row at most and deals it by its own number, so a task that runs again replaces its row.
+    shards = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    written.repartition(max(1, -(-shards // _SHARDS_A_FILE))).write.parquet(f"{folder}/manifest")
     return manifest(docs.sparkSession, folder)
 
 
@@ -389,7 +403,7 @@ def read(spark: SparkSession, folder: str, id_type: str = "long", with_ids: bool
 
     ddl = f"doc_id {'long' if to == pa.int64() else 'string'}, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
     files = manifest(spark, folder).select("file", "first_token")
-    return files.repartition(max(1, spark.sparkContext.defaultParallelism * 2), "file").mapInArrow(run, ddl)
+    return files.repartition(max(1, spark.sparkContext.defaultParallelism * 2)).mapInArrow(run, ddl)
 
 
 def lookup(spark: SparkSession, folder: str, ids: list) -> dict:
@@ -419,5 +433,3 @@ def round_trip(docs: DataFrame, tokenizer_path: str | None = None, end_id: int =
 def op1_token_sstable(spark, sf_dir: str) -> DataFrame:
     """Whole ``documents`` through the shards and back."""
     return round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-
-

@@ -14,9 +14,7 @@ from lodeline.llm.common import fresh_path
 
 
 def tokenizer():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_encoder_equals_the_tokenizer():
@@ -25,8 +23,14 @@ def test_encoder_equals_the_tokenizer():
     texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 300))) for _ in range(400)]
     texts += ["word " * 70_000, "a" * 300_000, "\n" * 300_000, "it's we'll  don't\n\n x", "don'" + " 's 'S"]
     t, e = tokenizer(), S.Encoder(None)
+    texts += ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "<|endoftext", "word " * 5_000 + "<|endoftext|>\n"]
     for text in texts:
         assert np.frombuffer(e.encode(text.encode()), "<u2").tolist() == t.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(e.encode(b"a <|endoftext|> b"), "<u2").tolist() == [64, 220, 50256, 275]
+    plain = S.Encoder(None, marks_as_text=True)
+    t.encode_special_tokens = True
+    for text in texts[-4:]:
+        assert np.frombuffer(plain.encode(text.encode()), "<u2").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
 def test_shard_lookup_and_damage():
