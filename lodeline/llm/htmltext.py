@@ -10,9 +10,12 @@ The pages table has no labels, so the operator's default training pages are made
 invented words in which the article's nodes are known. ``train`` takes any labelled pages of that form.
 
 Defined cases: null and empty html give the empty text; broken markup is read as browsers do in the main (elements left
-open end with their parent, a paragraph ends where the next block starts, an unfinished tag is dropped); scripts,
-styles, comments and forms' controls are never text; repeated rows are each extracted; an empty table gives an empty
-result; other columns pass through untouched where they are asked for.
+open end with their parent, a paragraph ends where the next block starts, an unfinished tag is dropped, quotes count
+only where an attribute's value starts); a value whose quote never closes ends with its tag at the next ``>``; scripts,
+styles, comments and forms' controls are never text; elements may be nested to any depth; repeated rows are each
+extracted; an empty table gives an empty result; other columns pass through untouched where they are asked for.
+
+Reading a page takes time in proportion to its length, whatever its markup.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -43,7 +47,9 @@ BLOCKS = [
 ]
 _TAG = {t: i for i, t in enumerate(BLOCKS)}
 #: An open element of these ends where one of the others starts.
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}
+#: They reach no farther than the innermost of these.
+HOLDERS = ("ul", "ol", "dl", "table")
 HINTS = [
     re.compile(p)
     for p in (
@@ -51,8 +57,11 @@ HINTS = [
         r"comment|reply|disqus|discussion", r"cookie|consent|notice|popup|modal|alert|subscribe|newsletter|share|social", r"content|article|post|entry|story|main|body|text",
     )
 ]
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(?=[a-zA-Z/!?])[^<>]*\Z", re.S)
-_ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+_GAP = re.compile(r"[\s/]*")
+_KEY = re.compile(r"=?[^\s/>=]*")
+_IS = re.compile(r"\s*=\s*")
+_BARE = re.compile(r"[^\s>]*")
 _SPACES = re.compile(r"\s+")
 KINDS = 5  # of child for parent-child potentials: run, paragraph-like, list-like, section-like, other
 OWN = 34
@@ -79,63 +88,144 @@ class Tree:
         return len(self.parent) - 1
 
 
+class _Reader:
+    """Tags of a page, in one pass. What was once looked for in vain is not looked for again."""
+
+    def __init__(self, page: str):
+        self.page, self.size = page, len(page)
+        self.lacking: set[str] = set()
+
+    def find(self, what: str, at: int) -> int:
+        """Where ``what`` is next, or -1."""
+        if what in self.lacking:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.lacking.add(what)
+        return found
+
+    def end_of(self, name: str, at: int) -> int:
+        """Where the next end tag of ``name`` ends, or -1."""
+        if "</" + name in self.lacking:
+            return -1
+        found = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(self.page, at)
+        if not found:
+            self.lacking.add("</" + name)
+            return -1
+        return found.end()
+
+    def attributes(self, at: int) -> tuple[int, list[tuple[str, str]], bool]:
+        """(where the tag ends, or -1 if it never does; attributes with values; whether it closes itself)."""
+        page, out = self.page, []
+        while True:
+            gap = _GAP.match(page, at)
+            at = gap.end()
+            if at >= self.size:
+                return -1, out, False
+            if page[at] == ">":
+                return at + 1, out, gap[0].endswith("/")
+            key = _KEY.match(page, at)
+            sign = _IS.match(page, key.end())
+            if not sign:
+                at = key.end()
+                continue
+            at = sign.end()
+            quote = page[at : at + 1]
+            if quote in ("'", '"'):
+                end = self.find(quote, at + 1)
+                if end < 0:
+                    end = self.find(">", at)
+                    return end + 1 if end >= 0 else -1, out, False
+                value, at = page[at + 1 : end], end + 1
+            else:
+                bare = _BARE.match(page, at)
+                value, at = bare[0], bare.end()
+            out.append((key[0].lower(), value))
+
+    def tags(self):
+        """(start, end, "/" of an end tag or "", name, attributes, closes itself); a comment has no name."""
+        page, at = self.page, 0
+        while (start := page.find("<", at)) >= 0:
+            mark = page[start + 1 : start + 2]
+            close = "/" if mark == "/" else ""
+            name = _NAME.match(page, start + 1 + len(close))
+            if name:
+                at, attrs, alone = self.attributes(name.end())
+                at = self.size if at < 0 else at
+                # What a tag's element holds may be skipped by whoever reads it.
+                to = yield start, at, close, name[0].lower() if at < self.size or page.endswith(">") else None, attrs, alone
+                at = to if to is not None else at
+            elif mark in ("!", "?", "/") and mark:
+                comment = page.startswith("<!--", start)
+                end = self.find("-->", start + 2) if comment else self.find(">", start)
+                at = self.size if end < 0 else end + (3 if comment else 1)
+                yield start, at, close, None, (), False
+            else:
+                at = start + 1
+
+
 def parse(page: str) -> Tree:
     """The tree of a page. An attribute ``data-label="1"`` marks content in training pages."""
-    tree = Tree()
-    stack = [("html", tree.add(-1, _TAG["html"]), 0)]
-    run: list[str] = []
-    linked = depth_a = at = 0
+    tree, reader = Tree(), _Reader(page)
+    stack: list[tuple[str, int, int]] = []
+    places: dict[str, list[int]] = defaultdict(list)  # of each open block's name, where in the stack it stands
     inline: list[str] = []
+    inside: dict[str, int] = defaultdict(int)  # open inline elements by name
+    run: list[str] = []
+    linked = 0
+
+    def say(text: str):
+        nonlocal linked
+        if text:
+            run.append(html.unescape(text) if "&" in text else text)
+            linked += len(text) * (inside["a"] > 0)
 
     def flush():
         nonlocal linked
         if run:
-            text = _SPACES.sub(" ", html.unescape("".join(run))).strip()
+            text = _SPACES.sub(" ", "".join(run)).strip()
             if text:
                 tree.add(stack[-1][1], -1, 0, text, min(linked, len(text)), stack[-1][2])
             run.clear()
         linked = 0
 
+    def push(name: str, hint: int = 0, label: int = 0):
+        places[name].append(len(stack))
+        stack.append((name, tree.add(stack[-1][1] if stack else -1, _TAG.get(name, -2), hint, label=label), label))
+
     def close_to(n: int):
         flush()
-        del stack[n:]
-
-    size = len(page)
-    while at < size:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            run.append(page[at:])
-            linked += (size - at) * (depth_a > 0)
-            break
-        if m.start() > at:
-            run.append(page[at : m.start()])
-            linked += (m.start() - at) * (depth_a > 0)
-        at = m.end()
-        name = m[2]
+        while len(stack) > n:
+            places[stack.pop()[0]].pop()
+        inline.clear()
+        inside.clear()
+
+    push("html")
+    at, tags = 0, reader.tags()
+    to = None
+    while (tag := _next(tags, to)) is not None:
+        start, end, close, name, attrs, alone = tag
+        to = None
+        say(page[at:start])
+        at = end
         if name is None:
             continue
-        name = name.lower()
-        if m[1]:
+        if close:
             if name in INLINE:
-                if name in inline:
-                    while inline.pop() != name:
-                        pass
-                    depth_a = inline.count("a")
-                continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    close_to(k)
-                    inline.clear()
-                    depth_a = 0
-                    break
+                while inside[name]:
+                    last = inline.pop()
+                    inside[last] -= 1
+                    if last == name:
+                        break
+            elif places[name] and places[name][-1] > 0:
+                close_to(places[name][-1])
             continue
         if name in SILENT:
             if name in RAW or name in ("svg", "template", "select", "object", "button", "canvas"):
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                if end:
-                    at = end.end()
-                elif name in RAW:
-                    at = size
+                to = reader.end_of(name, end)
+                if to < 0:
+                    to = len(page) if name in RAW else None
+                at = end if to is None else to
             run.append(" ")
             continue
         if name in VOID:
@@ -144,43 +234,44 @@ def parse(page: str) -> Tree:
                 flush()
             continue
         if name in INLINE:
-            if m[3].rstrip().endswith("/"):
-                continue
-            inline.append(name)
-            depth_a += name == "a"
+            if not alone:
+                inline.append(name)
+                inside[name] += 1
             continue
-        flush()
-        inline.clear()
-        depth_a = 0
+        close_to(len(stack))
         if name in ("html", "body"):
             if name == "body" and len(stack) == 1:
-                stack.append(("body", tree.add(0, _TAG["body"]), 0))
+                push("body")
             continue
         if stack[-1][0] == "p" or (stack[-1][0][0] == "h" and stack[-1][0][1:].isdigit()):
-            stack.pop()
-        ends = CLOSES.get(name)
-        if ends:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in ends and (name not in ("tr",) or stack[k][0] == "tr"):
-                    close_to(k)
-                    break
-                if stack[k][0] in ("ul", "ol", "dl", "table"):
-                    break
-        hint, label, attrs = 0, stack[-1][2], m[3]
-        if attrs:
-            for a in _ATTR.finditer(attrs):
-                value = (a[2] or a[3] or a[4] or "").lower()
+            close_to(len(stack) - 1)
+        if name in CLOSES:
+            k = max((places[t][-1] for t in CLOSES[name] if places[t]), default=0)
+            if k > max((places[t][-1] for t in HOLDERS if places[t]), default=0):
+                close_to(k)
+        hint, label = 0, stack[-1][2]
+        for key, value in attrs:
+            if key in ("class", "id", "role"):
+                value = value.lower()
                 for i, h in enumerate(HINTS):
                     if h.search(value):
                         hint |= 1 << i
-            if "data-label" in attrs:
-                label = int('data-label="1"' in attrs)
-        if len(stack) < 512:
-            stack.append((name, tree.add(stack[-1][1], _TAG.get(name, -2), hint, label=label), label))
+            elif key == "data-label":
+                label = int(value == "1")
+        push(name, hint, label)
+    say(page[at:])
     flush()
     return tree
 
 
+def _next(tags, to: int | None):
+    """The next tag, read from ``to`` on where that is given; None at the end."""
+    try:
+        return tags.send(to)
+    except StopIteration:
+        return None
+
+
 @dataclass
 class Forest:
     """The trees of many pages side by side."""
@@ -206,6 +297,12 @@ for _k, _tags in enumerate(_GROUPS.values()):
 _OWN_TAGS = ["article", "main", "section", "div", "p", "h1", "h2", "ul", "li", "header", "footer", "nav", "aside", "form", "table"]
 
 
+def by_level(depth: np.ndarray) -> list[np.ndarray]:
+    """The nodes of each depth, in page order."""
+    order = np.argsort(depth, kind="stable")
+    return np.split(order, np.searchsorted(depth[order], np.arange(1, int(depth.max(initial=0)) + 1)))
+
+
 def forest(trees: list[Tree]) -> Forest:
     sizes = [len(t.parent) for t in trees]
     starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
@@ -222,14 +319,13 @@ def forest(trees: list[Tree]) -> Forest:
             depth[i] = depth[p] + 1
     total, links, runs, ends, kids = chars.copy(), linked.copy(), (tag == -1).astype(float), closed.copy(), np.zeros(n)
     above = np.where(parent >= 0, hint[parent], 0)
-    for d in range(int(depth.max(initial=0)), 0, -1):
-        at = np.flatnonzero(depth == d)
+    levels = by_level(depth)
+    for at in reversed(levels[1:]):
         for a in (total, links, runs, ends):
             np.add.at(a, parent[at], a[at])
-        np.add.at(kids, parent[at], 1)
-    for d in range(1, int(depth.max(initial=0)) + 1):
-        at = np.flatnonzero(depth == d)
-        above[at] |= above[np.maximum(parent[at], 0)]
+    np.add.at(kids, parent[parent >= 0], 1)
+    for at in levels[1:]:
+        above[at] |= above[parent[at]]
     page = np.repeat(np.arange(len(trees)), sizes)
     whole = np.maximum(1, total[starts[:-1]])[page] if n else total
     some = np.maximum(total, 1)
@@ -250,12 +346,12 @@ class TreeModel:
         """Beliefs below each node (log odds), messages up to the parent, and marginals (log odds)."""
         e = f.x @ self.weights
         up, below = np.zeros_like(e), e.copy()
-        levels = [np.flatnonzero(f.depth == d) for d in range(int(f.depth.max(initial=0)) + 1)]
+        levels = by_level(f.depth)
         t = self.pairs[f.kind]
         for at in reversed(levels[1:]):
             b = below[at]
             up[at] = np.logaddexp(t[at, 1, 1] + b, t[at, 1, 0]) - np.logaddexp(t[at, 0, 1] + b, t[at, 0, 0])
-            below += np.bincount(f.parent[at], up[at], len(below))
+            np.add.at(below, f.parent[at], up[at])
         whole = below.copy()
         for at in levels[1:]:
             above = whole[f.parent[at]] - up[at]
@@ -417,5 +513,3 @@ def op8_html_text(spark, sf_dir: str) -> DataFrame:
     """Whole ``pages``."""
     out = extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
-
-
