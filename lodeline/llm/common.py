@@ -19,16 +19,36 @@ BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, one of our own under a
+    local master, as in tests; on a cluster an error, as a folder of one machine is not seen by the others."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='lodeline-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+#: Paths given out and not deleted yet, by application.
+_given: dict[str, set[str]] = {}
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/lodeline/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/lodeline/{tag}-{uuid.uuid4().hex}"
+    _given.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return path
+
+
+def clean_up(spark: SparkSession, *keep: DataFrame) -> None:
+    """Delete all intermediate tables, runs and shards of this application but those of ``keep``.
+
+    Operators return lazy frames that read such tables, so call it once their results are written.
+    """
+    kept = {getattr(df, "_lodeline_path", None) for df in keep}
+    for path in _given.get(spark.sparkContext.applicationId, set()) - kept:
+        delete_path(spark, path)
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -50,6 +70,7 @@ def discard(*frames: DataFrame) -> None:
 
 def delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
+    _given.get(spark.sparkContext.applicationId, set()).discard(path)
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
@@ -87,6 +108,18 @@ def spare(df: DataFrame, *wanted: str) -> str:
     return prefix
 
 
+def join_counted(big: DataFrame, small: DataFrame, key: str, total: int, share: int = 1000) -> DataFrame:
+    """Inner join of ``big`` with ``small``, which has one row a key and in ``n`` how many rows of ``big`` have that key.
+
+    Keys of more than ``total / share`` rows (total: the rows of ``big``, or more) are ``share`` at most, whatever the
+    data; they go to every executor, so that no task gathers the rows of a hot key. The others meet by a shuffle.
+    """
+    hot = small.filter(F.col("n") > total // share)
+    cold = small.filter(F.col("n") <= total // share).drop("n")
+    spread = big.join(F.broadcast(hot.drop("n")), key)
+    return spread.unionByName(big.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of each text; null becomes the empty text."""
     return [b or b"" for b in column.cast(pa.binary()).to_pylist()]

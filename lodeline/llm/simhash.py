@@ -4,15 +4,17 @@ Fingerprints are cut into segments. Two fingerprints within ``k`` bits agree, in
 bits or in a later one within ``k // m - 1`` bits (the pigeonhole bound of multi-index hashing), so each fingerprint
 looks up a small Hamming ball of every segment in that segment's table, and the match's whole distance is verified.
 
-A segment value that more than ``bucket_cap`` fingerprints share would pair all of them. Those fingerprints, and all
-that look such a value up, take an exact second way instead: each lists the whole fingerprints within ``k // 2`` (and
+A segment value that more than ``bucket_cap`` fingerprints share would pair all of them. In the table one marker stands
+for them; whoever meets it takes an exact second way instead: each lists the whole fingerprints within ``k // 2`` (and
 the rest of k) bits of itself, and whoever meets there is joined to the smallest one. That is linear in the group.
 
-Equal fingerprints are one class from the start, so copies never meet as pairs.
+Equal fingerprints are one class from the start, so copies never meet as pairs. Links and components are of
+fingerprints; documents come back in at the end, where fingerprints of very many copies are joined by broadcast.
 
 Defined cases: null and empty texts have no words and the fingerprint zero, linked like any other; a text of fewer
-words than a shingle is hashed whole; repeated ids with different texts link through their id; an empty table gives an
-empty result; other columns are ignored.
+words than a shingle is hashed whole; repeated ids with different texts link through their id; rows without an id link
+others but name no component, whose id is null if it has no other rows; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,9 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from lodeline.llm.common import discard, materialize, ship, texts_of
+from lodeline.llm.common import discard, join_counted, materialize, ship, texts_of
 
 BITS = 64
 
@@ -98,8 +99,8 @@ def _around(key: F.Column, masks: list[int]) -> F.Column:
     return F.array(*[key.bitwiseXOR(F.lit(_signed(v)).cast("long")) for v in masks])
 
 
-def links(classes: DataFrame, k: int = 2, m: int = 2, bucket_cap: int = 64) -> DataFrame:
-    """(u, v): links that join every pair of classes (fp, rep) within ``k`` bits, u < v being rep values.
+def links(prints: DataFrame, k: int = 2, m: int = 2, bucket_cap: int = 64) -> DataFrame:
+    """(u, v): links that join every pair of the different fingerprints ``prints`` (fp) within ``k`` bits.
 
     Pairs from buckets of up to ``bucket_cap`` are listed one by one; larger buckets give stars with the same reach.
     """
@@ -109,21 +110,16 @@ def links(classes: DataFrame, k: int = 2, m: int = 2, bucket_cap: int = 64) -> D
         value = F.shiftrightunsigned(F.col("fp"), at).bitwiseAND(F.lit((1 << width) - 1 if width < BITS else -1).cast("long"))
         key = value.bitwiseXOR(F.lit(_signed(s << shift)).cast("long"))
         tables.append(key)
-        if radius == 0:
-            probes.append(F.array(key))
-        else:
-            probes.append(_around(key, ball(width, radius)))
-    table = classes.select(F.explode(F.array(*tables)).alias("key"), "fp", "rep")
-    table = table.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key")))
-    probe = classes.select(F.explode(F.concat(*probes)).alias("key"), F.col("fp").alias("fp2"), F.col("rep").alias("rep2"))
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= k
-    pairs = (
-        probe.join(table, (probe["key"] == table["key"]) & (F.col("size") <= bucket_cap) & (F.col("rep2") < F.col("rep")) & near)
-        .select(F.col("rep2").alias("u"), F.col("rep").alias("v"))
-    )
-    crowded = table.filter(F.col("size") > bucket_cap).select("key").distinct()
-    members = probe.join(crowded, "key", "left_semi").select(F.col("fp2").alias("fp"), F.col("rep2").alias("rep")).distinct()
-    return pairs.unionByName(_stars(members, k))
+        probes.append(F.array(key) if radius == 0 else _around(key, ball(width, radius)))
+    table = prints.select(F.explode(F.array(*tables)).alias("key"), "fp")
+    crowded = table.groupBy("key").count().filter(F.col("count") > bucket_cap).select("key")
+    table = table.join(crowded, "key", "left_anti").unionByName(crowded.withColumn("fp", F.lit(None).cast("long")))
+    probe = prints.select(F.explode(F.concat(*probes)).alias("key"), F.col("fp").alias("own"))
+    near = (F.col("own") < F.col("fp")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("own"))) <= k)
+    met = probe.join(table, "key").filter(F.col("fp").isNull() | near).select(F.col("own").alias("u"), F.col("fp").alias("v"))
+    met = materialize(met, "met")
+    members = materialize(met.filter(F.col("v").isNull()).select(F.col("u").alias("fp")).distinct(), "members")
+    return met.filter(F.col("v").isNotNull()).unionByName(_stars(members, k))
 
 
 def _stars(members: DataFrame, k: int) -> DataFrame:
@@ -132,58 +128,57 @@ def _stars(members: DataFrame, k: int) -> DataFrame:
     Only even k makes both halves alike; for an odd k the second half reaches one bit farther and is verified.
     """
     half, rest = k // 2, k - k // 2
-    centres = _around(F.col("fp"), ball(BITS, half))
-    near = members.select(F.explode(centres).alias("centre"), "rep")
-    least = near.groupBy("centre").agg(F.min("rep").alias("u"))
+    around = lambda bits: members.select(F.explode(_around(F.col("fp"), ball(BITS, bits))).alias("centre"), "fp")
+    near, far = around(half), around(rest)
+    least = near.groupBy("centre").agg(F.min("fp").alias("u"), F.count(F.lit(1)).alias("n"))
     if half == rest:
-        found = near.join(least, "centre").filter(F.col("u") < F.col("rep")).select("u", F.col("rep").alias("v"))
-    else:
-        far = members.select(F.explode(_around(F.col("fp"), ball(BITS, rest))).alias("centre"), "rep")
-        found = far.join(least, "centre").filter(F.col("u") != F.col("rep")).select(F.least("u", "rep").alias("u"), F.greatest("u", "rep").alias("v"))
-    return found
+        least = least.filter("n > 1")
+    found = join_counted(far, least, "centre", members.count() * len(ball(BITS, rest)))
+    return found.filter(F.col("u") != F.col("fp")).select("u", F.col("fp").alias("v"))
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable from each node of ``edges`` (u, v), by alternating stars.
 
     Each round writes its edges to the shared folder, so a lost executor costs one round at most. Nothing is collected
-    but the count and checksum that tell the last round.
+    but the count and checksum that tell the last round. Hubs of very many edges are joined by broadcast.
     """
     now = materialize(edges.filter(F.col("u") != F.col("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
     before = None
-    for _ in range(max_rounds):
+    while True:
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state[0] == 0 or before == tuple(state):
             break
         before = tuple(state)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("m").alias("u"), "v").filter(F.col("u") != F.col("v")).distinct()
-        least = large.groupBy("v").agg(F.min("u").alias("m"))
-        joined = large.join(least, "v")
-        small = joined.select(F.col("m").alias("a"), F.col("u").alias("b")).unionByName(joined.select(F.col("m").alias("a"), F.col("v").alias("b")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = join_counted(both, least, "u", 2 * state[0]).filter(F.col("v") > F.col("u")).select(F.col("m").alias("u"), "v").filter(F.col("u") != F.col("v")).distinct()
+        large = materialize(large, "large")
+        least = large.groupBy("v").agg(F.min("u").alias("m"), F.count(F.lit(1)).alias("n"))
+        joined = join_counted(large, least, "v", 2 * state[0])
+        small = joined.select(F.inline(F.array(F.struct(F.col("m").alias("a"), F.col("u").alias("b")), F.struct(F.col("m").alias("a"), F.col("v").alias("b")))))
         step = materialize(small.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "edges")
-        discard(now)
+        discard(now, large)
         now = step
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, k: int = 2, m: int = 2, bucket_cap: int = 64) -> DataFrame:
     """(doc_id, fp, component_id): one row per row of ``docs``; component_id is the smallest doc_id reachable."""
     prints = materialize(fingerprints(docs, shingle, seed), "simhash")
-    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    joined = links(classes, k, m, bucket_cap)
-    # An id with several rows links the classes of its rows.
-    own = prints.join(classes, "fp").select("doc_id", "rep").groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("v")).filter("u < v")
-    some = prints.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    if not some.isEmpty():
-        every = prints.join(some.select("doc_id"), "doc_id", "left_semi").join(classes, "fp").select("doc_id", "rep")
-        joined = joined.unionByName(every.join(own.select("doc_id", "u"), "doc_id").select("u", F.col("rep").alias("v")))
+    total = prints.count()
+    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
+    joined = links(classes.select("fp"), k, m, bucket_cap)
+    # An id with several texts links the fingerprints of its rows.
+    several = prints.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("fp").alias("u"), F.max("fp").alias("most"), F.count(F.lit(1)).alias("n")).filter("u < most").drop("most")
+    if not several.isEmpty():
+        joined = joined.unionByName(join_counted(prints, several, "doc_id", total).select("u", F.col("fp").alias("v")))
     found = components(joined)
-    component = classes.join(found, classes["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(component, "fp").select("doc_id", "fp", "component_id")
+    placed = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "rep", "n", F.coalesce("component", "fp").alias("part"))
+    placed = materialize(placed, "placed")
+    least = placed.groupBy("part").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    named = join_counted(placed.withColumnRenamed("n", "copies"), least, "part", total).select("fp", "component_id", F.col("copies").alias("n"))
+    return join_counted(prints, materialize(named, "named"), "fp", total).select("doc_id", "fp", "component_id")
 
 
 def op6_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
@@ -196,12 +191,15 @@ def op6_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without all but one row (that of the smallest doc_id) of each group of near-duplicates.
 
-    Rows without a doc_id stand for themselves by text: one of each text is kept, near-duplicates or not.
+    Of rows that share a doc_id the one of the smallest text (then of the smallest JSON) stays. Rows without a doc_id
+    stand for themselves by text: one of each text is kept, near-duplicates or not.
     """
     groups = near_duplicates(docs, **options)
     drop = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     kept = docs.join(drop, "doc_id", "left_anti")
     if groups.groupBy("doc_id").count().filter("count > 1").isEmpty():
         return kept
-    own = next(c for c in (f"_own{i}" for i in range(len(docs.columns) + 1)) if c not in docs.columns)
-    return kept.withColumn(own, F.when(F.col("doc_id").isNull(), F.col("text"))).dropDuplicates(["doc_id", own]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    own = F.when(F.col("doc_id").isNull(), F.col("text"))
+    first = kept.groupBy(F.col("doc_id").alias("_id"), own.alias("_own")).agg(F.min_by(F.struct(*every), F.struct("text", F.to_json(F.struct(*every)))).alias("_row"))
+    return first.select("_row.*")

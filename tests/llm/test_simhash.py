@@ -33,7 +33,7 @@ def brute_components(rows, k=2):
 
     for i in range(len(rows)):
         for j in range(i):
-            if (rows[i][1] ^ rows[j][1]).bit_count() <= k or rows[i][0] == rows[j][0]:
+            if ((rows[i][1] ^ rows[j][1]) % (1 << 64)).bit_count() <= k or rows[i][0] == rows[j][0]:
                 a, b = find(i), find(j)
                 if a != b:
                     boss[max(a, b)] = min(a, b)
@@ -76,12 +76,11 @@ def test_links_reach_what_all_pairs_reach(spark, k, m):
             for b in rnd.sample(range(64), rnd.randint(1, 4)):
                 g ^= 1 << b
             fps.add(g)
-    rows = list(enumerate(sorted(fps)))
-    classes = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, i) for i, f in rows], "fp long, rep long")
-    want = {i: c for i, _, c in brute_components(rows, k)}
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    want = {i: c for i, _, c in brute_components([(f, f) for f in signed], k)}
     for cap in (1000, 2):
-        got = {r.node: r.component for r in S.components(S.links(classes, k, m, cap)).collect()}
-        assert {i: got.get(i, i) for i, _ in rows} == want
+        got = {r.node: r.component for r in S.components(S.links(spark.createDataFrame([(f,) for f in signed], "fp long"), k, m, cap)).collect()}
+        assert {i: got.get(i, i) for i in signed} == want
 
 
 def test_empty_and_repeated_rows(spark):
@@ -99,12 +98,11 @@ def test_one_large_group_of_near_copies(spark):
     rnd = random.Random(3)
     base = rnd.getrandbits(62)
     fps = sorted({base ^ sum(1 << b for b in rnd.sample(range(14), rnd.randint(0, 5))) for _ in range(2000)})
-    classes = spark.createDataFrame([(f, i) for i, f in enumerate(fps)], "fp long, rep long")
-    edges = S.links(classes, bucket_cap=16)
+    edges = S.links(spark.createDataFrame([(f,) for f in fps], "fp long"), bucket_cap=16)
     assert edges.count() < 65 * len(fps)
-    want = {i: c for i, _, c in brute_components(list(enumerate(fps)))}
+    want = {i: c for i, _, c in brute_components([(f, f) for f in fps])}
     got = {r.node: r.component for r in S.components(edges).collect()}
-    assert {i: got.get(i, i) for i in range(len(fps))} == want
+    assert {f: got.get(f, f) for f in fps} == want
     assert edges.filter(F.col("u") >= F.col("v")).isEmpty()
 
 
@@ -113,3 +111,37 @@ def test_rows_without_an_id_stand_for_themselves_by_text(spark):
     rows = [(None, a), (None, b), (None, b), (None, None), (None, None), (3, a), (4, a), (7, "a third text with no copy at all in the table")]
     kept = S.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted((tuple(r) for r in kept.collect()), key=repr) == sorted([(None, a), (None, b), (None, None), (3, a), (7, rows[-1][1])], key=repr)
+
+
+def test_the_row_of_a_repeated_id_that_stays(spark):
+    rows = [(1, "b c d e", "x"), (1, "a b c d", "z"), (1, "a b c d", "y"), (2, "quite another text", "x")]
+    for n in (1, 4):
+        kept = S.keep_one(spark.createDataFrame(rows, "doc_id long, text string, own string").repartition(n))
+        assert sorted(tuple(r) for r in kept.collect()) == [(1, "a b c d", "y"), (2, "quite another text", "x")]
+
+
+def test_hot_groups_are_joined_apart(spark):
+    """A third of the rows are one text, a third near copies: what is joined by broadcast and by shuffle gives all rows."""
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base)) for i in range(1000)] + [(1000 + i, " ".join([*base, f"v{i}"])) for i in range(1000)] + [(2000 + i, f"text {i} stands alone {i}") for i in range(1000)]
+    got = S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), bucket_cap=4).collect()
+    fps = {i: brute_fingerprint(t) for i, t in rows if i in (0,) or i >= 1000}
+    want = brute_components([(i, f) for i, f in fps.items()])
+    part = {i: c for i, _, c in want} | {i: 0 for i in range(1000)}
+    assert sorted((r.doc_id, r.component_id) for r in got) == sorted(part.items())
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from lodeline.llm import common
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    with pytest.raises(RuntimeError):
+        common.shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
+    df = common.materialize(spark.range(3), "test")
+    other = common.materialize(spark.range(4), "test")
+    common.clean_up(spark, df)
+    assert df.count() == 3
+    with pytest.raises(Exception):
+        spark.read.parquet(other._lodeline_path)
