@@ -4,11 +4,14 @@ Every line is labelled good or bad. A line's potential weighs its own features a
 after it; a 2 x 2 table of transition potentials ties neighbouring labels. Forward-backward gives each line's marginal
 probability of being good; their mean, weighted by line length, is calibrated to the probability of document label 1.
 
+Only documents are labelled, so lines' labels are latent in training: a good document has good lines only, a bad one at
+least one bad line (``gradient``). A document of both kinds of lines then gets marginals of both kinds.
+
 Training uses a bounded sample: at most ``sample_docs`` labelled documents (the smallest hashes of their ids) of at
-most ``sample_lines`` lines each, with the document's label on its lines. Their line features, not their texts, go to
-the driver. Scoring covers every row and whole texts, and reads nothing but the text.
+most ``sample_lines`` lines each. Their line features, not their texts, go to the driver. Scoring covers every row and
+whole texts, and reads nothing but the text.
 
-Defined cases: null and empty texts are one empty line and are scored as such; repeated rows are each scored; several
+Defined cases: null and empty texts are one empty line, in training and in scoring; repeated rows are each scored; several
 labels of one id count as their maximum; with labels of one class only every score is that class's smoothed share, with
 none it is 0.5; an empty table gives an empty result; other columns pass through ``score`` untouched.
 """
@@ -173,31 +176,50 @@ def document_odds(odds: np.ndarray, chars: np.ndarray, lines: np.ndarray) -> np.
     return np.log(p / (1 - p))
 
 
-def fit(own: list[np.ndarray], chars: list[np.ndarray], labels: np.ndarray, rounds: int = 250, ridge: float = 1e-5) -> Crf:
+def gradient(theta: np.ndarray, x: np.ndarray, lines: np.ndarray, labels: np.ndarray, whole: float = 0.1) -> tuple[float, np.ndarray]:
+    """Log-likelihood of document labels and its gradient, exact, with lines' labels latent.
+
+    A document of label 1 has good lines only; one of label 0 has at least one bad line, any of them. So the first give
+    log P(all good), the second log(1 - P(all good)), and a bad document's clean lines may stay good. That most bad
+    documents are bad throughout comes in with a weight of ``whole``: the second also give whole * log P(all bad).
+    """
+    w, t = theta[:-4], theta[-4:].reshape(2, 2)
+    e = x @ w
+    a, b = forward_backward(e, lines, t)
+    odds = a + b
+    p = _sigmoid(odds)
+    inner = np.ones(len(e), bool)
+    inner[lines[1:] - 1] = False
+    left = np.flatnonzero(inner)
+    q = (e + b)[left + 1]
+    pair = np.stack([np.full(len(left), t[0, 0]), t[0, 1] + q, t[1, 0] + a[left], t[1, 1] + a[left] + q])
+    pair -= np.logaddexp.reduce(pair, axis=0)
+
+    def alike(sign: int, same: np.ndarray) -> np.ndarray:
+        """log P(all lines of the label): that of the first line, and of each step, given the line before."""
+        steps = np.zeros(len(e))
+        steps[left] = same + np.logaddexp(0, -sign * odds[left])
+        return np.minimum(np.add.reduceat(steps, lines[:-1]) - np.logaddexp(0, -sign * odds[lines[:-1]]), -1e-12)
+
+    all_good, all_bad, good = alike(1, pair[3]), alike(-1, pair[0]), labels == 1
+    to_good = np.repeat(np.where(good, 1.0, np.exp(all_good) / np.expm1(all_good)), np.diff(lines))
+    to_bad = np.repeat(np.where(good, 0.0, whole), np.diff(lines))
+    moves = np.array([to_bad[left].sum(), 0.0, 0.0, to_good[left].sum()]) - np.exp(pair) @ (to_good + to_bad)[left]
+    value = float(np.where(good, all_good, np.log(-np.expm1(all_good)) + whole * all_bad).sum())
+    return value, np.concatenate([x.T @ (to_good * (1 - p) - to_bad * p), moves])
+
+
+def fit(own: list[np.ndarray], chars: list[np.ndarray], labels: np.ndarray, rounds: int = 400, ridge: float = 1e-5, whole: float = 0.1) -> Crf:
     """Maximum likelihood by Adam, then a logistic calibration of the documents' odds."""
     if len(set(labels.tolist())) < 2:
         constant = 0.5 if not len(labels) else float((labels.sum() + 0.5) / (len(labels) + 1))
         return Crf(np.zeros(3 * OWN), np.zeros((2, 2)), (1.0, 0.0), constant)
     lines = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
     x, size = with_neighbours(np.concatenate(own), lines), np.concatenate(chars)
-    y = np.repeat(labels, np.diff(lines)).astype(np.float64)
-    inner = np.ones(len(y), bool)
-    inner[lines[1:] - 1] = False
-    left = np.flatnonzero(inner)
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (y[left].astype(int), y[left + 1].astype(int)), 1)
-    theta = np.concatenate([np.zeros(x.shape[1]), np.zeros(4)])
+    theta = np.zeros(x.shape[1] + 4)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, rounds + 1):
-        w, t = theta[:-4], theta[-4:].reshape(2, 2)
-        e = x @ w
-        a, b = forward_backward(e, lines, t)
-        p = _sigmoid(a + b)
-        q = (e + b)[left + 1]
-        pair = np.stack([np.full(len(left), t[0, 0]), t[0, 1] + q, t[1, 0] + a[left], t[1, 1] + a[left] + q])
-        pair = np.exp(pair - pair.max(axis=0))
-        pair /= pair.sum(axis=0)
-        grad = np.concatenate([x.T @ (y - p), (seen - pair.sum(axis=1).reshape(2, 2)).ravel()]) / len(y) - ridge * theta
+        grad = gradient(theta, x, lines, labels, whole)[1] / len(labels) - ridge * theta
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         theta = theta + 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     crf = Crf(theta[:-4], theta[-4:].reshape(2, 2), (1.0, 0.0))
@@ -234,7 +256,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 2000, sample_li
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in out], pa.binary()), pa.array([c for _, c in out], pa.binary())], ["label", "x", "chars"])
 
     # The sample has at most sample_docs rows, so it may go to every executor.
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").filter(F.regexp_count("text", F.lit("\n")) < sample_lines)
+    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").filter(F.coalesce(F.regexp_count("text", F.lit("\n")), F.lit(0)) < sample_lines)
     rows = chosen.orderBy("doc_id", F.xxhash64("text")).limit(sample_docs).select("label", "text").mapInArrow(run, "label int, x binary, chars binary").collect()
     own = [np.frombuffer(r.x, np.float32).reshape(-1, OWN).astype(np.float64) for r in rows]
     chars = [np.frombuffer(r.chars, np.float32).astype(np.float64) for r in rows]

@@ -171,6 +171,76 @@ def test_forward_backward_equals_enumeration():
         assert np.allclose(1 / (1 + np.exp(-(a + b)[s:z])), one / total)
 
 
+def test_gradient_of_latent_lines_equals_enumeration():
+    rng = np.random.default_rng(4)
+    lines, labels = np.array([0, 1, 4, 6, 10]), np.array([1, 0, 1, 0])
+    x, theta = rng.normal(size=(10, 3)), rng.normal(size=7) * 0.5
+
+    def likelihood(theta):
+        e, t, out = x @ theta[:3], theta[3:].reshape(2, 2), 0.0
+        for (s, z), y in zip(itertools.pairwise(lines), labels, strict=True):
+            p = {ys: np.exp(sum(v * u for v, u in zip(ys, e[s:z], strict=True)) + sum(t[i, j] for i, j in itertools.pairwise(ys))) for ys in itertools.product((0, 1), repeat=z - s)}
+            good, bad, total = p[(1,) * (z - s)], p[(0,) * (z - s)], sum(p.values())
+            out += np.log(good / total) if y else np.log(1 - good / total) + 0.3 * np.log(bad / total)
+        return out
+
+    value, grad = quality.gradient(theta, x, lines, labels, 0.3)
+    assert np.isclose(value, likelihood(theta))
+    assert np.allclose(grad, [(likelihood(theta + 1e-5 * d) - likelihood(theta - 1e-5 * d)) / 2e-5 for d in np.eye(7)])
+
+
+def brute_features(lines):
+    out = []
+    for i, line in enumerate(lines):
+        words = [w.lower() if w.isascii() else "".join(c.lower() if c.isascii() else c for c in w) for w in re.findall(r"[^\x20\x09-\x0D]+", line)]
+        n, size, some = len(words), max(1, len(line)), max(1, len(words))
+        many = lambda pattern: len(re.findall(pattern, line))  # noqa: E731, B023
+        upper, letters = many("[A-Z]"), many("[A-Za-z]")
+        twins = sum(a == b for a, b in itertools.pairwise(words))
+        out.append([
+            1, np.log1p(len(line)) / 8, n == 0, upper / max(1, letters), min(1, 4 * upper / size), min(1, 10 * many(r"[#*$%&|<>]") / size), min(1, 10 * many("!") / size), min(1, 5 * many("[0-9]") / size),
+            min(2, sum(len(w.encode()) for w in words) / some / 10), len(set(words)) / some, min(1, 4 * twins / some), min(1, 4 * many("[,.;:?]") / some), min(1, 2 * many(r"\|") / some), line[-1:] != "" and line[-1] in ".!?\"')",
+            n > 0 and any(words == re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in x)) for x in lines[:i]),
+        ])
+    return np.array(out, float)
+
+
+def brute_score(model, text):
+    """Features by regular expressions, marginals by enumerating all labellings."""
+    lines = (text or "").split("\n")
+    own = brute_features(lines)
+    zero = np.zeros((1, own.shape[1]))
+    e = np.concatenate([own, np.concatenate([zero, own[:-1]]), np.concatenate([own[1:], zero])], axis=1) @ model.weights
+    total, good = 0.0, np.zeros(len(lines))
+    for ys in itertools.product((0, 1), repeat=len(lines)):
+        p = np.exp(sum(y * x for y, x in zip(ys, e, strict=True)) + sum(model.transitions[i, j] for i, j in itertools.pairwise(ys)))
+        total += p
+        good += p * np.array(ys)
+    weight = np.array([len(x) + 1 for x in lines])
+    p = np.clip((good / total) @ weight / weight.sum(), 1e-4, 1 - 1e-4)
+    return 1 / (1 + np.exp(-(model.scale[0] * np.log(p / (1 - p)) + model.scale[1])))
+
+
+def test_scores_equal_brute_force(spark):
+    rows = lines_fixture(3, 120)
+    model = quality.train(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int"))
+    texts = [t for _, t, _ in lines_fixture(8, 60)] + ["", "\n", " \n\t\n", "Été à 12 | 13\n\n!!! ### Ok.", "a A a\na a a\n" * 3, "One."]
+    got = model.score([t.encode() for t in texts])
+    assert np.allclose(got, [brute_score(model, t) for t in texts], atol=1e-9)
+
+
+def test_mixed_documents_get_mixed_marginals(spark):
+    rows = lines_fixture(3, 240)
+    model = quality.train(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int"))
+    clean = "\n".join(" ".join(w).capitalize() + "." for w in itertools.islice(itertools.permutations(["ka", "lomi", "teren", "sura", "ondi", "ve"]), 0, 600, 100))
+    junk = "KA LOMI TEREN SURA ONDI VE KA LOMI TEREN!!\nve ve ve ### *** $$ ve ve"
+    own, _, lines = quality.line_features([f"{clean}\n{junk}".encode()])
+    p = quality._sigmoid(model.marginals(quality.with_neighbours(own, lines), lines))
+    assert p[:5].min() > 0.8 and p[6:].max() < 0.2
+    whole, mixed, bad = model.raw([clean.encode(), f"{clean}\n{junk}".encode(), junk.encode()])
+    assert whole > mixed > bad
+
+
 def test_quality_on_held_out(spark):
     rows = lines_fixture(3, 240)
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
@@ -218,12 +288,59 @@ def test_expectation_maximisation_finds_accuracies():
     assert np.abs(model.right - right).max() < 0.1
 
 
+def brute_verdicts(texts):
+    """Votes from the stated cuts, expectation-maximisation over documents one by one, in plain Python."""
+    votes = [[r.vote(rules.statistics((t or "").encode())[1][r.name]) for r in rules.RULES] for t in texts]
+    k = len(rules.RULES)
+    prior, right = 0.7, [(0.98, 0.2)] * k
+
+    def posterior(v):
+        a, b = prior, 1 - prior
+        for x, (g, w) in zip(v, right, strict=True):
+            if x:
+                a, b = a * (g if x == 1 else 1 - g), b * (1 - w if x == 1 else w)
+        return a / (a + b)
+
+    for _ in range(200):
+        p = [posterior(v) for v in votes]
+        now = min(0.98, max(0.02, (sum(p) + 1) / (len(p) + 2)))
+        new = []
+        for j in range(k):
+            good = [q for q, v in zip(p, votes, strict=True) if v[j] == 1]
+            bad = [q for q, v in zip(p, votes, strict=True) if v[j] == 2]
+            g = (sum(good) + 4) / (sum(good) + sum(bad) + 5)
+            w = (sum(1 - q for q in bad) + 4) / (sum(1 - q for q in good) + sum(1 - q for q in bad) + 5)
+            new.append((min(0.995, max(0.55, g)), min(0.995, max(0.01, w))))
+        done = abs(now - prior) + max(abs(a - b) for x, y in zip(new, right, strict=True) for a, b in zip(x, y, strict=True)) < 1e-9
+        if done:
+            break
+        prior, right = now, new
+    return [posterior(v) for v in votes]
+
+
+def test_verdicts_equal_brute_force(spark):
+    texts = [t * 12 for _, t, _ in lines_fixture(5, 150)] + [f"{t}\n" + " ".join(f"w{i}{j}" for j in range(80)) + "." for i, t, _ in lines_fixture(6, 150)] + [None, "", "x"]
+    out = {r.doc_id: r for r in rules.judge(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = brute_verdicts(texts)
+    for i, t in enumerate(texts):
+        n, *_, repeated = brute_statistics(t)
+        assert np.isclose(out[i].posterior, want[i], atol=1e-6)
+        assert out[i].base_failed == (n < 50 or 100 * repeated > 50 * n)
+        assert out[i].kept == (not out[i].base_failed and want[i] >= 0.5)
+    assert sum(r.kept for r in out.values()) > 30
+
+
 def test_rules_keep_clean_documents(spark):
     rows = [(i, t * 12, y) for i, t, y in lines_fixture(5, 300)]
     rows = [(i, "\n".join(f"{x} {'abcdefgh'[j % 8] * (j % 7 + 1)}." if y else x for j, x in enumerate(t.split("\n"))), y) for i, t, y in rows]
     out = {r.doc_id: r for r in rules.judge(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
     judged = [(out[i].kept, y) for i, _, y in rows if not out[i].base_failed]
     assert all(not k for k, y in judged if not y)
+    rnd = random.Random(5)
+    clean = ["\n".join(" ".join(f"{rnd.choice('abcdef')}{rnd.choice('lmnop')}{rnd.randrange(36**2)}".translate(str.maketrans("0123456789", "ghijkstuvw")) for _ in range(12)).capitalize() + "." for _ in range(9)) for _ in range(200)]
+    mixed = clean + [t for _, t, y in rows if not y]
+    out = {r.doc_id: r.kept for r in rules.judge(spark.createDataFrame(list(enumerate(mixed)), "doc_id long, text string")).collect()}
+    assert np.mean([out[i] for i in range(200)]) > 0.98 and not any(out[i] for i in range(200, len(mixed)))
 
 
 # Personal data
