@@ -6,8 +6,10 @@ sees that block at the end of its window. Where the jump is zero, the block's su
 that end so; those whose first word fits too are compared word for word, and a match is confirmed byte for byte.
 All cursors of a batch move together as vectors, so skipping costs no Python loop over positions.
 
-The benchmark is a stated query set: it is taken in blocks of ``block_bytes``, each block one more pass over the text
-in the same task (no shuffle), so what a worker holds is bounded however many items there are.
+The benchmark is a stated query set. Executors write it to the shared folder in blocks of about ``block_bytes``; only the
+blocks' names go to the driver. A task holds up to ``hold_bytes`` of documents and takes one block after the other over
+them, in one worker and without a shuffle, so what it holds is bounded however many items there are. The last block's
+tables stay, so a benchmark of one block is read once a worker.
 
 Defined cases: null and empty texts (and items) have no words and match nothing; repeated items count once by
 item_id; items without an item_id are searched like others and together stand as one null, the last of the list;
@@ -16,14 +18,17 @@ repeated documents are each reported; an empty benchmark marks nothing; other co
 
 from __future__ import annotations
 
+import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.ipc  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeline.llm.common import ship, slices, texts_of
+from lodeline.llm.common import fresh_path, ship, slices, texts_of
 from lodeline.llm.words import ALNUM, Words, split
 
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -129,57 +134,98 @@ class Benchmark:
         return [mask[a:b] for a, b in zip(words.docs[:-1], words.docs[1:], strict=True)], names
 
 
-def _item_blocks(items: DataFrame, block_bytes: int):
-    block, size = [], 0
-    for row in items.select(F.col("item_id").cast("string"), F.col("text").cast("binary")).toLocalIterator():
-        text = bytes(row[1] or b"")
-        if not text:
-            continue
-        if block and size + len(text) > block_bytes:
-            yield block
-            block, size = [], 0
-        block.append((row[0], text))
-        size += len(text)
-    yield block
+def write_blocks(items: DataFrame, block_bytes: int) -> list[str]:
+    """Write items with a text to the shared folder; the names of the files, each of about ``block_bytes`` (one item at
+    least). Names are new in each attempt of a task, and only those of the attempt that counts are told."""
+    folder = fresh_path(items.sparkSession, "benchmark")
+    folder = folder if "://" in folder else f"file://{folder.removeprefix('file:')}"
 
+    def run(batches):
+        fs, path = pafs.FileSystem.from_uri(folder)
+        block, size = [], 0
+
+        def flush():
+            name = f"block-{uuid.uuid4().hex}.arrow"
+            fs.create_dir(path, recursive=True)
+            with fs.open_output_stream(f"{path}/{name}") as out, pa.ipc.new_file(out, _ITEMS) as writer:
+                writer.write_batch(pa.RecordBatch.from_arrays([pa.array([n for n, _ in block], pa.string()), pa.array([t for _, t in block], pa.binary())], schema=_ITEMS))
+            block.clear()
+            return pa.RecordBatch.from_arrays([pa.array([name])], ["name"])
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 8 << 20, keep: list[str] | None = None) -> DataFrame:
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if block and size + len(text) > block_bytes:
+                    yield flush()
+                    size = 0
+                block.append((name, text))
+                size += len(text)
+        if block:
+            yield flush()
+
+    rows = items.filter(F.length("text") > 0).select(F.col("item_id").cast("string").alias("name"), F.col("text").cast("binary").alias("text"))
+    # Small benchmarks in few blocks: as many tasks as there are blocks' worth of text, each item to any of them.
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    dealt = rows.coalesce(1) if size <= block_bytes else rows.repartition(int(-(-size // block_bytes)))
+    return sorted(f"{folder}/{r.name}" for r in dealt.mapInArrow(run, "name string").collect())
+
+
+_ITEMS = pa.schema([("name", pa.string()), ("text", pa.binary())])
+#: The tables made last in this worker, by block and window.
+_made: dict[tuple[str, int], Benchmark] = {}
+
+
+def _tables(file: str, window: int) -> Benchmark:
+    if (file, window) not in _made:
+        _made.clear()
+        fs, path = pafs.FileSystem.from_uri(file)
+        with fs.open_input_file(path) as f:
+            rows = pa.ipc.open_file(f).read_all()
+        _made[file, window] = Benchmark(list(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True)), window)
+    return _made[file, window]
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 2 << 20, keep: list[str] | None = None, hold_bytes: int = 16 << 20) -> DataFrame:
     """``keep`` columns of each row with n_words, n_hit (words inside any occurrence) and items (ids, sorted strings, then null for those without)."""
     ship(docs.sparkSession)
     keep = ["doc_id"] if keep is None else keep
-    fields = [docs.schema[c] for c in keep]
-    out = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_text"))
-    state = [T.StructField("_text", T.StringType()), T.StructField("_mask", T.BinaryType()), T.StructField("items", T.ArrayType(T.StringType()))]
-    blocks = list(_item_blocks(benchmark, block_bytes))
-    for i, block in enumerate(blocks):
-        last = i == len(blocks) - 1
-        more = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType()))] if last else state
-        out = out.mapInArrow(_pass(block, window, len(keep), i > 0, last), T.StructType(fields + more))
-    return out
-
+    files = write_blocks(benchmark, block_bytes)
+    fields = [docs.schema[c] for c in keep] + [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType()))]
+    k = len(keep)
+
+    def search(group: list[pa.RecordBatch]):
+        """Batches of documents with their counts; the masks of all blocks are merged before they are summed."""
+        texts = [t for batch in group for t in texts_of(batch.column(k))]
+        masks: list[np.ndarray | None] = [None] * len(texts)
+        names: list[set[str | None]] = [set() for _ in texts]
+        for file in files:
+            bench = _tables(file, window)
+            for a, b in slices(texts):
+                for i, (mask, found) in enumerate(zip(*bench.scan(texts[a:b]), strict=True), a):
+                    masks[i] = mask if masks[i] is None else masks[i] | mask
+                    names[i] |= found
+        if not files:
+            masks = [m for a, b in slices(texts) for m in Benchmark([], window).scan(texts[a:b])[0]]
+        at = 0
+        for batch in group:
+            mine, said = masks[at : at + batch.num_rows], names[at : at + batch.num_rows]
+            at += batch.num_rows
+            counts = [pa.array([len(m) for m in mine], pa.int64()), pa.array([int(m.sum()) for m in mine], pa.int64())]
+            listed = pa.array([sorted(n - {None}) + [None] * (None in n) for n in said], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:k], *counts, listed], [*batch.schema.names[:k], "n_words", "n_hit", "items"])
 
-def _pass(block, window: int, kept: int, resumed: bool, last: bool):
     def run(batches):
-        bench = Benchmark(block, window)
+        group, size = [], 0
         for batch in batches:
-            texts = texts_of(batch.column(kept))
-            for a, b in slices(texts):
-                masks, names = bench.scan(texts[a:b])
-                if resumed:
-                    old = batch.column(kept + 1).slice(a, b - a).to_pylist()
-                    masks = [m | np.unpackbits(np.frombuffer(o, np.uint8))[: len(m)].astype(bool) for m, o in zip(masks, old, strict=True)]
-                    names = [n.union(o) for n, o in zip(names, batch.column(kept + 2).slice(a, b - a).to_pylist(), strict=True)]
-                own = [batch.column(c).slice(a, b - a) for c in range(kept)]
-                listed = pa.array([sorted(n - {None}) + [None] * (None in n) for n in names], pa.list_(pa.string()))
-                labels = batch.schema.names[:kept]
-                if last:
-                    counts = [pa.array([len(m) for m in masks], pa.int64()), pa.array([int(m.sum()) for m in masks], pa.int64())]
-                    yield pa.RecordBatch.from_arrays([*own, *counts, listed], [*labels, "n_words", "n_hit", "items"])
-                else:
-                    packed = pa.array([np.packbits(m).tobytes() for m in masks], pa.binary())
-                    yield pa.RecordBatch.from_arrays([*own, batch.column(kept).slice(a, b - a), packed, listed], [*labels, "_text", "_mask", "items"])
-
-    return run
+            group.append(batch)
+            size += batch.nbytes
+            # With one block nothing is read again for each group, so none is held back.
+            if size >= hold_bytes or len(files) < 2:
+                yield from search(group)
+                group, size = [], 0
+        if group:
+            yield from search(group)
+
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_text")).mapInArrow(run, T.StructType(fields))
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:

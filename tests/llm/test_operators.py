@@ -554,3 +554,20 @@ def test_pages_of_other_hands():
         f"<article><h1>Head</h1><p>{p}</p><div class=ad><p>Buy things cheap. They are good.</p></div><p>{p}</p><footer>Posted by x</footer></article>": f"Head\n{p}\n{p}",
     }
     assert htmltext.texts(list(pages), htmltext.default_model()) == list(pages.values())
+
+
+def test_many_benchmark_blocks(spark):
+    """Blocks are files, told by name; one worker takes them one after the other."""
+    rnd = random.Random(8)
+    say = lambda n: " ".join(f"{rnd.choice('abcdefgh')}{rnd.randrange(40)}" for _ in range(n))
+    items = [(i, say(rnd.choice([3, 12, 30]))) for i in range(60)]
+    texts = [f"{say(6)} {items[rnd.randrange(60)][1]} {say(5)}" for _ in range(60)] + [None, ""]
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(3)
+    files = decontaminate.write_blocks(bench, 500)
+    assert len(files) >= 5
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    want = {i: brute_contamination(t, items, 10) for i, t in enumerate(texts)}
+    for hold in (1, 1 << 20):
+        found = decontaminate.scan(docs, bench, block_bytes=500, hold_bytes=hold)
+        assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+        assert {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in found.collect()} == want
