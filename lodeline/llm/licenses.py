@@ -9,7 +9,8 @@ Candidates of one template whose starts lie within the band are one region, whic
 until nothing is left that reaches the similarity. Reported is what reaches the similarity: the share of the
 template's words matched (coverage), the same against the longer of template and span (similarity), and the span.
 
-Templates are a stated query set of at most ``MAX_TEMPLATES`` texts; their index goes to every task.
+Templates are a stated query set. A task holds the index of ``MAX_TEMPLATES`` of them at once; where there are more, it
+takes one such part after the other over the documents that it holds, ``hold_bytes`` of them at a time.
 
 Defined cases: null and empty texts match nothing; a template of at most k words is found only with all its words,
 others between them as the similarity allows; templates without words match nothing; repeated rows are each reported; a
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from lodeline.llm.common import ship, slices, texts_of
 from lodeline.llm.words import ALNUM, Words, split
 
+#: Templates that one index holds.
 MAX_TEMPLATES = 10_000
 #: Templates of at most so many words are looked up by all their shingles.
 SHORT = 16
@@ -112,8 +114,6 @@ class Index:
     """Inverted index from fingerprints to (template, place)."""
 
     def __init__(self, templates: dict[str, str], k: int = 5, w: int = 4, band: int = 8, similarity: float = 0.8):
-        if len(templates) > MAX_TEMPLATES:
-            raise ValueError(f"more than {MAX_TEMPLATES} templates")
         self.k, self.band, self.similarity = k, band, similarity
         self.names = list(templates)
         words = split([templates[n].encode() for n in self.names], ALNUM)
@@ -136,6 +136,10 @@ class Index:
 
     def scan(self, texts: list[bytes]) -> list[list[tuple[str, int, int, int, int]]]:
         """For each text its matches: (template, start, end in code points, matched words, words of the span)."""
+        return [_outermost(m) for m in self.every(texts)]
+
+    def every(self, texts: list[bytes]) -> list[list[tuple[str, int, int, int, int]]]:
+        """The same with matches that lie inside others."""
         words = split(texts, ALNUM)
         starts: dict[tuple[int, int], list[int]] = defaultdict(list)
         for size in self.sizes:
@@ -149,11 +153,16 @@ class Index:
                 for t, place in self.places[size, int(found[p])]:
                     starts[d, t].append(p - place)
         out: list[list] = [[] for _ in texts]
+        base = np.cumsum([0] + [len(x) + 1 for x in texts])
+        last, points = -1, np.zeros(0, np.int64)
         for (d, t), anchors in sorted(starts.items()):
-            out[d] += self._measure(words, texts, d, t, sorted(set(anchors)))
-        return [_outermost(m) for m in out]
+            if d != last:
+                last, points = d, _points_before(texts[d])
+            out[d] += self._measure(words, int(base[d]), points, d, t, sorted(set(anchors)))
+        return out
 
-    def _measure(self, words: Words, texts: list[bytes], d: int, t: int, anchors: list[int]):
+    def _measure(self, words: Words, base: int, points: np.ndarray, d: int, t: int, anchors: list[int]):
+        """Matches of one template in text d, which starts at byte ``base`` of all texts."""
         low, high = int(words.docs[d]), int(words.docs[d + 1])
         group = [anchors[0]]
         for a in [*anchors[1:], None]:
@@ -161,11 +170,9 @@ class Index:
                 group.append(a)
                 continue
             for first, end, matched in self._along(words, t, group, low, high):
-                base = sum(len(x) + 1 for x in texts[:d])
-                a_byte = int(words.at[first]) - base
                 z = end - 1
-                z_byte = int(words.at[z] + words.ends[z] - words.starts[z]) - base
-                yield (self.names[t], len(texts[d][:a_byte].decode()), len(texts[d][:z_byte].decode()), matched, end - first)
+                stop = int(words.at[z] + words.ends[z] - words.starts[z])
+                yield (self.names[t], int(points[words.at[first] - base]), int(points[stop - base]), matched, end - first)
             group = [a]
 
     def _along(self, words: Words, t: int, group: list[int], low: int, high: int):
@@ -216,6 +223,13 @@ class Index:
         return out
 
 
+def _points_before(text: bytes) -> np.ndarray:
+    """Code points before each byte of a text, and before its end."""
+    out = np.zeros(len(text) + 1, np.int64)
+    np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80, out=out[1:])
+    return out
+
+
 def _word(words: Words, i: int) -> bytes:
     return words.data[words.starts[i] : words.ends[i]].tobytes()
 
@@ -231,20 +245,48 @@ def _outermost(matches: list) -> list:
     return out
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, **options) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, hold_bytes: int = 16 << 20, at_once: int = MAX_TEMPLATES, **options) -> DataFrame:
     """(doc_id, matches): matches has template, start, end, matched, words, coverage of each."""
     ship(docs.sparkSession)
     templates = TEMPLATES if templates is None else templates
-    sizes = {n: len(w) for n, w in zip(templates, Index(templates, **options).words, strict=True)}
+    names = list(templates)
+    parts = [{n: templates[n] for n in names[i : i + at_once]} for i in range(0, len(names), at_once)]
     item = pa.struct([("template", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("matched", pa.int64()), ("words", pa.int64()), ("coverage", pa.float64())])
 
     def run(batches):
-        index = Index(templates, **options)
+        made: dict[int, Index] = {}
+
+        def index(i: int) -> Index:
+            if i not in made:
+                made.clear()
+                made[i] = Index(parts[i], **options)
+            return made[i]
+
+        def search(group: list[pa.RecordBatch]):
+            texts = [t for batch in group for t in texts_of(batch.column(1))]
+            found: list[list] = [[] for _ in texts]
+            sizes: dict[str, int] = {}
+            for i in range(len(parts)):
+                own = index(i)
+                sizes |= {n: len(w) for n, w in zip(own.names, own.words, strict=True)}
+                for a, b in slices(texts):
+                    for k, more in enumerate(own.every(texts[a:b]), a):
+                        found[k] += more
+            told = [[dict(zip(("template", "start", "end", "matched", "words", "coverage"), (*m, m[3] / sizes[m[0]]), strict=True)) for m in _outermost(ms)] for ms in found]
+            at = 0
+            for batch in group:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(told[at : at + batch.num_rows], pa.list_(item))], ["doc_id", "matches"])
+                at += batch.num_rows
+
+        group, size = [], 0
         for batch in batches:
-            texts, out = texts_of(batch.column(1)), []
-            for a, b in slices(texts):
-                out += [[dict(zip(("template", "start", "end", "matched", "words", "coverage"), (*m, m[3] / sizes[m[0]]), strict=True)) for m in ms] for ms in index.scan(texts[a:b])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(item))], ["doc_id", "matches"])
+            group.append(batch)
+            size += batch.nbytes
+            if size >= hold_bytes or len(parts) < 2:
+                yield from search(group)
+                group, size = [], 0
+        if group:
+            yield from search(group)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, matches array<struct<template:string,start:long,end:long,matched:long,words:long,coverage:double>>")

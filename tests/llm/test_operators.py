@@ -479,6 +479,57 @@ def test_licence_spans(spark):
     assert got[2] == got[3] == got[4] == []
 
 
+def test_templates_beyond_one_index(spark):
+    notices = [licenses.TEMPLATES[n] for n in ("MIT", "ISC", "CC-BY-4.0", "MIT-line")]
+    texts = [f"Vor é {a} Mitte {b} Ende." for a, b in itertools.product(notices, repeat=2)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {r.doc_id: r.matches for r in licenses.scan(docs).collect()}
+    assert sum(map(len, want.values())) == 32
+    for hold in (1, 1 << 20):
+        assert {r.doc_id: r.matches for r in licenses.scan(docs, at_once=3, hold_bytes=hold).collect()} == want
+
+
+def brute_licences(text, names, similarity=0.8):
+    """Every template aligned without a band against the whole text, again before and after each match."""
+    words = [(m[0], m.start(), m.end()) for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))]
+    own = [w for w, *_ in words]
+    out = []
+    for name in names:
+        template = words_of(licenses.TEMPLATES[name])
+        need = len(template) if len(template) <= 5 else similarity * len(template)
+        todo = [(0, len(own))]
+        while todo:
+            low, high = todo.pop()
+            _, matched, a, b = brute_align(template, own[low:high])
+            if matched >= need - 1e-9 and matched >= similarity * (b - a):
+                out.append((name, words[low + a][1], words[low + b - 1][2], matched, b - a))
+                todo += [(low, low + a), (low + b, high)]
+    return licenses._outermost(out)
+
+
+def test_scans_equal_full_alignment():
+    """Whole, edited and repeated notices among words of their own vocabulary: fingerprints and band against all places."""
+    rnd = random.Random(31)
+    names = ["Apache-2.0-line", "MIT-line", "GPL-3.0-line", "CC-BY-NC-4.0-line", "ISC", "CC-BY-4.0"]
+    pool = sorted({w for n in names for w in words_of(licenses.TEMPLATES[n])}) + ["x", "yy", "é"]
+    index = licenses.Index({n: licenses.TEMPLATES[n] for n in names})
+    seen = 0
+    for _ in range(60):
+        parts = []
+        for _ in range(rnd.randint(1, 4)):
+            parts += [rnd.choice(["zq", "wk", "é", "ünd"]) for _ in range(rnd.randint(9, 25))]
+            own = licenses.TEMPLATES[rnd.choice(names)].split()
+            for _ in range(rnd.choice([0, 0, 1, 1, 2])):
+                i = rnd.randrange(len(own))
+                own[i : i + 1] = rnd.choice([[], ["zzz"], [own[i], "zzz"], [rnd.choice(pool)]])
+            parts += own
+        text = " ".join(parts)
+        got = index.scan([text.encode()])[0]
+        assert got == brute_licences(text, names), text
+        seen += len(got)
+    assert seen > 100
+
+
 @pytest.mark.parametrize("name", ["Apache-2.0-line", "MIT-line", "GPL-3.0-line", "CC-BY-NC-4.0-line", "ISC"])
 def test_notices_that_follow_each_other(name):
     line, index = licenses.TEMPLATES[name], licenses.Index(licenses.TEMPLATES)
