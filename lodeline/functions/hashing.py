@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 _M = np.uint64(0xC6A4A7935BD1E995)
@@ -49,35 +49,48 @@ def mixer64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(33))
 
 
-def _bytes(s: pd.Series) -> list[bytes]:
+def as_bytes(s: pd.Series) -> list[bytes]:
+    """UTF-8 of strings, binaries as they are, empty for null."""
     return [b"" if v is None else v.encode() if isinstance(v, str) else bytes(v) for v in s]
 
 
+def _ready() -> None:
+    """Workers import this module, so the package goes to them first."""
+    from lodeline.functions.session import ship
+
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        ship(spark)
+
+
 def murmur(value: Column, seed: int = 0, modulo: int = 0) -> Column:
     """Hash of a string or binary as an unsigned decimal(20,0), or its remainder as a long."""
+    _ready()
     if modulo:
 
         @F.pandas_udf("long")
         def rest(s: pd.Series) -> pd.Series:
-            return pd.Series((murmur64a(_bytes(s), seed) % np.uint64(modulo)).astype(np.int64))
+            return pd.Series((murmur64a(as_bytes(s), seed) % np.uint64(modulo)).astype(np.int64))
 
         return rest(value)
 
     @F.pandas_udf("string")
     def whole(s: pd.Series) -> pd.Series:
-        return pd.Series([str(x) for x in murmur64a(_bytes(s), seed).tolist()])
+        return pd.Series([str(x) for x in murmur64a(as_bytes(s), seed).tolist()])
 
     return whole(value).cast("decimal(20,0)")
 
 
 def mixed(value: Column) -> Column:
-    """The finaliser of a non-negative long, as an unsigned decimal(20,0)."""
+    """The finaliser of a non-negative long, as an unsigned decimal(20,0); null stays null."""
+    _ready()
 
     @F.pandas_udf("string")
     def mix(s: pd.Series) -> pd.Series:
         return pd.Series([str(x) for x in mixer64(s.to_numpy(np.uint64)).tolist()])
 
-    return mix(value.cast("bigint")).cast("decimal(20,0)")
+    known = F.coalesce(value.cast("bigint"), F.lit(0))
+    return F.when(value.isNotNull(), mix(known).cast("decimal(20,0)"))
 
 
 def slots(value: Column, width: int, count: int) -> Column:
@@ -86,10 +99,11 @@ def slots(value: Column, width: int, count: int) -> Column:
     A seed is mixed in where the last bytes are, so items of up to seven bytes that differ by a seed's bits share slots
     under different seeds; filters over such items have more false positives than the design says, never false negatives.
     """
+    _ready()
 
     @F.pandas_udf("array<long>")
     def each(s: pd.Series) -> pd.Series:
-        raw = _bytes(s)
+        raw = as_bytes(s)
         both = np.stack([(murmur64a(raw, i) % np.uint64(width)).astype(np.int64) for i in range(count)], axis=1) if raw else np.zeros((0, count), np.int64)
         return pd.Series(list(both))
 

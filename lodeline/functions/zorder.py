@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,3 +46,61 @@ def decode(key: Column, dims: int) -> Column:
 
     # A one-element array binds the digits to a name, so they are written once and not once for every bit.
     return F.get(F.transform(F.array(flat), split), F.lit(0))
+
+
+def key_of(coords: list[int]) -> int:
+    """The curve's key of a point, as an integer."""
+    out = 0
+    for b in range(BITS[len(coords)] - 1, -1, -1):
+        for c in reversed(coords):
+            out = out << 1 | c >> b & 1
+    return out
+
+
+def as_hex(key: int, dims: int) -> str:
+    return f"{key:0{-(-dims * BITS[dims] // 4)}x}"
+
+
+def ranges(low: list[int], high: list[int], most: int = 32) -> list[tuple[str, str]]:
+    """At most ``most`` ranges of keys, both ends inclusive, that hold every point of a box.
+
+    A box is cut where its least and greatest key first differ; between the last key of the lower half and the first of
+    the upper one the curve runs outside. The widest such gaps are cut out.
+    """
+    n = len(low)
+
+    def cut(lo: list[int], hi: list[int]):
+        """(minus the gap, the two halves) of a box, or None for a single point."""
+        differ = key_of(lo) ^ key_of(hi)
+        if not differ:
+            return None
+        place = differ.bit_length() - 1
+        d, b = place % n, place // n
+        middle = hi[d] >> b << b
+        left, right = [*hi[:d], middle - 1, *hi[d + 1 :]], [*lo[:d], middle, *lo[d + 1 :]]
+        return key_of(left) - key_of(right) + 1, (lo, left), (right, hi)
+
+    if any(a > b for a, b in zip(low, high, strict=True)):
+        return []
+    done, todo = [], []
+
+    def push(lo: list[int], hi: list[int]):
+        found = cut(lo, hi)
+        if found is None:
+            done.append((lo, hi))
+        else:
+            heapq.heappush(todo, (found[0], key_of(lo), lo, hi, found[1:]))
+
+    push(low, high)
+    while todo and len(done) + len(todo) < most:
+        *_, halves = heapq.heappop(todo)
+        for lo, hi in halves:
+            push(lo, hi)
+    spans = sorted((key_of(lo), key_of(hi)) for lo, hi in done + [(lo, hi) for _, _, lo, hi, _ in todo])
+    out = [spans[0]]
+    for a, b in spans[1:]:
+        if a <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return [(as_hex(a, n), as_hex(b, n)) for a, b in out]

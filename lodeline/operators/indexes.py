@@ -64,6 +64,14 @@ def box(rows: DataFrame, bounds: dict[str, tuple[int, int]], n: int | None = Non
     return found if n is None else found.orderBy("z", sub).limit(n)
 
 
+def stored_box(rows: DataFrame, bounds: dict[str, tuple[int, int]], n: int | None = None, sub: str = "sub", most: int = 32) -> DataFrame:
+    """The same over rows written by ``write_z_ordered``: ranges of the curve that the box meets are skipped to by z."""
+    near = F.lit(False)
+    for a, b in zorder.ranges([a for a, _ in bounds.values()], [b for _, b in bounds.values()], most):
+        near |= F.col("z").between(a, b)
+    return box(rows.filter(near), bounds, n, sub)
+
+
 def point(rows: DataFrame, at: dict[str, int], n: int, sub: str = "sub") -> DataFrame:
     return box(rows, {c: (v, v) for c, v in at.items()}).orderBy(sub).limit(n)
 

@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeline.functions.hashing import murmur64a, slots
+from lodeline.functions.hashing import as_bytes, murmur64a, slots
+from lodeline.functions.session import ship
 
 # Distinct counts: 4,096 registers
 
@@ -22,11 +23,12 @@ HLL_ERROR = 1.04 / (1 << HLL_BITS) ** 0.5
 
 
 def hll(rows: DataFrame, value: Column, by: list[str]) -> DataFrame:
-    """(by, idx, rank): for each register the longest run of zeros seen, plus one."""
+    """(by, idx, rank): for each register the longest run of zeros seen, plus one. Null counts as the empty value."""
+    ship(rows.sparkSession)
 
     @F.pandas_udf("struct<idx:int,rank:int>")
     def register(s: pd.Series) -> pd.DataFrame:
-        h = murmur64a([v.encode() for v in s])
+        h = murmur64a(as_bytes(s))
         idx = (h >> np.uint64(64 - HLL_BITS)).astype(np.int32)
         rest = (h << np.uint64(HLL_BITS)) | np.uint64((1 << HLL_BITS) - 1)
         high = np.frexp((rest >> np.uint64(12)).astype(np.float64))[1] + 12  # bit length by the top 52 bits
@@ -163,12 +165,13 @@ class Cuckoo:
 
 def cuckoo(ops: DataFrame, width: int, bits: int) -> DataFrame:
     """Fold (key, seq, op, item) with op add, rem or exists: (key, seq, ok). A filter's operations run in one task."""
+    ship(ops.sparkSession)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         f = Cuckoo(width, bits)
         pdf = pdf.sort_values("seq")
         call = {"add": f.add, "rem": f.remove, "exists": f.exists}
-        pdf["ok"] = [int(call[o](i.encode())) for o, i in zip(pdf.op, pdf["item"], strict=True)]
+        pdf["ok"] = [int(call[o](i)) for o, i in zip(pdf.op, as_bytes(pdf["item"]), strict=True)]
         return pdf[["key", "seq", "ok"]]
 
     return ops.groupBy("key").applyInPandas(run, "key string, seq long, ok int")
@@ -204,6 +207,7 @@ def _mg_add(held: dict, item, n: int, k: int) -> None:
 def misra_gries(rows: DataFrame, k: int) -> DataFrame:
     """(item, n): k counters over the whole input. Each partition keeps k, and the summaries, k rows a partition, merge
     by adding and cutting back to the k largest beyond the next one: the guarantee n >= true - total / (k + 1) holds."""
+    ship(rows.sparkSession)
 
     def run(batches):
         held: dict = {}
@@ -236,62 +240,68 @@ def reservoir(rows: DataFrame, k: int, by: list[str], seed: int = 42, key: str =
 # Centroids
 
 
-class Digest:
-    """Sorted centroids (mean, weight); when full, neighbours close enough for their weight become one."""
-
-    def __init__(self, capacity: int = 100, delta: float = 0.05):
-        self.capacity, self.delta = max(16, capacity), delta
-        self.data: list[tuple[float, int]] = []
-        self.low, self.high = float("inf"), float("-inf")
-
-    def add(self, value: float, weight: int = 1) -> None:
-        import bisect
-
-        self.low, self.high = min(self.low, value), max(self.high, value)
-        if len(self.data) >= self.capacity:
-            self._compress()
-        bisect.insort(self.data, (value, weight))
-
-    def _compress(self) -> None:
-        gaps = [b[0] - a[0] for a, b in zip(self.data, self.data[1:], strict=False)]
-        least = min(gaps)
-        weighted, limit = least <= self.delta, max(self.delta, least)
-        while len(self.data) >= self.capacity:
-            out = [self.data[0]]
-            for mean, weight in self.data[1:]:
-                m, w = out[-1]
-                if (w + weight if weighted else 1) * abs(mean - m) <= limit:
-                    out[-1] = ((m * w + mean * weight) / (w + weight), w + weight)
-                else:
-                    out.append((mean, weight))
-            self.data, weighted, limit = out, False, max(limit, min([b[0] - a[0] for a, b in zip(out, out[1:], strict=False)], default=limit))
+def cluster(mean: np.ndarray, weight: np.ndarray, compression: int) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids of weighted values, by the published t-digest's arcsine scale: fine at the ends, coarse in the middle.
+
+    Values are sorted and equal ones joined; up to ``compression`` of them stay as they are. More fall into the unit
+    steps of compression / (2 pi) * asin(2 q - 1), q being the share of weight up to a value's own middle.
+    """
+    order = np.argsort(mean, kind="stable")
+    mean, first = np.unique(mean[order], return_index=True)
+    if not len(mean):
+        return mean, np.zeros(0, np.int64)
+    weight = np.add.reduceat(weight[order], first)
+    if len(mean) <= compression:
+        return mean, weight
+    q = (np.cumsum(weight) - weight / 2) / weight.sum()
+    step = np.floor(compression / (2 * np.pi) * (np.arcsin(2 * q - 1) + np.pi / 2)).astype(np.int64)
+    first = np.flatnonzero(np.diff(step, prepend=-1))
+    total = np.add.reduceat(weight, first)
+    return np.add.reduceat(mean * weight, first) / total, total
 
 
-def digest(rows: DataFrame, by: list[str], capacity: int = 100, delta: float = 0.05) -> DataFrame:
-    """(by, mean, weight, low, high): centroids of each group, built a partition at a time and then merged."""
+#: Digests of partitions that are merged side by side before the groups' own merge.
+_DIGEST_MERGES = 64
+
+
+def digest(rows: DataFrame, by: list[str], capacity: int = 100) -> DataFrame:
+    """(by, mean, weight, low, high): centroids of each group from rows (by, value[, weight]).
+
+    Each partition keeps about ``capacity`` centroids a group; they are merged in two steps, so no task meets more than
+    a share of the partitions' digests. Null values and weights below 1 are left out.
+    """
+    ship(rows.sparkSession)
+    inner = "means array<double>, weights array<long>, low double, high double"
+    keys = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by)
+
+    def row(values: np.ndarray, weights: np.ndarray, low: float, high: float) -> tuple:
+        m, w = cluster(values, weights, capacity)
+        return m.tolist(), w.tolist(), low, high
 
     def part(batches):
-        held: dict[tuple, Digest] = {}
+        held: dict[tuple, tuple] = {}
         for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                held.setdefault(tuple(row[:-2]), Digest(capacity, delta)).add(float(row[-2]), int(row[-1]))
-        out = [(*k, m, w, d.low, d.high) for k, d in held.items() for m, w in d.data]
-        yield pd.DataFrame(out, columns=[*by, "mean", "weight", "low", "high"])
-
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = Digest(capacity, delta)
-        for m, w in sorted(zip(pdf["mean"], pdf["weight"], strict=True)):
-            d.add(float(m), int(w))
-        out = pd.DataFrame(d.data, columns=["mean", "weight"])
-        for c in by:
-            out[c] = pdf[c].iloc[0]
-        out["low"], out["high"] = pdf["low"].min(), pdf["high"].max()
-        return out[[*by, "mean", "weight", "low", "high"]]
-
-    keys = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in by]
-    schema = ", ".join([*keys, "mean double, weight long, low double, high double"])
+            for key, own in pdf.groupby(by, dropna=False) if by else [((), pdf)]:
+                values, weights = own["value"].to_numpy(float), own["weight"].to_numpy(np.int64)
+                if key in held:
+                    m, w, low, high = held[key]
+                    held[key] = row(np.concatenate([m, values]), np.concatenate([np.array(w, np.int64), weights]), min(low, values.min()), max(high, values.max()))
+                else:
+                    held[key] = row(values, weights, values.min(), values.max())
+        yield pd.DataFrame([(*k, *v) for k, v in held.items()], columns=[*by, "means", "weights", "low", "high"])
+
+    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+        means, weights = (np.concatenate([np.asarray(x) for x in pdf[c]]) for c in ("means", "weights"))
+        out = row(means.astype(float), weights.astype(np.int64), pdf["low"].min(), pdf["high"].max())
+        return pd.DataFrame([(*[pdf[c].iloc[0] for c in by], *out)], columns=[*by, "means", "weights", "low", "high"])
+
     rows = rows if "weight" in rows.columns else rows.withColumn("weight", F.lit(1))
-    return rows.select(*by, "value", "weight").mapInPandas(part, schema).groupBy(*by).applyInPandas(whole, schema)
+    rows = rows.select(*by, F.col("value").cast("double").alias("value"), F.col("weight").cast("long").alias("weight")).filter(F.col("value").isNotNull() & (F.col("weight") >= 1))
+    schema = ", ".join(filter(None, [keys, inner]))
+    parts = rows.mapInPandas(part, schema).withColumn("_side", F.spark_partition_id() % _DIGEST_MERGES)
+    some = parts.groupBy(*by, "_side").applyInPandas(lambda pdf: merged(pdf), schema)
+    whole = some.groupBy(*by).applyInPandas(merged, schema)
+    return whole.select(*by, F.inline(F.arrays_zip(F.col("means").alias("mean"), F.col("weights").alias("weight"))), "low", "high").toDF(*by, "mean", "weight", "low", "high")
 
 
 def _cumulative(centroids: DataFrame, by: list[str]) -> DataFrame:

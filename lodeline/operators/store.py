@@ -134,9 +134,13 @@ def delete(keys: DataFrame, now: int) -> DataFrame:
 
 
 def append(log: DataFrame, requests: DataFrame, now: int) -> DataFrame:
-    """Requests (key, more): the value so far with more after it."""
+    """Requests (key, more[, pos]): the value so far with more after it. Several requests of one key are added in the
+    order of pos, or of what they add where there is none."""
+    pos = "pos" if "pos" in requests.columns else "more"
+    parts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("at"), "more"))), lambda x: x["more"])
+    added = requests.groupBy("key").agg(F.array_join(parts, "").alias("more"))
     old = live(log, now).select("key", "val")
-    return _versions(requests.join(old, "key", "left"), now, F.concat(F.coalesce("val", F.lit("")), F.col("more")))
+    return _versions(added.join(old, "key", "left"), now, F.concat(F.coalesce("val", F.lit("")), F.col("more")))
 
 
 def _remaining(now: int) -> Column:

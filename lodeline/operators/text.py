@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_QUERY = 32
+#: Folders of a stored index, by hash of the word.
+BUCKETS = 64
 
 
 def tokens(words: Column, delimiter: str) -> Column:
@@ -42,6 +44,46 @@ def postings(rows: DataFrame, terms: Column, sort: str, sub: str, only: list[str
     return rows.select(F.explode(found).alias("word"), F.col(sort).alias("sort"), F.col(sub).alias("sub"))
 
 
+def _bucket(word: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(buckets)).cast("int")
+
+
+def write_postings(changes: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Append postings (word, sort, sub) to a stored index; with columns seq and is_tombstone they are later versions.
+
+    Folders by hash of the word, files sorted by word, sort and sub: a search reads the folders of its words and skips
+    row groups by statistics. Files are dealt by ranges, so a very common word spreads over many tasks.
+    """
+    if "seq" not in changes.columns:
+        changes = changes.withColumn("seq", F.lit(0).cast("long"))
+    if "is_tombstone" not in changes.columns:
+        changes = changes.withColumn("is_tombstone", F.lit(False))
+    rows = changes.select("word", "sort", "sub", "seq", "is_tombstone", _bucket(F.col("word"), buckets).alias("bucket"))
+    order = ["bucket", "word", "sort", "sub"]
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("append").partitionBy("bucket").parquet(path)
+
+
+def stored_postings(spark: SparkSession, path: str, words: list[str], buckets: int = BUCKETS) -> DataFrame:
+    """The live postings of ``words`` in a stored index: the newest version of each, without those taken out."""
+    words = sorted(set(words))
+    found = spark.read.parquet(path).filter(F.col("word").isin(words) & F.col("bucket").isin([_bucket(F.lit(w), buckets) for w in words]))
+    newest = found.groupBy("word", "sort", "sub").agg(F.max_by("is_tombstone", "seq").alias("_dead"))
+    return newest.filter(~F.col("_dead")).drop("_dead")
+
+
+def changed_postings(old: DataFrame, new: DataFrame, seq: int) -> DataFrame:
+    """What to append to a stored index when documents change from postings ``old`` to ``new``: new words, and the
+    stale ones as taken out. Documents that ``new`` does not hold stay as they are; ``remove`` takes them out."""
+    gone = stale(old, new).select("word", "sort", "sub", F.lit(True).alias("is_tombstone"))
+    come = new.join(old, ["word", "sort", "sub"], "left_anti").select("word", "sort", "sub", F.lit(False).alias("is_tombstone"))
+    return gone.unionByName(come).withColumn("seq", F.lit(seq).cast("long"))
+
+
+def remove(old: DataFrame, subs: DataFrame, seq: int) -> DataFrame:
+    """Postings of the documents ``subs`` (sub), as taken out."""
+    return old.join(subs.select("sub").distinct(), "sub", "left_semi").select("word", "sort", "sub", F.lit(True).alias("is_tombstone"), F.lit(seq).cast("long").alias("seq"))
+
+
 def search_word(index: DataFrame, word: str, n: int) -> DataFrame:
     return index.filter(F.col("word") == word).select("sort", "sub").orderBy("sort", "sub").limit(n)
 
@@ -67,8 +109,22 @@ def stale(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def prefixes(texts: DataFrame, text: str = "text") -> DataFrame:
     """(prefix, text, score): each text under all its prefixes, the empty one too; score is how often it was added."""
-    scored = texts.groupBy(F.col(text).alias("text")).agg(F.count(F.lit(1)).alias("score"))
-    return scored.select(F.explode(F.transform(F.sequence(F.lit(0), F.length("text")), lambda i: F.left(F.col("text"), i))).alias("prefix"), "text", "score")
+    return scored(texts, text).select(F.explode(F.transform(F.sequence(F.lit(0), F.length("text")), lambda i: F.left(F.col("text"), i))).alias("prefix"), "text", "score")
+
+
+def scored(texts: DataFrame, text: str = "text") -> DataFrame:
+    """(text, score): what autocomplete stores at scale, sorted by text; score is how often each was added."""
+    return texts.groupBy(F.col(text).alias("text")).agg(F.count(F.lit(1)).alias("score"))
+
+
+def write_scored(scored_texts: DataFrame, path: str) -> None:
+    """Sorted by text, so that a prefix is a range of texts that files and row groups are skipped by."""
+    scored_texts.repartitionByRange("text").sortWithinPartitions("text").write.parquet(path)
+
+
+def complete_stored(scored_texts: DataFrame, prefix: str, n: int) -> DataFrame:
+    """The n best texts of a prefix: no row for each prefix is stored, and none is hot."""
+    return scored_texts.filter(F.col("text").startswith(prefix)).orderBy(F.desc("score"), "text").limit(n)
 
 
 def complete(index: DataFrame, prefix: str, n: int) -> DataFrame:

@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeline.functions.hashing import mixer64
+from lodeline.functions.session import ship
+from lodeline.sources import blocks
 
 SCALES = {"I16": 32767.0, "I8": 127.0}
-#: Queries that go to all rows at once; more are taken in blocks.
-QUERY_BLOCK = 1000
+#: Queries of one block, and rows that are compared with a block at once.
+QUERY_BLOCK, ROW_BLOCK = 1000, 1 << 14
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -69,10 +71,29 @@ def project(v: Column, dims_in: int, dims_out: int) -> Column:
     return times(v)
 
 
+def _directions(dims: int, tables: int = 1) -> np.ndarray:
+    """Eight fixed directions of signs for each table."""
+    at = np.arange(dims * 8 * tables, dtype=np.uint64)
+    return np.where(mixer64(at + np.uint64(1)) >> np.uint64(63), 1.0, -1.0).reshape(dims, 8 * tables)
+
+
 def lsh_byte(v: Column, dims: int) -> Column:
     """Eight sign bits of a fixed projection to eight directions."""
-    p = project(v, dims, 8)
-    return F.aggregate(p, F.lit(0), lambda s, x: s * 2 + (x > 0).cast("int"))
+    return F.get(lsh_bytes(v, dims, 1), F.lit(0))
+
+
+def lsh_bytes(v: Column, dims: int, tables: int) -> Column:
+    """array<int>: such a byte for each of several tables, each with directions of its own."""
+    signs = _directions(dims, tables)
+
+    @F.pandas_udf("array<int>")
+    def each(s: pd.Series) -> pd.Series:
+        if not len(s):
+            return pd.Series([], dtype=object)
+        bits = (np.stack(s.to_list()).astype(np.float64) @ signs > 0).reshape(len(s), tables, 8)
+        return pd.Series(list(np.packbits(bits, axis=2)[:, :, 0].astype(np.int32)))
+
+    return each(v)
 
 
 def near_bytes(byte: int) -> list[int]:
@@ -124,27 +145,95 @@ def nearest(rows: DataFrame, query, metric: str, k: int, vector: str = "v", name
     return rows.select(name, distance(metric, literal(query), F.col(vector)).alias("distance")).orderBy("distance", name).limit(k)
 
 
+def distances(metric: str, rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """[query, row]: the same distances for matrices of raw vectors."""
+    if metric == "COSINE":
+        a, b = np.linalg.norm(queries, axis=1), np.linalg.norm(rows, axis=1)
+        some = np.outer(a, b)
+        return np.where(some > 0, (1 - np.divide(queries @ rows.T, some, out=np.zeros_like(some), where=some > 0)) / 2, 0.5)
+    if metric == "EUCLIDEAN":
+        return np.stack([np.sqrt(((rows - q) ** 2).sum(axis=1)) for q in queries])
+    if metric == "MANHATTAN":
+        return np.stack([np.abs(rows - q).sum(axis=1) for q in queries])
+    if metric == "CANBERRA":
+        whole = [np.abs(rows) + np.abs(q) for q in queries]
+        return np.stack([np.divide(np.abs(rows - q), w, out=np.zeros_like(w), where=w > 0).sum(axis=1) for q, w in zip(queries, whole, strict=True)])
+    x, y = (queries > 0).astype(np.float64), (rows > 0).astype(np.float64)
+    both, nx, ny = x @ y.T, x.sum(axis=1)[:, None], y.sum(axis=1)[None, :]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        if metric == "BIT_HAMMING":
+            return (nx + ny - 2 * both) / rows.shape[1]
+        if metric == "BIT_COSINE":
+            return np.where(nx * ny == 0, 1.0, np.sqrt(np.maximum(0.0, 1 - both * both / (nx * ny))))
+        if metric == "BIT_DOMINATING":
+            return np.where(nx == 0, 1.0, 1 - both / nx)
+    raise ValueError(metric)
+
+
 def nearest_each(rows: DataFrame, queries: DataFrame, metric: str, k: int, vector: str = "v", name: str = "name") -> DataFrame:
-    """The k nearest of each of a stated set of queries (query, q).
+    """The k nearest of each of a stated set of queries (query, q), exactly; ties go to the smaller name.
 
-    Queries go to the rows in blocks of about QUERY_BLOCK; ranking keeps k of each query in every partition before the
-    shuffle (WindowGroupLimit), so what moves is bounded by k a query and partition.
+    Queries are written to the shared folder in blocks; a task multiplies some of its rows by one block after the other
+    and passes on k rows a query, so it holds two blocks whatever the numbers of queries and rows. Names are numbers.
     """
+    ship(rows.sparkSession)
+    files = blocks.write(queries.select("query", F.col("q").cast("array<double>").alias("q")), QUERY_BLOCK)
+
+    def best(names: np.ndarray, vectors: np.ndarray):
+        for file in files:
+            block = blocks.read(file)
+            apart = distances(metric, vectors, np.stack(block["q"].to_list()))
+            for query, d in zip(block["query"], apart, strict=True):
+                # All that tie with the k-th stay until names decide.
+                near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
+                near = near[np.lexsort((names[near], d[near]))][:k]
+                yield pd.DataFrame({"query": query, "name": names[near], "distance": d[near]})
+
+    def run(batches):
+        held, size = [], 0
+        for pdf in batches:
+            held.append(pdf)
+            size += len(pdf)
+            if size >= ROW_BLOCK:
+                yield from flush(held)
+                held, size = [], 0
+        if held:
+            yield from flush(held)
+
+    def flush(held):
+        pdf = pd.concat(held)
+        if len(pdf) and files:
+            found = list(best(pdf["name"].to_numpy(), np.stack(pdf["v"].to_list())))
+            yield pd.concat(found)
+
     from pyspark.sql.window import Window
 
-    blocks = -(-max(1, queries.count()) // QUERY_BLOCK)
-    block = F.pmod(F.xxhash64("query"), F.lit(blocks))
-    pairs = None
-    for b in range(blocks):
-        some = rows.join(F.broadcast(queries.filter(block == b)), F.lit(True)).select("query", name, distance(metric, F.col("q"), F.col(vector)).alias("distance"))
-        pairs = some if pairs is None else pairs.unionByName(some)
+    kinds = f"query {queries.schema['query'].dataType.simpleString()}, {name} {rows.schema[name].dataType.simpleString()}, distance double"
+    some = rows.select(F.col(name).alias("name"), F.col(vector).cast("array<double>").alias("v")).filter(F.col("v").isNotNull())
+    pairs = some.mapInPandas(run, kinds.replace(f", {name} ", ", name ")).withColumnRenamed("name", name)
     w = Window.partitionBy("query").orderBy("distance", name)
     return pairs.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 
 
 def nearest_lsh(rows: DataFrame, query, metric: str, k: int, dims: int, vector: str = "v", name: str = "name") -> DataFrame:
     """The k nearest among rows whose bucket byte (column lsh) is within Hamming distance 1 of the query's."""
-    at = np.arange(dims * 8, dtype=np.uint64)
-    signs = np.where(mixer64(at + np.uint64(1)) >> np.uint64(63), 1.0, -1.0).reshape(dims, 8)
-    byte = int("".join("1" if x > 0 else "0" for x in np.asarray(query, float) @ signs), 2)
-    return nearest(rows.filter(F.col("lsh").isin(near_bytes(byte))), query, metric, k, vector, name)
+    bits = np.asarray(query, float) @ _directions(dims) > 0
+    return nearest(rows.filter(F.col("lsh").isin(near_bytes(int(np.packbits(bits)[0])))), query, metric, k, vector, name)
+
+
+def nearest_lsh_each(rows: DataFrame, queries: DataFrame, metric: str, k: int, dims: int, tables: int, vector: str = "v", name: str = "name") -> DataFrame:
+    """The k nearest of each query (query, q) among rows that share a bucket, or one at Hamming distance 1, in any table.
+
+    Buckets meet by an equi-join of names; only rows that meet are compared. More tables find more: recall is measured
+    in the tests.
+    """
+    from pyspark.sql.window import Window
+
+    ship(rows.sparkSession)
+    own = rows.select(name, F.posexplode(lsh_bytes(F.col(vector), dims, tables)).alias("table", "byte"))
+    around = F.array(F.col("byte"), *[F.col("byte").bitwiseXOR(F.lit(1 << i)) for i in range(8)])
+    asked = queries.select("query", F.posexplode(lsh_bytes(F.col("q"), dims, tables)).alias("table", "byte")).select("query", "table", F.explode(around).alias("byte"))
+    met = asked.join(own, ["table", "byte"]).select("query", name).distinct()
+    apart = met.join(queries.select("query", "q"), "query").join(rows.select(name, vector), name).select("query", name, distance(metric, F.col("q"), F.col(vector)).alias("distance"))
+    w = Window.partitionBy("query").orderBy("distance", name)
+    return apart.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)

@@ -1,7 +1,6 @@
 """Which operator and which registered query answers each command of a key-value client.
 
-A row is (commands, operator, query); an empty query means that the operator is covered by tests or by the query of the
-row before it. Families that differ in the number of dimensions only are made by a rule.
+A row is (commands, operator, query); an empty query means that no query of its own checks those commands. Families that differ in the number of dimensions only are made by a rule.
 """
 
 from __future__ import annotations
@@ -65,12 +64,21 @@ ROWS = [
     ("SADD SPOP", "operators.containers.queue_pop", "queue_pop"),
     ("BITSET SETBIT BITMSET BITCOUNT BITMAX", "operators.containers.bit_count", "bit_count"),
     ("BITGET GETBIT BITMGET", "operators.containers.bit_get", "bit_get"),
-    ("PFADD HLLADD PFADDCOUNT HLLADDCOUNT PFSET HLLSET PFRESERVE HLLRESERVE PFBITS HLLBITS PFERROR HLLERROR", "operators.sketches.hll", "hll_count"),
+    ("PFADD HLLADD PFADDCOUNT HLLADDCOUNT", "operators.sketches.hll", "hll_count"),
+    ("PFSET HLLSET PFRESERVE HLLRESERVE PFBITS HLLBITS PFERROR HLLERROR", "operators.sketches.hll", ""),
     ("PFCOUNT HLLCOUNT PFMERGE HLLMERGE", "operators.sketches.hll_merge", "hll_union"),
     ("PFINTERSECT HLLINTERSECT PFJACCARD HLLJACCARD PFMJACCARD HLLMJACCARD PFOVERLAP HLLOVERLAP PFMOVERLAP HLLMOVERLAP", "operators.sketches.hll_relations", "hll_relations"),
-    ("BFADD BFMADD BFRESERVE BFEXISTS BFMEXISTS", "operators.sketches.bloom_exists", "bf_exists"),
-    ("CBFADD CBFINCR CBFINCRBY CBFREM CBFDECR CBFDECRBY CBFADDCOUNT CBFREMCOUNT CBFRESERVE CBFCOUNT CBFMCOUNT", "operators.sketches.counters_estimate", "cbf_estimate"),
-    ("CMSADD CMSINCR CMSINCRBY CMSREM CMSDECR CMSDECRBY CMSADDCOUNT CMSREMCOUNT CMSRESERVE CMSCOUNT CMSMCOUNT", "operators.sketches.counters_estimate", "cms_estimate"),
+    ("BFADD BFMADD BFEXISTS BFMEXISTS", "operators.sketches.bloom_exists", "bf_exists"),
+    ("BFRESERVE", "operators.sketches.bloom", "bf_errors"),
+    *[
+        row
+        for name in ("CBF", "CMS")
+        for row in (
+            (f"{name}ADD {name}INCR {name}INCRBY {name}ADDCOUNT {name}COUNT {name}MCOUNT", "operators.sketches.counters_estimate", f"{name.lower()}_estimate"),
+            (f"{name}REM {name}DECR {name}DECRBY {name}REMCOUNT", "operators.sketches.counters", f"{name.lower()}_taken"),
+            (f"{name}RESERVE", "operators.sketches.counters", f"{name.lower()}_crowded"),
+        )
+    ],
     ("CFADD CFMADD CFREM CFMREM CFEXISTS CFMEXISTS CFRESERVE", "operators.sketches.cuckoo", "cuckoo_ops"),
     ("HHINCR HHRESERVE HHGET", "operators.sketches.top_scores", "hh_top"),
     ("HHDECR", "operators.sketches.top_scores", "hh_bottom"),
@@ -83,7 +91,8 @@ ROWS = [
     ("SSMERGE", "operators.summary.merge", "ss_merge"),
     ("SSGET SSMGET", "operators.summary.as_rows", "ss_named_rows"),
     ("SSADDGETALL SSADDGET SSADDMGET", "operators.summary.running", "ss_running"),
-    ("TDRESERVE TDADD TDADDWEIGHT TDMERGE TDMERGECAPACITY TDMERGECAP", "operators.sketches.digest", "td_compressed"),
+    ("TDRESERVE TDADD TDADDWEIGHT", "operators.sketches.digest", "td_percentiles"),
+    ("TDMERGE TDMERGECAPACITY TDMERGECAP", "operators.sketches.digest", "td_compressed"),
     ("TDPERCENTILE TDQUANTILE THQUANTILE TDMPERCENTILE TDMQUANTILE THMQUANTILE TDMEDIAN", "operators.sketches.digest_percentiles", "td_percentiles"),
     ("TDTRIMMEDMEAN", "operators.sketches.digest_trimmed_mean", "td_trimmed_mean"),
     ("TDMEAN TDMIN TDMAX TDSIZE TDINFO", "operators.sketches.digest_info", "td_info"),
@@ -97,9 +106,11 @@ ROWS = [
     *[(f"MC{n}POINT", "operators.indexes.point", f"mc{n}_point") for n in (2, 3, 4, 8, 16)],
     *[(f"MC{n}RANGE MC{n}RANGENAIVE MC{n}RANGEFLAT", "operators.indexes.box", f"mc{n}_range") for n in (2, 3, 4, 8, 16)],
     *[(f"MC{n}ENCODE MC{n}DECODE", "functions.zorder.encode", f"mc{n}_encode") for n in (2, 3, 4, 8, 16)],
-    *[(f"IX{n}GET IX{n}MGET IX{n}EXISTS IX{n}GETINDEXES IX{n}ADD IX{n}REM IX{n}REMOVE IX{n}DEL", "operators.indexes.current", "ix_current") for n in range(1, 7)],
+    *[(f"IX{n}GET IX{n}MGET IX{n}EXISTS IX{n}GETINDEXES", "operators.indexes.lookup", "ix_lookup") for n in range(1, 7)],
+    *[(f"IX{n}ADD IX{n}REM IX{n}REMOVE IX{n}DEL", "operators.indexes.current", "ix_current") for n in range(1, 7)],
     *[(f"IX{n}RANGE", "operators.indexes.composite_range", f"ix{n}_range") for n in range(1, 7)],
-    *[(f"{p}GET {p}MGET {p}EXISTS {p}GETINDEXES {p}REM {p}REMOVE {p}DEL", "operators.text.stale", "fts_stale") for p in ("IXM", "IXT", "IXH")],
+    *[(f"{p}GET {p}MGET {p}EXISTS {p}GETINDEXES", "operators.text.stored_postings", "fts_word") for p in ("IXM", "IXT", "IXH")],
+    *[(f"{p}REM {p}REMOVE {p}DEL", "operators.text.remove", "fts_changed") for p in ("IXM", "IXT", "IXH")],
     ("IXMADD", "operators.text.postings", "fts_index"),
     ("IXMRANGE", "operators.text.search_word", "fts_word"),
     ("IXMRANGEFLEX", "operators.text.search_any", "fts_any"),
@@ -110,18 +121,20 @@ ROWS = [
     ("IXTRANGESTRICT IXTRANGESTRICT_UTF8 IXTRANGESTRICT_BIN", "operators.text.search_all", "trigram_all"),
     ("IXHADD IXHADD_UTF8 IXHADD_BIN", "operators.text.hybrid", "hybrid_index"),
     ("ACADD ACADD_UTF8 ACADD_BIN ACDEL ACDEL_UTF8 ACDEL_BIN ACREM ACREM_UTF8 ACREM_BIN ACREMOVE ACREMOVE_UTF8 ACREMOVE_BIN", "operators.text.prefixes", "ac_index"),
-    ("ACRANGE ACRANGE_UTF8 ACRANGE_BIN", "operators.text.complete", "ac_range"),
-    ("ACRANGEALL ACRANGEALL_UTF8 ACRANGEALL_BIN", "operators.text.complete", "ac_all"),
-    ("VADD VREM VREMOVE VDEL VKSET", "operators.vectors.prepare", "vec_prepare"),
+    ("ACRANGE ACRANGE_UTF8 ACRANGE_BIN", "operators.text.complete_stored", "ac_range"),
+    ("ACRANGEALL ACRANGEALL_UTF8 ACRANGEALL_BIN", "operators.text.complete_stored", "ac_all"),
+    ("VADD VKSET", "operators.vectors.prepare", "vec_prepare"),
+    ("VREM VREMOVE VDEL", "operators.store.delete", "kv_delete"),
     ("VGET VKGET", "operators.vectors.quantize", "vec_quantized"),
     ("VGETRAW VGETBLOB VKGETRAW VKGETBLOB", "operators.vectors.raw_hex", "vec_raw"),
     ("VGETNORMALIZED VGETNORM VKGETNORMALIZED VKGETNORM", "operators.vectors.normalized", "vec_normalized"),
     ("VSIMFLAT VKSIMFLAT", "operators.vectors.nearest", "vec_cosine"),
-    ("VSIMLSH", "operators.vectors.nearest_lsh", "vec_lsh"),
+    ("VSIMLSH", "operators.vectors.nearest_lsh", "vec_lsh_one"),
     ("MURMUR MURMURHASH64A", "functions.hashing.murmur", "hash_murmur"),
     ("RANDOM RAND MRANDOM MRAND", "functions.hashing.mixed", "hash_mixed"),
     ("DBSIZE DBSIZEMUTABLE INFO", "operators.store.size", "kv_size"),
-    ("SAVE BGSAVE RELOAD", "operators.store.write_sorted", ""),
+    ("SAVE BGSAVE", "operators.store.write_sorted", "disk_table"),
+    ("RELOAD", "sources.files.reload", "disk_reload"),
     ("MAXKEYSIZE MAXVALSIZE VERSION UNIQUEID UNIQID TIME ECHO TYPE", "functions.session.constants", "session_constants"),
 ]
 

@@ -112,6 +112,9 @@ for _name in ("count", "sum"):
 R.add("acc_by_prefix", lambda s, d: scan.accumulate_by(orders(s, d), F.substring_index("key", "~", 1)), f"with {ORDERS} select split_part(key, '~', 1) as \"group\", " + ", ".join(f"{q} as {n}" for n, q in _SQL.items()) + " from o group by 1")
 R.add("acc_empty", lambda s, d: scan.accumulate(orders(s, d), "min", prefix="none~"), f"with {ORDERS} select {_SQL['min']} as min from o where starts_with(key, 'none~')")
 
+#: Keys of the log that are asked for, some of them absent.
+ASKED_LOG = ["7~view", "11~click", "none", "3~purchase", "7~view", "999999~view"]
+
 # Versions
 
 R.add("kv_latest", lambda s, d: store.latest(log(s, d)), f"with {LOG} select * from newest")
@@ -131,40 +134,33 @@ _NEW = f"cast({NOW} as bigint) created_us, cast(0 as bigint) expires_s, false is
 _LEFT = f"case when expires_s > 0 then greatest((created_us + expires_s * 1000000 - {NOW}) // 1000000, 1) else 0 end expires_s"
 
 
-def _requests(s, d, some, *more):
-    c = table(s, d, "customer").filter(some or "true")
-    return c.select(F.concat(F.col("c_custkey").cast("string"), F.lit("~view")).alias("key"), F.concat(F.lit("new"), F.col("c_custkey").cast("string")).alias("val"), *more)
-
-
-def _writes(tag: str, some: str) -> None:
-    """The queries that ask for a key of each customer, or of those where ``some`` holds."""
-    req_sql = "r as (select cast(c_custkey as varchar) || '~view' as key, 'new' || c_custkey as val from customer" + (f" where {some}" if some else "") + ")"
-    R.add(f"kv_set{tag}", lambda s, d: store.put(_requests(s, d, some), NOW), f"with {req_sql} select key, val, {_NEW} from r")
-    R.add(f"kv_setex{tag}", lambda s, d: store.put(_requests(s, d, some, F.lit(60).alias("seconds")), NOW), f"with {req_sql} select key, val, {_NEW.replace('cast(0 as bigint) expires_s', 'cast(60 as bigint) expires_s')} from r")
-    R.add(f"kv_setnx{tag}", lambda s, d: store.put_absent(log(s, d), _requests(s, d, some), NOW), f"with {LOG}, {req_sql} select key, val, {_NEW} from r where key not in (select key from live)")
-    R.add(f"kv_setxx{tag}", lambda s, d: store.put_present(log(s, d), _requests(s, d, some), NOW), f"with {LOG}, {req_sql} select key, val, {_NEW} from r where key in (select key from live)")
-    R.add(f"kv_msetnx{tag}", lambda s, d: store.put_all_absent(log(s, d), _requests(s, d, some), NOW), f"with {LOG}, {req_sql} select key, val, {_NEW} from r where not exists (select 1 from r join live using (key))")
-    R.add(f"kv_msetxx{tag}", lambda s, d: store.put_all_present(log(s, d), _requests(s, d, some), NOW), f"with {LOG}, {req_sql} select key, val, {_NEW} from r where not exists (select 1 from r where key not in (select key from live))")
-    R.add(f"kv_delete{tag}", lambda s, d: store.delete(_requests(s, d, some).select("key"), NOW), f"with {req_sql} select key, '' val, {_NEW.replace('false', 'true')} from r")
-    R.add(f"kv_append{tag}", lambda s, d: store.append(log(s, d), _requests(s, d, some).withColumnRenamed("val", "more"), NOW), f"with {LOG}, {req_sql} select r.key, coalesce(live.val, '') || r.val as val, {_NEW} from r left join live on r.key = live.key")
-    R.add(f"kv_getset{tag}", lambda s, d: store.swap(log(s, d), _requests(s, d, some), NOW), f"with {LOG}, {req_sql} select r.key, coalesce(live.val, '') as old, r.val from r left join live on r.key = live.key")
-    keys = lambda s, d: _requests(s, d, some).select("key")
-    R.add(f"kv_getdel{tag}", lambda s, d: store.get_and(log(s, d), keys(s, d), NOW, lambda rows: store.delete(rows, NOW))[0], f"with {LOG}, {req_sql} select r.key, coalesce(live.val, '') as val from r left join live on r.key = live.key")
-    R.add(f"kv_getdel_writes{tag}", lambda s, d: store.get_and(log(s, d), keys(s, d), NOW, lambda rows: store.delete(rows, NOW))[1], f"with {LOG}, {req_sql} select r.key, '' val, {_NEW.replace('false', 'true')} from r join live on r.key = live.key")
-    R.add(f"kv_getex_writes{tag}", lambda s, d: store.get_and(log(s, d), keys(s, d), NOW, lambda rows: store.expire(rows, NOW, 30))[1], f"with {LOG}, {req_sql} select r.key, live.val, {_NEW.replace('cast(0 as bigint) expires_s', 'cast(30 as bigint) expires_s')} from r join live on r.key = live.key")
-    R.add(f"kv_getpersist_writes{tag}", lambda s, d: store.get_and(log(s, d), keys(s, d), NOW, lambda rows: store.persist(rows, NOW))[1], f"with {LOG}, {req_sql} select r.key, live.val, {_NEW} from r join live on r.key = live.key")
-    moves = lambda s, d: _requests(s, d, some).select(F.col("key").alias("old_key"), F.replace(F.col("key"), F.lit("view"), F.lit("click")).alias("new_key"))
-    copy_sql = f"select replace(r.key, 'view', 'click') as key, l.val, cast({NOW} as bigint) created_us, {_LEFT}, false is_tombstone, cast({NOW} as bigint) seq from r join live l on r.key = l.key"
-    free_sql = " where replace(r.key, 'view', 'click') not in (select key from live)"
-    R.add(f"kv_copy{tag}", lambda s, d: store.copy(log(s, d), moves(s, d), NOW), f"with {LOG}, {req_sql} {copy_sql}")
-    R.add(f"kv_copynx{tag}", lambda s, d: store.copy(log(s, d), moves(s, d), NOW, absent_only=True), f"with {LOG}, {req_sql} {copy_sql}{free_sql}")
-    R.add(f"kv_rename{tag}", lambda s, d: store.copy(log(s, d), moves(s, d), NOW, move=True), f"with {LOG}, {req_sql} {copy_sql} union all select r.key, '', {_NEW.replace('false', 'true')} from r join live l on r.key = l.key")
-    R.add(f"kv_renamenx{tag}", lambda s, d: store.copy(log(s, d), moves(s, d), NOW, move=True, absent_only=True), f"with {LOG}, {req_sql} {copy_sql}{free_sql} union all select r.key, '', {_NEW.replace('false', 'true')} from r join live l on r.key = l.key{free_sql}")
-
-
-# Names without _whole keep to the customers of their SQL; those with it ask for every customer.
-_writes("", "c_custkey < 120")
-_writes("_whole", "")
+def _requests(s, d, *more):
+    """A key of each customer."""
+    return table(s, d, "customer").select(F.concat(F.col("c_custkey").cast("string"), F.lit("~view")).alias("key"), F.concat(F.lit("new"), F.col("c_custkey").cast("string")).alias("val"), *more)
+
+
+REQ = "r as (select cast(c_custkey as varchar) || '~view' as key, 'new' || c_custkey as val from customer)"
+R.add("kv_set", lambda s, d: store.put(_requests(s, d), NOW), f"with {REQ} select key, val, {_NEW} from r")
+R.add("kv_setex", lambda s, d: store.put(_requests(s, d, F.lit(60).alias("seconds")), NOW), f"with {REQ} select key, val, {_NEW.replace('cast(0 as bigint) expires_s', 'cast(60 as bigint) expires_s')} from r")
+R.add("kv_setnx", lambda s, d: store.put_absent(log(s, d), _requests(s, d), NOW), f"with {LOG}, {REQ} select key, val, {_NEW} from r where key not in (select key from live)")
+R.add("kv_setxx", lambda s, d: store.put_present(log(s, d), _requests(s, d), NOW), f"with {LOG}, {REQ} select key, val, {_NEW} from r where key in (select key from live)")
+R.add("kv_msetnx", lambda s, d: store.put_all_absent(log(s, d), _requests(s, d), NOW), f"with {LOG}, {REQ} select key, val, {_NEW} from r where not exists (select 1 from r join live using (key))")
+R.add("kv_msetxx", lambda s, d: store.put_all_present(log(s, d), _requests(s, d), NOW), f"with {LOG}, {REQ} select key, val, {_NEW} from r where not exists (select 1 from r where key not in (select key from live))")
+R.add("kv_delete", lambda s, d: store.delete(_requests(s, d).select("key"), NOW), f"with {REQ} select key, '' val, {_NEW.replace('false', 'true')} from r")
+R.add("kv_append", lambda s, d: store.append(log(s, d), _requests(s, d).withColumnRenamed("val", "more"), NOW), f"with {LOG}, {REQ} select r.key, coalesce(live.val, '') || r.val as val, {_NEW} from r left join live on r.key = live.key")
+R.add("kv_getset", lambda s, d: store.swap(log(s, d), _requests(s, d), NOW), f"with {LOG}, {REQ} select r.key, coalesce(live.val, '') as old, r.val from r left join live on r.key = live.key")
+keys = lambda s, d: _requests(s, d).select("key")
+R.add("kv_getdel", lambda s, d: store.get_and(log(s, d), keys(s, d), NOW, lambda rows: store.delete(rows, NOW))[0], f"with {LOG}, {REQ} select r.key, coalesce(live.val, '') as val from r left join live on r.key = live.key")
+R.add("kv_getdel_writes", lambda s, d: store.get_and(log(s, d), keys(s, d), NOW, lambda rows: store.delete(rows, NOW))[1], f"with {LOG}, {REQ} select r.key, '' val, {_NEW.replace('false', 'true')} from r join live on r.key = live.key")
+R.add("kv_getex_writes", lambda s, d: store.get_and(log(s, d), keys(s, d), NOW, lambda rows: store.expire(rows, NOW, 30))[1], f"with {LOG}, {REQ} select r.key, live.val, {_NEW.replace('cast(0 as bigint) expires_s', 'cast(30 as bigint) expires_s')} from r join live on r.key = live.key")
+R.add("kv_getpersist_writes", lambda s, d: store.get_and(log(s, d), keys(s, d), NOW, lambda rows: store.persist(rows, NOW))[1], f"with {LOG}, {REQ} select r.key, live.val, {_NEW} from r join live on r.key = live.key")
+moves = lambda s, d: _requests(s, d).select(F.col("key").alias("old_key"), F.replace(F.col("key"), F.lit("view"), F.lit("click")).alias("new_key"))
+copy_sql = f"select replace(r.key, 'view', 'click') as key, l.val, cast({NOW} as bigint) created_us, {_LEFT}, false is_tombstone, cast({NOW} as bigint) seq from r join live l on r.key = l.key"
+free_sql = " where replace(r.key, 'view', 'click') not in (select key from live)"
+R.add("kv_copy", lambda s, d: store.copy(log(s, d), moves(s, d), NOW), f"with {LOG}, {REQ} {copy_sql}")
+R.add("kv_copynx", lambda s, d: store.copy(log(s, d), moves(s, d), NOW, absent_only=True), f"with {LOG}, {REQ} {copy_sql}{free_sql}")
+R.add("kv_rename", lambda s, d: store.copy(log(s, d), moves(s, d), NOW, move=True), f"with {LOG}, {REQ} {copy_sql} union all select r.key, '', {_NEW.replace('false', 'true')} from r join live l on r.key = l.key")
+R.add("kv_renamenx", lambda s, d: store.copy(log(s, d), moves(s, d), NOW, move=True, absent_only=True), f"with {LOG}, {REQ} {copy_sql}{free_sql} union all select r.key, '', {_NEW.replace('false', 'true')} from r join live l on r.key = l.key{free_sql}")
 
 _PRE = "starts_with(key, '1')"
 _BULK = lambda s, d: store.live(log(s, d), NOW).filter(store.in_prefix("1"))

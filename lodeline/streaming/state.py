@@ -105,13 +105,14 @@ def stream(ops: DataFrame, step: Step, ttl_ms: int | None = None) -> DataFrame:
     return ops.groupBy("key").applyInPandasWithState(run, "key string, seq long, reply string", "state string", "append", timeout)
 
 
-def keep_log(changes: DataFrame, path: str, checkpoint: str):
-    """Append a stream of versions to a change log, one sorted table a micro-batch."""
+def keep_log(changes: DataFrame, path: str, checkpoint: str, once: bool = False):
+    """Append a stream of versions to a change log, one sorted table a micro-batch; with ``once`` what is there now."""
 
     def write(batch: DataFrame, _id: int) -> None:
         store.latest(batch).select(*store.COLUMNS).sortWithinPartitions("key").write.mode("append").parquet(path)
 
-    return changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    out = changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return out.trigger(availableNow=True).start() if once else out
 
 
 def windowed_counts(events: DataFrame, delay: str = "1 hour", width: str = "1 day") -> DataFrame:
