@@ -2,52 +2,26 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeline.functions import session
+from lodeline.functions.session import delete_path, fresh_path, given_paths, shared_dir  # noqa: F401
+
 #: Bytes of text that one vectorised step takes at once; bounds the worker's memory whatever the batch size.
 CHUNK_BYTES = 1 << 18
 #: Most bytes of an Arrow batch that goes to a Python worker: what it and the JVM hold of it at once.
 BATCH_BYTES = 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, one of our own under a
-    local master, as in tests; on a cluster an error, as a folder of one machine is not seen by the others."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = f"file://{tempfile.mkdtemp(prefix='lodeline-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-#: Paths given out and not deleted yet, by application.
-_given: dict[str, set[str]] = {}
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    path = f"{shared_dir(spark)}/lodeline/{tag}-{uuid.uuid4().hex}"
-    _given.setdefault(spark.sparkContext.applicationId, set()).add(path)
-    return path
-
-
 def clean_up(spark: SparkSession, *keep: DataFrame) -> None:
     """Delete all intermediate tables, runs and shards of this application but those of ``keep``.
 
     Operators return lazy frames that read such tables, so call it once their results are written.
     """
-    kept = {getattr(df, "_lodeline_path", None) for df in keep}
-    for path in _given.get(spark.sparkContext.applicationId, set()) - kept:
+    for path in given_paths(spark) - {getattr(df, "_lodeline_path", None) for df in keep}:
         delete_path(spark, path)
 
 
@@ -68,31 +42,38 @@ def discard(*frames: DataFrame) -> None:
             delete_path(df.sparkSession, path)
 
 
-def delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    _given.get(spark.sparkContext.applicationId, set()).discard(path)
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, so that their Python workers can import it wherever they start; keep the
-    batches they get small."""
+    """Send this package to the executors, and keep the batches that their Python workers get small."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > BATCH_BYTES:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    sc = spark.sparkContext
-    if getattr(sc, "_lodeline_shipped", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    name = os.path.join(tempfile.mkdtemp(prefix="lodeline-code-"), "lodeline_code.zip")
-    with zipfile.ZipFile(name, "w") as z:
-        for folder, _, files in os.walk(root):
-            for f in files:
-                if f.endswith(".py"):
-                    full = os.path.join(folder, f)
-                    z.write(full, os.path.join("lodeline", os.path.relpath(full, root)))
-    sc.addPyFile(name)
-    sc._lodeline_shipped = True
+    session.ship(spark)
+
+
+def file_uri(path: str) -> str:
+    """A path in the shared folder as a URI that Arrow's file systems take."""
+    return path if "://" in path else f"file://{path.removeprefix('file:')}"
+
+
+#: Most bits of a bitmap that goes to every executor: 32 MB.
+BITMAP_BITS = 1 << 28
+
+
+def bitmap_of(keys: DataFrame, h: Column, most: int = BITMAP_BITS) -> tuple[DataFrame, int]:
+    """(_bucket, _bits) and the number of bits: a bitmap of the hashes ``h`` of ``keys``, 16 bits a key, ``most`` at most."""
+    n, bits = keys.count(), 1 << 17
+    while bits < 16 * n and bits < most:
+        bits <<= 1
+    at = F.pmod(h, F.lit(bits)) + 1
+    return keys.groupBy(F.bitmap_bucket_number(at).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("_bits")), bits
+
+
+def with_hit(rows: DataFrame, bitmap: tuple[DataFrame, int], h: Column) -> DataFrame:
+    """``rows`` with _hit: false only for rows whose hash ``h`` no key has. It is a filter before a join, not in its place."""
+    at = F.pmod(h, F.lit(bitmap[1])) + 1
+    byte = F.substring("_bits", (F.floor(F.col("_at") / 8) + 1).cast("int"), F.lit(1))
+    bit = F.expr("shiftright(_byte, cast(_at % 8 as int)) & 1") == 1
+    met = rows.withColumn("_bucket", F.bitmap_bucket_number(at)).withColumn("_at", F.bitmap_bit_position(at)).join(F.broadcast(bitmap[0]), "_bucket", "left")
+    return met.withColumn("_byte", F.conv(F.hex(byte), 16, 10).cast("int")).withColumn("_hit", F.coalesce(bit, F.lit(False))).drop("_bucket", "_at", "_bits", "_byte")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

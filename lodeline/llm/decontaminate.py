@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeline.llm.common import fresh_path, ship, slices, texts_of
+from lodeline.llm.common import file_uri, fresh_path, ship, slices, texts_of
 from lodeline.llm.words import ALNUM, Words, split
 
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -138,7 +138,7 @@ def write_blocks(items: DataFrame, block_bytes: int) -> list[str]:
     """Write items with a text to the shared folder; the names of the files, each of about ``block_bytes`` (one item at
     least). Names are new in each attempt of a task, and only those of the attempt that counts are told."""
     folder = fresh_path(items.sparkSession, "benchmark")
-    folder = folder if "://" in folder else f"file://{folder.removeprefix('file:')}"
+    folder = file_uri(folder)
 
     def run(batches):
         fs, path = pafs.FileSystem.from_uri(folder)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodeline.llm.common import fresh_path, ship
+from lodeline.llm.common import file_uri, fresh_path, ship
 
 MAGIC = b"LLSST01\n"
 BLOCK_BYTES = 64 << 10
@@ -425,7 +425,7 @@ def round_trip(docs: DataFrame, tokenizer_path: str | None = None, end_id: int =
     """Write ``docs`` as shards in the shared folder and describe each document from the files."""
     spark = docs.sparkSession
     folder = fresh_path(spark, tag)
-    folder = folder if "://" in folder else f"file://{folder.removeprefix('file:')}"
+    folder = file_uri(folder)
     write(docs, folder, tokenizer_path, end_id)
     return read(spark, folder, "long" if docs.schema["doc_id"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint") else "string")
 

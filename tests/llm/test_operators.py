@@ -78,14 +78,38 @@ def test_line_runs_equal_brute_force(spark, batches, fanout):
 
 
 def test_levels_compact(spark):
-    runs = linededup.LineRuns(spark, fanout=2)
+    runs = linededup.LineRuns(spark, fanout=2, ranges=3)
     for b in range(5, 0, -1):
         batch = spark.createDataFrame([(h, 0, b * 10 + k) for h in range(b, 8) for k in range(2)], "h1 long, h2 long, doc_id long")
-        assert runs.fresh(batch.select("h1", "h2").distinct()).count() == (3 if b == 5 else 1)
-        runs.add(batch)
+        assert runs.add(batch) == (3 if b == 5 else 1)
     assert [len(x) for x in runs.levels] == [1, 0, 1]
     got = {r.h1: (r.n_docs, r.keeper) for r in runs.totals().collect()}
     assert got == {h: (2 * min(h, 5), min(h, 5) * 10 + 1) for h in range(1, 8)}
+    assert {r.h1 for r in runs.totals(9).collect()} == {5, 6, 7}
+
+
+def test_keys_that_collide_in_half():
+    run = np.array([(1, 5), (1, 7), (2, 1), (9, 9)])
+    ask = np.array([(0, 0), (1, 5), (1, 6), (1, 7), (2, 2), (9, 9), (11, 0)])
+    assert linededup.held(*ask.T, *run.T).tolist() == [False, True, False, True, False, True, False]
+    assert linededup.held(*ask.T, np.zeros(0, np.int64), np.zeros(0, np.int64)).tolist() == [False] * 7
+
+
+def test_ids_that_are_strings(spark):
+    line = "one line that many hold"
+    rows = [(f"d{i:03d}é", f"{line.upper() if i % 2 else line}\nown {i}") for i in range(30)] + [(None, line), ("z", None)]
+    got = {r.doc_id: r.kept for r in linededup.dedup(spark.createDataFrame(rows, "doc_id string, text string"), 6, 3, 4, 2).collect()}
+    assert got == {f"d{i:03d}é": (f"{rows[i][1]}" if i == 29 else f"own {i}") for i in range(30)} | {None: "", "z": ""}
+
+
+@pytest.mark.parametrize("share", [1, 10**9])
+def test_common_lines_go_either_way(spark, share):
+    """All common keys by shuffle, or all by broadcast: the same rows; text of documents that lose nothing does not move."""
+    rnd = random.Random(2)
+    pool = [f"line number {k} of some length" for k in range(12)]
+    rows = [(i, "\n".join([f"only here {i}"] + [rnd.choice(pool) for _ in range(rnd.randint(0, 3))])) for i in range(90)]
+    out = linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), 6, 3, 3, 2, hot_share=share)
+    assert sorted((r.doc_id, r.n_lines, r.n_dropped, r.kept) for r in out.collect()) == brute_lines(rows, 6, 3)
 
 
 # Mixing
@@ -622,3 +646,12 @@ def test_many_benchmark_blocks(spark):
         found = decontaminate.scan(docs, bench, block_bytes=500, hold_bytes=hold)
         assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
         assert {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in found.collect()} == want
+
+
+def test_leaves_go_either_way(spark, monkeypatch):
+    """Few leaves by broadcast, many by salted keys: the same copies."""
+    rnd = random.Random(14)
+    docs = spark.createDataFrame([(i, "w " * rnd.randint(0, 30), rnd.choice("xy"), f"src{rnd.randrange(5)}") for i in range(600)], "doc_id long, text string, lang string, source string")
+    one = {r.doc_id: r.m_copies for r in mixing.mix(docs, prefix="m_").collect()}
+    monkeypatch.setattr(mixing, "BROADCAST_LEAVES", 0)
+    assert {r.doc_id: r.m_copies for r in mixing.mix(docs, prefix="m_").collect()} == one
