@@ -203,9 +203,10 @@ def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
     return keyed.select("doc_id", "row", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
 
 
-def _cuts(docs: DataFrame, batches: int, sample: int) -> list:
-    """Ids that cut the documents into about even batches, from the ``sample`` ids of smallest hash."""
-    ids = docs.select("doc_id").filter(F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
+def _cuts(docs: DataFrame, n_docs: int, batches: int, sample: int) -> list:
+    """Ids that cut the documents into about even batches, from about ``sample`` ids chosen by their hashes."""
+    some = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n_docs // sample))) == 0
+    ids = docs.select("doc_id").filter(F.col("doc_id").isNotNull() & some).distinct().limit(4 * sample).collect()
     ids = sorted(r.doc_id for r in ids)
     return sorted({ids[len(ids) * i // batches] for i in range(1, batches)}) if ids else []
 
@@ -219,7 +220,8 @@ def dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType
-    cuts = _cuts(docs, batches, sample) if batches > 1 else []
+    n_docs = docs.count()
+    cuts = _cuts(docs, n_docs, batches, sample) if batches > 1 else []
     batch = F.lit(0)
     for c in cuts:
         batch = batch + F.coalesce(F.col("doc_id") >= F.lit(c), F.lit(False)).cast("int")
@@ -232,7 +234,6 @@ def dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int
         index.add(lines.filter(F.col("batch") == b))
     common = materialize(index.totals(min_docs, kind.simpleString()), "common")
     delete_path(spark, index.folder)
-    n_docs = docs.count()
     hot = F.col("n_docs") > max(min_docs, n_docs // hot_share)
     other = ~F.col("doc_id").eqNullSafe(F.col("keeper"))
     near = with_hit(lines, bitmap_of(common, F.col("h1")), F.col("h1")).filter("_hit").drop("_hit")

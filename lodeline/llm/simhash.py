@@ -118,7 +118,7 @@ def links(prints: DataFrame, k: int = 2, m: int = 2, bucket_cap: int = 64) -> Da
     near = (F.col("own") < F.col("fp")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("own"))) <= k)
     met = probe.join(table, "key").filter(F.col("fp").isNull() | near).select(F.col("own").alias("u"), F.col("fp").alias("v"))
     met = materialize(met, "met")
-    members = materialize(met.filter(F.col("v").isNull()).select(F.col("u").alias("fp")).distinct(), "members")
+    members = met.filter(F.col("v").isNull()).select(F.col("u").alias("fp")).distinct()
     return met.filter(F.col("v").isNotNull()).unionByName(_stars(members, k))
 
 
@@ -133,7 +133,7 @@ def _stars(members: DataFrame, k: int) -> DataFrame:
     least = near.groupBy("centre").agg(F.min("fp").alias("u"), F.count(F.lit(1)).alias("n"))
     if half == rest:
         least = least.filter("n > 1")
-    found = join_counted(far, least, "centre", members.count() * len(ball(BITS, rest)))
+    found = far.join(least.drop("n"), "centre")
     return found.filter(F.col("u") != F.col("fp")).select("u", F.col("fp").alias("v"))
 
 
@@ -141,7 +141,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable from each node of ``edges`` (u, v), by alternating stars.
 
     Each round writes its edges to the shared folder, so a lost executor costs one round at most. Nothing is collected
-    but the count and checksum that tell the last round. Hubs of very many edges are joined by broadcast.
+    but the count and checksum that tell the last round. Each join has one row a node on one side, so a hub's edges may
+    be split over tasks, as adaptive execution does.
     """
     now = materialize(edges.filter(F.col("u") != F.col("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
     before = None
@@ -151,14 +152,13 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = tuple(state)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
-        large = join_counted(both, least, "u", 2 * state[0]).filter(F.col("v") > F.col("u")).select(F.col("m").alias("u"), "v").filter(F.col("u") != F.col("v")).distinct()
-        large = materialize(large, "large")
-        least = large.groupBy("v").agg(F.min("u").alias("m"), F.count(F.lit(1)).alias("n"))
-        joined = join_counted(large, least, "v", 2 * state[0])
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("m").alias("u"), "v").filter(F.col("u") != F.col("v")).distinct()
+        least = large.groupBy("v").agg(F.min("u").alias("m"))
+        joined = large.join(least, "v")
         small = joined.select(F.inline(F.array(F.struct(F.col("m").alias("a"), F.col("u").alias("b")), F.struct(F.col("m").alias("a"), F.col("v").alias("b")))))
         step = materialize(small.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "edges")
-        discard(now, large)
+        discard(now)
         now = step
     return now.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("component"))
 
@@ -170,14 +170,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, k: int =
     classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
     joined = links(classes.select("fp"), k, m, bucket_cap)
     # An id with several texts links the fingerprints of its rows.
-    several = prints.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("fp").alias("u"), F.max("fp").alias("most"), F.count(F.lit(1)).alias("n")).filter("u < most").drop("most")
+    several = prints.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("fp").alias("u"), F.max("fp").alias("most")).filter("u < most").drop("most")
     if not several.isEmpty():
-        joined = joined.unionByName(join_counted(prints, several, "doc_id", total).select("u", F.col("fp").alias("v")))
+        joined = joined.unionByName(prints.join(several, "doc_id").select("u", F.col("fp").alias("v")))
     found = components(joined)
     placed = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "rep", "n", F.coalesce("component", "fp").alias("part"))
-    placed = materialize(placed, "placed")
-    least = placed.groupBy("part").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("n"))
-    named = join_counted(placed.withColumnRenamed("n", "copies"), least, "part", total).select("fp", "component_id", F.col("copies").alias("n"))
+    named = placed.join(placed.groupBy("part").agg(F.min("rep").alias("component_id")), "part").select("fp", "component_id", "n")
     return join_counted(prints, materialize(named, "named"), "fp", total).select("doc_id", "fp", "component_id")
 
 
