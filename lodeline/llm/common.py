@@ -16,22 +16,37 @@ CHUNK_BYTES = 1 << 18
 BATCH_BYTES = 8 << 20
 
 
-def clean_up(spark: SparkSession, *keep: DataFrame) -> None:
-    """Delete all intermediate tables, runs and shards of this application but those of ``keep``.
+def clean_up(spark: SparkSession, before: set[str], *keep: DataFrame) -> None:
+    """Delete the intermediate tables, runs and shards made since ``before = given_paths(spark)``, but those of ``keep``.
 
     Operators return lazy frames that read such tables, so call it once their results are written.
     """
-    for path in given_paths(spark) - {getattr(df, "_lodeline_path", None) for df in keep}:
+    for path in given_paths(spark) - before - {getattr(df, "_lodeline_path", None) for df in keep}:
         delete_path(spark, path)
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, and survives the loss of any executor."""
-    path = fresh_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._lodeline_path = path
-    return out
+#: Rows of a file that ``materialize`` aims at where their number is known.
+FILE_ROWS = 1 << 20
+
+
+def materialize(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts the lineage, and survives the loss of any executor.
+
+    rows: about how many there are, at most. The last stage then has as many tasks as that needs, one a core at least,
+    so that a small table is not many small files.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, tag)
+    out = df if rows is None else df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
+    out.write.parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._lodeline_path = path
+    return back
+
+
+def gather(df: DataFrame) -> DataFrame:
+    """Few narrow rows of each of many scan tasks, dealt to a sixteenth of the shuffle partitions before they are written."""
+    return df.repartition(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16))
 
 
 def discard(*frames: DataFrame) -> None:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodeline.llm.common import materialize, spare
+from lodeline.llm.common import gather, materialize, spare
 
 #: Hash digits of a bucket: 16 ** 3 buckets for each leaf.
 DIGITS = 3
@@ -115,8 +115,8 @@ def mix(
             f"{p}tokens": n_words(F.col("text")) if tokens is None else tokens,
         }
     )
-    sizes = materialize(keyed.select(F.col("doc_id"), *[F.col(f"{p}{c}").alias(c) for c in ("domain", "lang", "source", "tokens")]), "sizes")
-    leaf = materialize(plan(sizes, weights, ratio, max_epochs), "leaves")
+    sizes = materialize(gather(keyed.select(F.col("doc_id"), *[F.col(f"{p}{c}").alias(c) for c in ("domain", "lang", "source", "tokens")])), "sizes")
+    leaf = materialize(plan(sizes, weights, ratio, max_epochs), "leaves", 0)
     few = leaf.count() <= BROADCAST_LEAVES
     key = ["domain", "lang", "source"]
 
@@ -142,7 +142,7 @@ def mix(
     rising = Window.partitionBy(*key, "head").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     reached = placed.withColumn("before", F.col("head_before") + F.coalesce(F.sum("sum").over(rising), F.lit(0))).filter("before < rest")
     edge = reached.groupBy(*key).agg(F.max("bucket").alias("edge"), F.max("before").alias("before"))
-    leaf = materialize(leaf.join(edge, key, "left"), "leaves")
+    leaf = materialize(leaf.join(edge, key, "left"), "leaves", 0)
 
     full = beside(keyed, leaf, ["epochs", "rest", "edge", "before"], [f"{p}{c}" for c in key])
     full = full.withColumn(f"{p}order", order).withColumn(f"{p}bucket", F.substring(f"{p}order", 1, DIGITS))

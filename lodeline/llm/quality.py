@@ -293,8 +293,11 @@ def op2_quality_crf(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, minimum: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` whose score is at least ``minimum``, all columns."""
+    """The rows of ``docs`` whose score is at least ``minimum``, all columns. Labels of fewer than two classes teach
+    nothing, so then all rows stay."""
     model = train(docs, labels)
+    if model.constant is not None:
+        return docs
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     inner = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.col("text"))
     kept = score(inner, model, list(names.values()), minimum)

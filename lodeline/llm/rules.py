@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeline.llm.common import materialize, ship, texts_of
+from lodeline.llm.common import gather, materialize, ship, texts_of
 
 SYMBOLS = b"#*$%&|<>"
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -178,7 +178,7 @@ def judge(docs: DataFrame, rules: list[Rule] | None = None, minimum: float = 0.5
     """(doc_id, counts, posterior, base_failed, kept) of each row."""
     rules = RULES if rules is None else rules
     spark = docs.sparkSession
-    rows = materialize(describe(docs, rules), "rules")
+    rows = materialize(gather(describe(docs, rules)), "rules")
     seen = rows.groupBy("pattern").count().orderBy("pattern").collect()  # at most 3 ** len(rules) rows
     patterns = np.array([r[0] for r in seen], np.int64)
     model = fit(patterns, np.array([r[1] for r in seen], np.float64), len(rules))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeline.llm.common import discard, join_counted, materialize, ship, texts_of
+from lodeline.llm.common import discard, gather, join_counted, materialize, ship, texts_of
 
 BITS = 64
 
@@ -99,7 +99,7 @@ def _around(key: F.Column, masks: list[int]) -> F.Column:
     return F.array(*[key.bitwiseXOR(F.lit(_signed(v)).cast("long")) for v in masks])
 
 
-def links(prints: DataFrame, k: int = 2, m: int = 2, bucket_cap: int = 64) -> DataFrame:
+def links(prints: DataFrame, k: int = 2, m: int = 2, bucket_cap: int = 64, rows: int | None = None) -> DataFrame:
     """(u, v): links that join every pair of the different fingerprints ``prints`` (fp) within ``k`` bits.
 
     Pairs from buckets of up to ``bucket_cap`` are listed one by one; larger buckets give stars with the same reach.
@@ -117,7 +117,7 @@ def links(prints: DataFrame, k: int = 2, m: int = 2, bucket_cap: int = 64) -> Da
     probe = prints.select(F.explode(F.concat(*probes)).alias("key"), F.col("fp").alias("own"))
     near = (F.col("own") < F.col("fp")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("own"))) <= k)
     met = probe.join(table, "key").filter(F.col("fp").isNull() | near).select(F.col("own").alias("u"), F.col("fp").alias("v"))
-    met = materialize(met, "met")
+    met = materialize(met, "met", rows)
     members = met.filter(F.col("v").isNull()).select(F.col("u").alias("fp")).distinct()
     return met.filter(F.col("v").isNotNull()).unionByName(_stars(members, k))
 
@@ -137,14 +137,14 @@ def _stars(members: DataFrame, k: int) -> DataFrame:
     return found.filter(F.col("u") != F.col("fp")).select("u", F.col("fp").alias("v"))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """(node, component): the smallest node reachable from each node of ``edges`` (u, v), by alternating stars.
 
     Each round writes its edges to the shared folder, so a lost executor costs one round at most. Nothing is collected
     but the count and checksum that tell the last round. Each join has one row a node on one side, so a hub's edges may
     be split over tasks, as adaptive execution does.
     """
-    now = materialize(edges.filter(F.col("u") != F.col("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
+    now = materialize(edges.filter(F.col("u") != F.col("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges", rows)
     before = None
     while True:
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -157,7 +157,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         joined = large.join(least, "v")
         small = joined.select(F.inline(F.array(F.struct(F.col("m").alias("a"), F.col("u").alias("b")), F.struct(F.col("m").alias("a"), F.col("v").alias("b")))))
-        step = materialize(small.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "edges")
+        step = materialize(small.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "edges", state[0])
         discard(now)
         now = step
     return now.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("component"))
@@ -165,18 +165,18 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, k: int = 2, m: int = 2, bucket_cap: int = 64) -> DataFrame:
     """(doc_id, fp, component_id): one row per row of ``docs``; component_id is the smallest doc_id reachable."""
-    prints = materialize(fingerprints(docs, shingle, seed), "simhash")
+    prints = materialize(gather(fingerprints(docs, shingle, seed)), "simhash")
     total = prints.count()
-    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
-    joined = links(classes.select("fp"), k, m, bucket_cap)
+    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes", total)
+    joined = links(classes.select("fp"), k, m, bucket_cap, total)
     # An id with several texts links the fingerprints of its rows.
     several = prints.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("fp").alias("u"), F.max("fp").alias("most")).filter("u < most").drop("most")
     if not several.isEmpty():
         joined = joined.unionByName(prints.join(several, "doc_id").select("u", F.col("fp").alias("v")))
-    found = components(joined)
+    found = components(joined, total)
     placed = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "rep", "n", F.coalesce("component", "fp").alias("part"))
     named = placed.join(placed.groupBy("part").agg(F.min("rep").alias("component_id")), "part").select("fp", "component_id", "n")
-    return join_counted(prints, materialize(named, "named"), "fp", total).select("doc_id", "fp", "component_id")
+    return join_counted(prints, materialize(named, "named", total), "fp", total).select("doc_id", "fp", "component_id")
 
 
 def op6_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

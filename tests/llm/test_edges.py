@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lodeline.llm import decontaminate, htmltext, licenses, linededup, mixing, pii, quality, rules, simhash, sstable
+import corpus_pipeline
+from lodeline.llm import common, decontaminate, htmltext, licenses, linededup, mixing, pii, quality, rules, simhash, sstable
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, c0 string, fp int, tokens string, domain string, items string, rule string"
 LONG = "word " * 40_000 + "\n" * 2_000 + "x" * 100_000 + " 1" * 3_000 + " a@b" + ".c" * 2_000
@@ -67,6 +68,11 @@ def test_filters_keep_columns(docs, labels, benchmark, name):
     assert f(docs.limit(0)).count() == 0
 
 
+def test_without_labels_all_documents_stay(docs, labels):
+    for known in (labels.limit(0), labels.filter("quality = 0")):
+        assert quality.keep_good(docs, known).count() == docs.count()
+
+
 def test_pages(spark):
     pages = [(1, "u", None), (1, "u", None), (2, None, ""), (3, "u", "<p>"), (4, "u", "plain & simple"), (5, "u", "<" * 50_000), (6, "u", "<div>" * 3_000 + "deep"), (7, "u", "<article><h1>T</h1><p>A  b&nbsp;&lt;c&#233;<br>d<p>E</article>"), (8, "u", "<script>var a='</p>'"), (None, None, "<!-- <p>x</p> -->")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
@@ -77,6 +83,33 @@ def test_pages(spark):
     assert htmltext.extract(df).count() == len(pages)
 
 
-def test_pipeline_stages_agree_on_columns(spark, docs):
-    assert [f.name for f in docs.schema][:2] == ["doc_id", "text"]
-    assert docs.select(F.max(F.length("text"))).first()[0] > 100_000
+@pytest.fixture(scope="module")
+def tables(docs, labels, benchmark, tmp_path_factory):
+    d = tmp_path_factory.mktemp("edges")
+    for name, df in (("documents", docs), ("labels", labels), ("benchmark", benchmark)):
+        df.write.parquet(f"{d}/{name}.parquet")
+        df.limit(0).write.parquet(f"{d}/none/{name}.parquet")
+    return str(d)
+
+
+def test_pipeline_on_odd_rows(spark, docs, tables):
+    """Nulls in every column, repeated rows, clashing names: each stage keeps the columns, and rows of its input only."""
+    now = spark.read.parquet(f"{tables}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = {tuple(r) for r in now.collect()}
+        now = common.materialize(stage(spark, now, tables), name)
+        assert now.dtypes == docs.dtypes
+        assert {tuple(r) for r in now.collect()} <= before
+    n = now.count()
+    assert corpus_pipeline.STAGES[-1][1](spark, now, tables).count() == n
+    before = common.given_paths(spark)
+    assert corpus_pipeline.run(spark, tables).count() == n
+    common.clean_up(spark, before)
+
+
+def test_pipeline_on_empty_tables(spark, tables):
+    assert corpus_pipeline.run(spark, f"{tables}/none").count() == 0
+    now = spark.read.parquet(f"{tables}/none/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, now, f"{tables}/none").count() == 0
+    assert spark.read.parquet(f"{tables}/documents.parquet").agg(F.max(F.length("text"))).first()[0] > 100_000

@@ -139,9 +139,10 @@ def test_shared_folder_is_asked_for_on_a_cluster(spark):
     conf = SimpleNamespace(get=lambda *a: None)
     with pytest.raises(RuntimeError):
         common.shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
+    older, before = common.materialize(spark.range(2), "test"), common.given_paths(spark)
     df = common.materialize(spark.range(3), "test")
     other = common.materialize(spark.range(4), "test")
-    common.clean_up(spark, df)
-    assert df.count() == 3
+    common.clean_up(spark, before, df)
+    assert df.count() == 3 and older.count() == 2
     with pytest.raises(Exception):
         spark.read.parquet(other._lodeline_path)
