@@ -25,15 +25,15 @@ def clean_up(spark: SparkSession, before: set[str], *keep: DataFrame) -> None:
         delete_path(spark, path)
 
 
-#: Rows of a file that ``materialize`` aims at where their number is known.
+#: Rows that a task of ``materialize`` reads, where their number is known.
 FILE_ROWS = 1 << 20
 
 
 def materialize(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, and survives the loss of any executor.
 
-    rows: about how many there are, at most. The last stage then has as many tasks as that needs, one a core at least,
-    so that a small table is not many small files.
+    rows: about how many rows its last stage reads, at most. That stage then has as many tasks as they need, one a core
+    at least, so that a small table is not many small files.
     """
     spark = df.sparkSession
     path = fresh_path(spark, tag)

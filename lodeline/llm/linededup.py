@@ -233,13 +233,13 @@ def dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int
     index = LineRuns(spark, fanout, ranges=ranges, id_type=to_arrow_type(kind))
     for b in range(len(cuts), -1, -1):
         index.add(lines.filter(F.col("batch") == b))
-    common = materialize(index.totals(min_docs, kind.simpleString()), "common", n_lines // min_docs)
+    common = materialize(index.totals(min_docs, kind.simpleString()), "common", n_lines)
     delete_path(spark, index.folder)
     hot = F.col("n_docs") > max(min_docs, n_docs // hot_share)
     other = ~F.col("doc_id").eqNullSafe(F.col("keeper"))
     near = with_hit(lines, bitmap_of(common, F.col("h1")), F.col("h1")).filter("_hit").drop("_hit")
     gone = near.join(F.broadcast(common.filter(hot)), ["h1", "h2"]).unionByName(near.join(common.filter(~hot), ["h1", "h2"])).filter(other)
-    drops = materialize(gone.groupBy(F.col("doc_id").alias("drop_id"), F.col("row").alias("drop_row")).agg(F.collect_set("pos").alias("drops")), "drops", n_docs)
+    drops = materialize(gone.groupBy(F.col("doc_id").alias("drop_id"), F.col("row").alias("drop_row")).agg(F.collect_set("pos").alias("drops")), "drops", n_lines)
     told = with_hit(docs, bitmap_of(drops, F.xxhash64("drop_id", "drop_row")), F.xxhash64("doc_id", F.xxhash64("text")))
     met = told.filter("_hit").join(drops, F.col("doc_id").eqNullSafe(F.col("drop_id")) & (F.xxhash64("text") == F.col("drop_row")), "left")
     full = met.select("doc_id", "text", "drops").unionByName(told.filter("not _hit").select("doc_id", "text", F.lit(None).cast("array<int>").alias("drops")))

@@ -100,7 +100,8 @@ def _around(key: F.Column, masks: list[int]) -> F.Column:
 
 
 def links(prints: DataFrame, k: int = 2, m: int = 2, bucket_cap: int = 64, rows: int | None = None) -> DataFrame:
-    """(u, v): links that join every pair of the different fingerprints ``prints`` (fp) within ``k`` bits.
+    """(u, v): links that join every pair of the different fingerprints ``prints`` (fp; ``rows``: at most so many)
+    within ``k`` bits.
 
     Pairs from buckets of up to ``bucket_cap`` are listed one by one; larger buckets give stars with the same reach.
     """
@@ -116,8 +117,9 @@ def links(prints: DataFrame, k: int = 2, m: int = 2, bucket_cap: int = 64, rows:
     table = table.join(crowded, "key", "left_anti").unionByName(crowded.withColumn("fp", F.lit(None).cast("long")))
     probe = prints.select(F.explode(F.concat(*probes)).alias("key"), F.col("fp").alias("own"))
     near = (F.col("own") < F.col("fp")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("own"))) <= k)
-    met = probe.join(table, "key").filter(F.col("fp").isNull() | near).select(F.col("own").alias("u"), F.col("fp").alias("v"))
-    met = materialize(met, "met", rows)
+    # Sizes that the planner sees are those before explode, so it is told not to broadcast.
+    met = probe.hint("merge").join(table, "key").filter(F.col("fp").isNull() | near).select(F.col("own").alias("u"), F.col("fp").alias("v"))
+    met = materialize(met, "met", rows and rows * sum(len(ball(width, radius)) for _, width, radius in segments(k, m)))
     members = met.filter(F.col("v").isNull()).select(F.col("u").alias("fp")).distinct()
     return met.filter(F.col("v").isNotNull()).unionByName(_stars(members, k))
 
@@ -133,12 +135,13 @@ def _stars(members: DataFrame, k: int) -> DataFrame:
     least = near.groupBy("centre").agg(F.min("fp").alias("u"), F.count(F.lit(1)).alias("n"))
     if half == rest:
         least = least.filter("n > 1")
-    found = far.join(least.drop("n"), "centre")
+    found = far.hint("merge").join(least.drop("n"), "centre")
     return found.filter(F.col("u") != F.col("fp")).select("u", F.col("fp").alias("v"))
 
 
 def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
-    """(node, component): the smallest node reachable from each node of ``edges`` (u, v), by alternating stars.
+    """(node, component): the smallest node reachable from each node of ``edges`` (u, v; made from about ``rows`` rows),
+    by alternating stars.
 
     Each round writes its edges to the shared folder, so a lost executor costs one round at most. Nothing is collected
     but the count and checksum that tell the last round. Each join has one row a node on one side, so a hub's edges may
@@ -173,7 +176,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, k: int =
     several = prints.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("fp").alias("u"), F.max("fp").alias("most")).filter("u < most").drop("most")
     if not several.isEmpty():
         joined = joined.unionByName(prints.join(several, "doc_id").select("u", F.col("fp").alias("v")))
-    found = components(joined, total)
+    found = components(joined, total * BITS)
     placed = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "rep", "n", F.coalesce("component", "fp").alias("part"))
     named = placed.join(placed.groupBy("part").agg(F.min("rep").alias("component_id")), "part").select("fp", "component_id", "n")
     return join_counted(prints, materialize(named, "named", total), "fp", total).select("doc_id", "fp", "component_id")
