@@ -26,7 +26,7 @@ def clean_up(spark: SparkSession, before: set[str], *keep: DataFrame) -> None:
 
 
 #: Rows that a task of ``materialize`` reads, where their number is known.
-FILE_ROWS = 1 << 20
+FILE_ROWS = 1 << 18
 
 
 def materialize(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:

@@ -6,7 +6,8 @@ gets more than its own capacity, shortages pass to siblings first and reach the
 subtree is exhausted. Each leaf then takes floor(budget / tokens) whole epochs and a prefix of the next one, in that
 epoch's own seeded order: the documents that start before the budget is reached.
 
-No task sees a leaf whole: an epoch's order is cut into buckets by hash, bucket totals are summed before the shuffle, and
+Budgets are shared by windows over the children of a node, so one task meets all sources of one domain and language:
+as many rows as there are such sources, however many documents they hold. No task sees a leaf whole: an epoch's order is cut into buckets by hash, bucket totals are summed before the shuffle, and
 only the one bucket of each leaf in which the prefix ends is ordered row by row.
 
 Defined cases: null text has no tokens; null domain, language or source is a node of its own, named ""; nodes without a
