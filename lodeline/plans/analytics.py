@@ -475,6 +475,8 @@ R.add("state_ring", lambda s, d: state.fold(_sops(s, d), state.ring(5)), f"with
 R.add("state_register", lambda s, d: state.fold(_sops(s, d).withColumn("op", F.when(F.col("seq") % 3 == 0, F.lit("set")).otherwise(F.lit("cas"))).withColumn("arg", F.when(F.col("seq") % 3 == 0, F.lit("a")).otherwise(F.lit("a:b"))), state.register),
       "with recursive n as (select 'u' || user_id as key, event_id seq, event_id % 3 = 0 sets, row_number() over (partition by user_id order by event_id) i from events), f as (select key, i, seq, case when sets then 'a' else '' end held, case when sets then '1' else '0' end reply from n where i = 1 union all select n.key, n.i, n.seq, case when sets then 'a' when held = 'a' then 'b' else held end, case when sets or held = 'a' then '1' else '0' end from f join n on n.key = f.key and n.i = f.i + 1) select key, seq, reply from f")
 R.add("window_counts", lambda s, d: state.windowed_counts(_ev(s, d)).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 2).alias("total")), "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) n, round(sum(value), 2) total from events group by 1, 2")
+R.add("window_sliding", lambda s, d: state.windowed_counts(_ev(s, d), width="2 days", slide="1 day").select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 2).alias("total")), "with e as (select unnest([ts, ts - interval 1 day]) moment, event_type, value from events) select strftime(moment, '%Y-%m-%d') as day, event_type, count(*) n, round(sum(value), 2) total from e group by 1, 2")
+R.add("window_sessions", lambda s, d: state.session_counts(_ev(s, d)).select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("began"), "n"), "with e as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 6 hours then 0 else 1 end first from events), g as (select user_id, ts, sum(first) over (partition by user_id order by ts rows unbounded preceding) g from e) select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') began, count(*) n from g group by user_id, g")
 _zone = lambda s, d: table(s, d, "customer").select(F.concat(F.when(F.col("c_custkey") % 2 == 0, F.lit("+")).otherwise(F.lit("-")), F.lit(":2024-01-"), F.lpad((F.col("c_custkey") % 28 + 1).cast("string"), 2, "0"), F.lit(":d"), F.col("c_custkey").cast("string"), F.lit(".com:ns1")).alias("value"))
 R.add("zone_rows", lambda s, d: files.zone_rows(_zone(s, d)), "with z as (select case when c_custkey % 2 = 0 then '+' else '-' end op, '2024-01-' || lpad(cast(c_custkey % 28 + 1 as varchar), 2, '0') dt, 'd' || c_custkey || '.com' dom from customer) select 'domain~' || dom || '~' || dt as key, op || ',ns1' as val from z union all select 'date~' || dt || '~' || dom, op || ',ns1' from z")
 _tsv = lambda s, d: table(s, d, "customer").select(F.concat_ws("\t", F.concat(F.lit("k"), (F.col("c_custkey") % 200).cast("string")), F.concat(F.lit("v"), F.col("c_custkey").cast("string")), F.lit("more")).alias("value"), F.lpad(F.col("c_custkey").cast("string"), 9, "0").alias("path"))

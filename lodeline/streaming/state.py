@@ -38,11 +38,22 @@ def counter(state, op: str, arg: str):
 
 
 def queue(state, op: str, arg: str):
-    """add appends, pop replies with the oldest item."""
-    items = list(state or [])
+    """add appends and replies with the length, pop replies with the oldest item, "" if there is none.
+
+    The state is where the oldest item stands and the items from there on, with some that are gone before it; it is
+    changed in place, and the gone ones are cut off when they are half of it.
+    """
+    at, items = state or (0, [])
     if op == "add":
-        return [*items, arg], str(len(items) + 1)
-    return (items[1:], items[0]) if items else ([], "")
+        items.append(arg)
+        return (at, items), str(len(items) - at)
+    if at == len(items):
+        return (at, items), ""
+    reply, at = items[at], at + 1
+    if 2 * at >= len(items) + 16:
+        del items[:at]
+        at = 0
+    return (at, items), reply
 
 
 def ring(size: int) -> Step:
@@ -115,6 +126,13 @@ def keep_log(changes: DataFrame, path: str, checkpoint: str, once: bool = False)
     return out.trigger(availableNow=True).start() if once else out
 
 
-def windowed_counts(events: DataFrame, delay: str = "1 hour", width: str = "1 day") -> DataFrame:
-    """Events a window and type, with a watermark for late ones; the same plan runs on a batch."""
-    return events.withWatermark("ts", delay).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+def windowed_counts(events: DataFrame, delay: str = "1 hour", width: str = "1 day", slide: str | None = None) -> DataFrame:
+    """Events a window and type, with a watermark for late ones; with ``slide`` windows overlap. The same plan runs on a
+    batch."""
+    window = F.window("ts", width, slide) if slide else F.window("ts", width)
+    return events.withWatermark("ts", delay).groupBy(window.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+
+
+def session_counts(events: DataFrame, delay: str = "1 hour", gap: str = "6 hours") -> DataFrame:
+    """Events of each user's sessions: runs of events none of which is ``gap`` or more after the one before."""
+    return events.withWatermark("ts", delay).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))

@@ -534,3 +534,18 @@ def test_loads_of_base64(spark, tmp_path):
     (tmp_path / "a.txt").write_text("k\tU29maWE=\nj\tQm9ubg==\n\tlost\n")
     got = {r.key: r.val for r in files.load_tsv(spark, str(tmp_path / "a.txt"), base64=True).collect()}
     assert got == {"k": "Sofia", "j": "Bonn"}
+
+
+def test_long_queues_reply_in_order():
+    rnd = random.Random(3)
+    kept, want = None, []
+    began = time.perf_counter()
+    for i in range(60_000):
+        op = "add" if rnd.random() < 0.6 else "pop"
+        kept, reply = state.queue(kept, op, str(i))
+        if op == "add":
+            want.append(str(i))
+            assert reply == str(len(want))
+        else:
+            assert reply == (want.pop(0) if want else "")
+    assert time.perf_counter() - began < 20
