@@ -1,6 +1,7 @@
 """Token ids in sorted-string-table shards.
 
-Texts are dealt by ranges of doc_id and sorted, each range becomes one shard. A shard holds blocks of entries whose
+Texts are dealt by ranges of doc_id and sorted, each range becomes one shard; an id of very many rows may take several
+shards. A shard holds blocks of entries whose
 keys are prefix-compressed from restart points, then a sparse index (first key and place of each block), a Bloom filter
 over all keys, and a footer. A lookup asks the filter, bisects the index, and bisects one block's restart points.
 
@@ -352,9 +353,11 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str | None = None, end_i
             out.close()
             yield pa.RecordBatch.from_pylist([{"shard": part, "file": name.rpartition("/")[2], "n_docs": writer.docs, "n_tokens": writer.tokens, "first_key": writer.first, "last_key": writer.last}], _MANIFEST)
 
-    rows = docs.select("doc_id", "text")
-    rows = rows.repartitionByRange(partitions, "doc_id") if partitions else rows.repartitionByRange("doc_id")
-    written = rows.sortWithinPartitions("doc_id").mapInArrow(run, "shard int, file string, n_docs long, n_tokens long, first_key binary, last_key binary")
+    # Rows of one id are told apart by their text and by where they were read, so that no id makes a shard too large.
+    order = ["doc_id", "_text", "_part"]
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_text"), F.spark_partition_id().alias("_part"))
+    rows = rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)
+    written = rows.sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(run, "shard int, file string, n_docs long, n_tokens long, first_key binary, last_key binary")
     # A task gives one row at most and deals it by its own number, so a task that runs again replaces its row.
     shards = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     written.repartition(max(1, -(-shards // _SHARDS_A_FILE))).write.parquet(f"{folder}/manifest")

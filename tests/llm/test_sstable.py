@@ -88,3 +88,15 @@ def test_written_files(spark):
 def test_string_ids(spark):
     docs = spark.createDataFrame([("b", "x"), ("a", "y z"), (None, "")], "doc_id string, text string")
     assert [r.doc_id for r in S.round_trip(docs).orderBy("start").collect()] == [None, "a", "b"]
+
+
+def test_an_id_of_many_rows_takes_several_shards(spark):
+    docs = spark.createDataFrame([(7, f"text {i % 5}") for i in range(400)] + [(i, "x") for i in range(20)], "doc_id long, text string").repartition(6)
+    folder = fresh_path(spark, "test")
+    m = S.write(docs, folder, partitions=8).collect()
+    assert sum(bytes(r.first_key) <= S.key_bytes(7) <= bytes(r.last_key) for r in m) > 3
+    assert max(r.n_docs for r in m) < 200
+    rows = S.read(spark, folder).orderBy("start").collect()
+    assert len(rows) == 420 and [r.doc_id for r in rows] == sorted(r.doc_id for r in rows)
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:], strict=False))
+    assert len(S.lookup(spark, folder, [7])[7]) == 401
