@@ -82,13 +82,16 @@ def bitmap_of(keys: DataFrame, h: Column, most: int = BITMAP_BITS) -> tuple[Data
     return keys.groupBy(F.bitmap_bucket_number(at).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("_bits")), bits
 
 
-def with_hit(rows: DataFrame, bitmap: tuple[DataFrame, int], h: Column) -> DataFrame:
-    """``rows`` with _hit: false only for rows whose hash ``h`` no key has. It is a filter before a join, not in its place."""
-    at = F.pmod(h, F.lit(bitmap[1])) + 1
-    byte = F.substring("_bits", (F.floor(F.col("_at") / 8) + 1).cast("int"), F.lit(1))
-    bit = F.expr("shiftright(_byte, cast(_at % 8 as int)) & 1") == 1
-    met = rows.withColumn("_bucket", F.bitmap_bucket_number(at)).withColumn("_at", F.bitmap_bit_position(at)).join(F.broadcast(bitmap[0]), "_bucket", "left")
-    return met.withColumn("_byte", F.conv(F.hex(byte), 16, 10).cast("int")).withColumn("_hit", F.coalesce(bit, F.lit(False))).drop("_bucket", "_at", "_bits", "_byte")
+def with_hit(rows: DataFrame, bitmap: tuple[DataFrame, int], h: Column, prefix: str = "_") -> DataFrame:
+    """``rows`` with {prefix}hit: false only for rows whose hash ``h`` no key has. It is a filter before a join, not in
+    its place."""
+    bucket, bits, at, byte = (f"{prefix}{c}" for c in ("bucket", "bits", "at", "byte"))
+    place = F.pmod(h, F.lit(bitmap[1])) + 1
+    held = F.conv(F.hex(F.substring(bits, (F.floor(F.col(at) / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.expr(f"shiftright({byte}, cast({at} % 8 as int)) & 1") == 1
+    maps = bitmap[0].toDF(bucket, bits)
+    met = rows.withColumn(bucket, F.bitmap_bucket_number(place)).withColumn(at, F.bitmap_bit_position(place)).join(F.broadcast(maps), bucket, "left")
+    return met.withColumn(byte, held).withColumn(f"{prefix}hit", F.coalesce(bit, F.lit(False))).drop(bucket, at, bits, byte)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

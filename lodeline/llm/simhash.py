@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeline.llm.common import discard, gather, join_counted, materialize, ship, texts_of
+from lodeline.llm.common import bitmap_of, discard, gather, join_counted, materialize, ship, spare, texts_of, with_hit
 
 BITS = 64
 
@@ -196,11 +196,14 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     stand for themselves by text: one of each text is kept, near-duplicates or not.
     """
     groups = near_duplicates(docs, **options)
-    drop = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(drop, "doc_id", "left_anti")
+    drop = materialize(groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "drop")
+    # Only rows that a bitmap of bounded size does not clear are moved to meet the ids to drop.
+    p = spare(docs, "own")
+    told = with_hit(docs, bitmap_of(drop, F.xxhash64("doc_id")), F.xxhash64("doc_id"), p)
+    kept = told.filter(f"not {p}hit").unionByName(told.filter(f"{p}hit").join(drop, "doc_id", "left_anti")).select(*[F.col(f"`{c}`") for c in docs.columns])
     if groups.groupBy("doc_id").count().filter("count > 1").isEmpty():
         return kept
     every = [F.col(f"`{c}`") for c in docs.columns]
     own = F.when(F.col("doc_id").isNull(), F.col("text"))
-    first = kept.groupBy(F.col("doc_id").alias("_id"), own.alias("_own")).agg(F.min_by(F.struct(*every), F.struct("text", F.to_json(F.struct(*every)))).alias("_row"))
-    return first.select("_row.*")
+    first = kept.groupBy(F.col("doc_id").alias(f"{p}id"), own.alias(f"{p}own")).agg(F.min_by(F.struct(*every), F.struct("text", F.to_json(F.struct(*every)))).alias(f"{p}row"))
+    return first.select(f"{p}row.*")

@@ -146,3 +146,19 @@ def test_shared_folder_is_asked_for_on_a_cluster(spark):
     assert df.count() == 3 and older.count() == 2
     with pytest.raises(Exception):
         spark.read.parquet(other._lodeline_path)
+
+
+def test_rows_that_a_bitmap_clears_do_not_move(spark):
+    """Columns named as the helper's, null ids, and a bitmap that clears most rows: the same rows as a plain anti-join."""
+    from lodeline.llm import common
+
+    rows = spark.createDataFrame([(i if i % 7 else None, f"t{i}", i) for i in range(5000)], "doc_id long, _hit string, _bits int").repartition(3)
+    keys = spark.createDataFrame([(i,) for i in range(0, 5000, 50)], "doc_id long")
+    h = F.xxhash64("doc_id")
+    p = common.spare(rows)
+    told = common.with_hit(rows, common.bitmap_of(keys, h), h, p)
+    assert told.columns == ["doc_id", "_hit", "_bits", f"{p}hit"]
+    hits = {r.doc_id for r in told.filter(f"{p}hit").collect()}
+    assert hits >= {i for i in range(0, 5000, 50) if i % 7} and len(hits) < 300
+    crowded = common.bitmap_of(spark.range(0, 200_000).select(F.col("id").alias("doc_id")), h, most=1 << 10)
+    assert crowded[1] <= 1 << 17 and common.with_hit(rows, crowded, h, p).filter(f"{p}hit and doc_id is not null").count() > 3000
