@@ -102,9 +102,16 @@ def search_any(index: DataFrame, words: list[str], n: int) -> DataFrame:
 
 
 def stale(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Postings of ``old`` that ``new`` no longer has, of the documents it covers."""
-    touched = new.select("sub").distinct()
-    return old.join(touched, "sub", "left_semi").join(new.select("word", "sub"), ["word", "sub"], "left_anti")
+    """Postings of ``old`` that ``new`` no longer has, of the documents it covers.
+
+    Both are dealt by document once; a document's words are then compared side by side.
+    """
+    from pyspark.sql.window import Window
+
+    each = old.select("sub", "word", "sort", F.lit(0).alias("_new")).unionByName(new.select("sub", "word", F.lit(None).cast(old.schema["sort"].dataType).alias("sort"), F.lit(1).alias("_new")))
+    by_word, by_sub = Window.partitionBy("sub", "word"), Window.partitionBy("sub")
+    met = each.repartition("sub").withColumn("_still", F.max("_new").over(by_word)).withColumn("_met", F.max("_new").over(by_sub))
+    return met.filter((F.col("_new") == 0) & (F.col("_still") == 0) & (F.col("_met") == 1)).select("sub", "word", "sort")
 
 
 def prefixes(texts: DataFrame, text: str = "text") -> DataFrame:
