@@ -12,8 +12,9 @@ most ``sample_lines`` lines each. Their line features, not their texts, go to th
 whole texts, and reads nothing but the text.
 
 Defined cases: null and empty texts are one empty line, in training and in scoring; repeated rows are each scored; several
-labels of one id count as their maximum; with labels of one class only every score is that class's smoothed share, with
-none it is 0.5; an empty table gives an empty result; other columns pass through ``score`` untouched.
+labels of one id count as their maximum, and of several texts of one id the least is learnt from; with labels of one
+class only every score is that class's smoothed share, with none it is 0.5; an empty table gives an empty result; other
+columns pass through ``score`` untouched.
 """
 
 from __future__ import annotations
@@ -257,7 +258,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 2000, sample_li
 
     # The sample has at most sample_docs rows, so it may go to every executor.
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").filter(F.coalesce(F.regexp_count("text", F.lit("\n")), F.lit(0)) < sample_lines)
-    rows = chosen.orderBy("doc_id", F.xxhash64("text")).limit(sample_docs).select("label", "text").mapInArrow(run, "label int, x binary, chars binary").collect()
+    # One text of each id, chosen before the shuffle, so an id of very many rows is one row of each task.
+    once = chosen.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    rows = once.orderBy("doc_id").limit(sample_docs).select("label", "text").mapInArrow(run, "label int, x binary, chars binary").collect()
     own = [np.frombuffer(r.x, np.float32).reshape(-1, OWN).astype(np.float64) for r in rows]
     chars = [np.frombuffer(r.chars, np.float32).astype(np.float64) for r in rows]
     return fit(own, chars, np.array([r.label for r in rows], np.int64))

@@ -655,3 +655,12 @@ def test_leaves_go_either_way(spark, monkeypatch):
     one = {r.doc_id: r.m_copies for r in mixing.mix(docs, prefix="m_").collect()}
     monkeypatch.setattr(mixing, "BROADCAST_LEAVES", 0)
     assert {r.doc_id: r.m_copies for r in mixing.mix(docs, prefix="m_").collect()} == one
+
+
+def test_ids_of_many_rows_teach_once(spark):
+    rows = lines_fixture(3, 120)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    again = quality.train(docs.union(docs.filter("doc_id < 9")).union(spark.createDataFrame([(1, None), (4, "zzzz\nzz")], "doc_id long, text string")).repartition(5), labels)
+    assert np.allclose(again.weights, model.weights) and np.allclose(again.transitions, model.transitions)
