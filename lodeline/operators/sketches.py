@@ -214,7 +214,9 @@ def misra_gries(rows: DataFrame, k: int) -> DataFrame:
         for pdf in batches:
             for item, n in pdf["item"].value_counts(sort=False).items():
                 _mg_add(held, item, int(n), k)
-        yield pd.DataFrame({"item": list(held), "n": np.array(list(held.values()), np.int64)})
+        # An empty frame has no type that Arrow can take, so a partition without rows passes on none.
+        if held:
+            yield pd.DataFrame({"item": list(held), "n": np.array(list(held.values()), np.int64)})
 
     from pyspark.sql.window import Window
 

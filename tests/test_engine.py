@@ -259,6 +259,13 @@ def test_heavy_hitters_and_samples(spark):
     assert len(set(sample)) == 500 and 4000 < np.mean(sample) < 6000
 
 
+def test_heavy_hitters_over_empty_partitions(spark):
+    rows = spark.createDataFrame([("a",)] * 3, "item string").repartition(1)
+    got = sketches.misra_gries(rows.unionByName(rows.filter("item = 'none'")), 100_000)
+    assert [tuple(r) for r in got.collect()] == [("a", 3)]
+    assert sketches.misra_gries(rows.filter("item = 'none'"), 3).collect() == []
+
+
 def test_digests(spark):
     rows = spark.createDataFrame([("k", 100.0, 1), ("k", 80.0, 1000), ("k", 110.0, 1000)], "k string, value double, weight long")
     c = sketches.digest(rows, ["k"])
