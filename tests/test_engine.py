@@ -266,6 +266,15 @@ def test_heavy_hitters_over_empty_partitions(spark):
     assert sketches.misra_gries(rows.filter("item = 'none'"), 3).collect() == []
 
 
+def test_few_counters_over_a_file_without_rows(spark, tmp_path):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    where = str(tmp_path / "events.parquet")
+    events.write.parquet(where)
+    events.limit(0).write.mode("append").parquet(where)
+    got = QUERIES["mg_small"](spark, str(tmp_path)).collect()
+    assert sum(r.n for r in got) == events.count() and all(r.bounded for r in got)
+
+
 def test_digests(spark):
     rows = spark.createDataFrame([("k", 100.0, 1), ("k", 80.0, 1000), ("k", 110.0, 1000)], "k string, value double, weight long")
     c = sketches.digest(rows, ["k"])
