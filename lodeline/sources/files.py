@@ -15,24 +15,16 @@ def load_tsv(spark: SparkSession, *paths: str, base64: bool = False, now: int =
 
 
 def tsv_rows(lines: DataFrame, base64: bool = False, now: int = 0) -> DataFrame:
-    """The same from a column of lines (value, path). seq orders by file name and place in it."""
+    """The same from a column of lines (value, path). seq orders by file name and place in it.
+
+    Lines are dealt by ranges of both and numbered as they then lie, so neither many files nor a large one go to one task.
+    """
     parts = F.split("value", "\t", -1)
-    seq = F.monotonically_increasing_id()
-    rows = lines.select("path", seq.alias("at"), F.get(parts, F.lit(0)).alias("key"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("val"))
+    rows = lines.select("path", F.monotonically_increasing_id().alias("at"), F.get(parts, F.lit(0)).alias("key"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("val"))
     if base64:
         rows = rows.withColumn("val", F.unbase64("val").cast("string"))
-    rows = rows.filter(F.length("key") > 0)
-    files = rows.select("path").distinct()
-    order = files.select("path", F.dense_rank().over(_window("path")).alias("file"))
-    return rows.join(order, "path").select(
-        "key", "val", F.lit(now).cast("long").alias("created_us"), F.lit(0).cast("long").alias("expires_s"), (F.length("val") == 0).alias("is_tombstone"), (F.col("file").cast("long") * (1 << 50) + F.col("at")).alias("seq")
-    )
-
-
-def _window(column: str):
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy(F.lit(1)).orderBy(column)  # one row a file
+    rows = rows.filter(F.length("key") > 0).repartitionByRange("path", "at").sortWithinPartitions("path", "at")
+    return rows.select("key", "val", F.lit(now).cast("long").alias("created_us"), F.lit(0).cast("long").alias("expires_s"), (F.length("val") == 0).alias("is_tombstone"), F.monotonically_increasing_id().alias("seq"))
 
 
 def open_tables(spark: SparkSession, *paths: str) -> DataFrame:

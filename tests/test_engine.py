@@ -552,6 +552,18 @@ def test_loads_of_base64(spark, tmp_path):
     assert got == {"k": "Sofia", "j": "Bonn"}
 
 
+def test_loads_of_very_many_files(spark):
+    """More files than a shift of their rank had room for; the later file is the newer version."""
+    n = 20_000
+    lines = spark.range(0, n, 1, 3).select(F.concat(F.lit("k"), F.col("id") % 7, F.lit("\tv"), "id").alias("value"), F.format_string("%06d", (F.col("id") * 7919) % n).alias("path"))
+    rows = files.tsv_rows(lines)
+    assert rows.select("seq").distinct().count() == n
+    want: dict = {}
+    for i in range(n):
+        want[f"k{i % 7}"] = max(want.get(f"k{i % 7}", (-1, "")), (i * 7919 % n, f"v{i}"))
+    assert {r.key: r.val for r in rows.groupBy("key").agg(F.max_by("val", "seq").alias("val")).collect()} == {k: v for k, (_, v) in want.items()}
+
+
 def test_long_queues_reply_in_order():
     rnd = random.Random(3)
     kept, want = None, []
