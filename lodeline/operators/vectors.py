@@ -12,8 +12,12 @@ from lodeline.functions.session import ship
 from lodeline.sources import blocks
 
 SCALES = {"I16": 32767.0, "I8": 127.0}
-#: Queries of one block, and rows that are compared with a block at once.
-QUERY_BLOCK, ROW_BLOCK = 1000, 1 << 14
+#: Queries of one block, rows that are compared with a block at once, and queries whose distances are held at once.
+QUERY_BLOCK, ROW_BLOCK, QUERY_STEP = 1000, 1 << 14, 64
+#: Below this share of pairs that meet in a bucket, each query is compared with its own rows only.
+_FEW_MET = 1 / 16
+#: Rounding of products of matrices; what is within it of the k-th place is compared again.
+_ROUNDING = 1e-12
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -88,14 +92,29 @@ def lsh_bytes(v: Column, dims: int, tables: int) -> Column:
 
     @F.pandas_udf("array<int>")
     def each(s: pd.Series) -> pd.Series:
-        if not len(s):
-            return pd.Series([], dtype=object)
-        bits = (np.stack(s.to_list()).astype(np.float64) @ signs > 0).reshape(len(s), tables, 8)
-        return pd.Series(list(np.packbits(bits, axis=2)[:, :, 0].astype(np.int32)))
+        return pd.Series(list(_bytes(np.stack(s.to_list()).astype(np.float64), signs).astype(np.int32))) if len(s) else pd.Series([], dtype=object)
 
     return each(v)
 
 
+def _bytes(vectors: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """[row, table]: the bytes of a matrix of vectors."""
+    return np.packbits((vectors @ signs > 0).reshape(len(vectors), -1, 8), axis=2)[:, :, 0]
+
+
+#: [byte, byte]: whether two bytes are equal or at Hamming distance 1.
+_CLOSE = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)) <= 1
+
+
+def _met(near: list[np.ndarray], asked: np.ndarray, signs: np.ndarray, n: int) -> np.ndarray:
+    """[query, row]: which of n rows share a bucket with each query; ``near`` has a table's rows close to each byte, as bits."""
+    own = _bytes(asked, signs)
+    met = near[0][own[:, 0]]
+    for table in range(1, len(near)):
+        met = met | near[table][own[:, table]]
+    return np.unpackbits(met, axis=1, count=n).astype(bool)
+
+
 def near_bytes(byte: int) -> list[int]:
     """The byte and the eight at Hamming distance 1."""
     return sorted({byte, *[byte ^ 1 << i for i in range(8)]})
@@ -170,41 +189,77 @@ def distances(metric: str, rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
     raise ValueError(metric)
 
 
+def _cosine(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Cosine distances summed in the order of ``distance``, so that equal vectors tie wherever they lie in a block."""
+    total = lambda x: np.cumsum(x, axis=1)[:, -1]
+    some = np.sqrt(total(rows * rows)) * np.sqrt(total(query[None] * query[None]))
+    return np.where(some > 0, 1.0 - (1.0 + np.divide(total(rows * query), some, out=np.zeros_like(some), where=some > 0)) / 2, 0.5)
+
+
+def _step(metric: str, vectors: np.ndarray, asked: np.ndarray, met: np.ndarray | None) -> np.ndarray:
+    """[query, row]: distances, infinite where ``met`` says that two share no bucket."""
+    if met is None:
+        return distances(metric, vectors, asked)
+    if met.mean() >= _FEW_MET:
+        return np.where(met, distances(metric, vectors, asked), np.inf)
+    apart = np.full(met.shape, np.inf)
+    for i, own in enumerate(met):
+        at = np.flatnonzero(own)
+        if len(at):
+            apart[i, at] = distances(metric, vectors[at], asked[i : i + 1])[0]
+    return apart
+
+
 def nearest_each(rows: DataFrame, queries: DataFrame, metric: str, k: int, vector: str = "v", name: str = "name") -> DataFrame:
     """The k nearest of each of a stated set of queries (query, q), exactly; ties go to the smaller name.
 
     Queries are written to the shared folder in blocks; a task multiplies some of its rows by one block after the other
     and passes on k rows a query, so it holds two blocks whatever the numbers of queries and rows. Names are numbers.
     """
+    return _nearest_each(rows, queries, metric, k, vector, name)
+
+
+def _nearest_each(rows: DataFrame, queries: DataFrame, metric: str, k: int, vector: str, name: str, signs: np.ndarray | None = None) -> DataFrame:
+    """The same; with the ``signs`` of several tables among the rows that a query shares a bucket with."""
     ship(rows.sparkSession)
     files = blocks.write(queries.select("query", F.col("q").cast("array<double>").alias("q")), QUERY_BLOCK)
 
-    def best(names: np.ndarray, vectors: np.ndarray):
-        for file in files:
-            block = blocks.read(file)
-            apart = distances(metric, vectors, np.stack(block["q"].to_list()))
-            for query, d in zip(block["query"], apart, strict=True):
+    def best(names: np.ndarray, vectors: np.ndarray, block: pd.DataFrame, near: list[np.ndarray]):
+        asked, out = np.stack(block["q"].to_list()), []
+        for at in range(0, len(asked), QUERY_STEP):
+            some = asked[at : at + QUERY_STEP]
+            met = _met(near, some, signs, len(names)) if near else None
+            for query, q, d in zip(block["query"][at : at + QUERY_STEP], some, _step(metric, vectors, some, met), strict=True):
                 # All that tie with the k-th stay until names decide.
-                near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
-                near = near[np.lexsort((names[near], d[near]))][:k]
-                yield pd.DataFrame({"query": query, "name": names[near], "distance": d[near]})
+                found = np.flatnonzero((d <= np.partition(d, k - 1)[k - 1] + _ROUNDING if len(d) > k else True) & (d < np.inf))
+                d = _cosine(vectors[found], q) if metric == "COSINE" else d[found]
+                first = np.lexsort((names[found], d))[:k]
+                out.append((query, names[found][first], d[first]))
+        told = np.repeat(np.array([q for q, *_ in out]), [len(n) for _, n, _ in out])
+        return pd.DataFrame({"query": told, "name": np.concatenate([n for _, n, _ in out]), "distance": np.concatenate([d for *_, d in out])})
 
     def run(batches):
         held, size = [], 0
         for pdf in batches:
-            held.append(pdf)
-            size += len(pdf)
-            if size >= ROW_BLOCK:
-                yield from flush(held)
-                held, size = [], 0
+            for at in range(0, len(pdf), ROW_BLOCK):
+                held.append(pdf.iloc[at : at + ROW_BLOCK])
+                size += len(held[-1])
+                if size >= ROW_BLOCK:
+                    yield from flush(held)
+                    held, size = [], 0
         if held:
             yield from flush(held)
 
     def flush(held):
         pdf = pd.concat(held)
-        if len(pdf) and files:
-            found = list(best(pdf["name"].to_numpy(), np.stack(pdf["v"].to_list())))
-            yield pd.concat(found)
+        if not len(pdf):
+            return
+        names, vectors = pdf["name"].to_numpy(), np.stack(pdf["v"].to_list())
+        near = [] if signs is None else [np.packbits(_CLOSE[:, own], axis=1) for own in _bytes(vectors, signs).T]
+        for file in files:
+            found = best(names, vectors, blocks.read(file), near)
+            if len(found):
+                yield found
 
     from pyspark.sql.window import Window
 
@@ -224,16 +279,7 @@ def nearest_lsh(rows: DataFrame, query, metric: str, k: int, dims: int, vector:
 def nearest_lsh_each(rows: DataFrame, queries: DataFrame, metric: str, k: int, dims: int, tables: int, vector: str = "v", name: str = "name") -> DataFrame:
     """The k nearest of each query (query, q) among rows that share a bucket, or one at Hamming distance 1, in any table.
 
-    Buckets meet by an equi-join of names; only rows that meet are compared. More tables find more: recall is measured
-    in the tests.
+    Bytes of a block of rows meet those of a block of queries as bits, side by side with the exact search, so pairs that
+    meet are neither shuffled nor written. More tables find more: recall is measured in the tests.
     """
-    from pyspark.sql.window import Window
-
-    ship(rows.sparkSession)
-    own = rows.select(name, F.posexplode(lsh_bytes(F.col(vector), dims, tables)).alias("table", "byte"))
-    around = F.array(F.col("byte"), *[F.col("byte").bitwiseXOR(F.lit(1 << i)) for i in range(8)])
-    asked = queries.select("query", F.posexplode(lsh_bytes(F.col("q"), dims, tables)).alias("table", "byte")).select("query", "table", F.explode(around).alias("byte"))
-    met = asked.join(own, ["table", "byte"]).select("query", name).distinct()
-    apart = met.join(queries.select("query", "q"), "query").join(rows.select(name, vector), name).select("query", name, distance(metric, F.col("q"), F.col(vector)).alias("distance"))
-    w = Window.partitionBy("query").orderBy("distance", name)
-    return apart.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+    return _nearest_each(rows, queries, metric, k, vector, name, _directions(dims, tables))

@@ -501,6 +501,28 @@ def test_recall_of_buckets(spark):
     assert recall(1) < 0.5 and recall(32) >= 0.9
 
 
+def test_bucketed_search_moves_no_pairs(spark):
+    """Met pairs are compared where they meet: what is shuffled is k rows a query; few and many met give what buckets say."""
+    rnd = np.random.default_rng(4)
+    cloud = rnd.normal(size=(600, 16)).round(3)
+    cloud[300:310] = cloud[20]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(cloud)], "name long, v array<double>").repartition(3)
+    asked = rows.filter("name % 20 = 0").select(F.col("name").alias("query"), F.col("v").alias("q"))
+    for tables in (1, 8):
+        found = vectors.nearest_lsh_each(rows, asked, "COSINE", 5, 16, tables)
+        assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+        own = {r.name: r.b for r in rows.select("name", vectors.lsh_bytes(F.col("v"), 16, tables).alias("b")).collect()}
+        got: dict = {}
+        for r in found.collect():
+            got.setdefault(r.query, []).append((r.place, r.name))
+        length = np.linalg.norm(cloud, axis=1)
+        for q in range(0, 600, 20):
+            met = [i for i in own if any((a ^ b).bit_count() <= 1 for a, b in zip(own[q], own[i], strict=True))]
+            want = sorted(met, key=lambda i: (round((1 - cloud[q] @ cloud[i] / length[q] / length[i]) / 2, 9), i))[:5]
+            assert [n for _, n in sorted(got[q])] == want
+    assert [n for _, n in sorted(got[20])] == [20, 300, 301, 302, 303]
+
+
 def test_stored_postings_read_the_folders_of_their_words(spark, tmp_path):
     rows = [(f"w{i % 50}", f"s{i % 3}", i) for i in range(600)]
     text.write_postings(spark.createDataFrame(rows, "word string, sort string, sub long"), str(tmp_path / "i"))
