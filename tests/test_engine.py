@@ -523,6 +523,16 @@ def test_bucketed_search_moves_no_pairs(spark):
     assert [n for _, n in sorted(got[20])] == [20, 300, 301, 302, 303]
 
 
+def test_exact_search_passes_on_a_block_at_a_time(spark, monkeypatch):
+    """What a task holds does not grow with the queries: each block's rows go on before the next is read."""
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 10)
+    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(60)], "name long, v array<double>").repartition(1)
+    found = vectors.nearest_each(rows, rows.select(F.col("name").alias("query"), F.col("v").alias("q")), "EUCLIDEAN", 1)
+    assert {(r.query, r.name) for r in found.collect()} == {(i, i) for i in range(60)}
+    held = np.zeros((vectors.ROW_BLOCK, 1))
+    assert vectors._step("COSINE", held, np.zeros((vectors.QUERY_STEP, 1)), None).nbytes <= 1 << 23
+
+
 def test_stored_postings_read_the_folders_of_their_words(spark, tmp_path):
     rows = [(f"w{i % 50}", f"s{i % 3}", i) for i in range(600)]
     text.write_postings(spark.createDataFrame(rows, "word string, sort string, sub long"), str(tmp_path / "i"))
