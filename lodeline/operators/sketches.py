@@ -88,15 +88,29 @@ def _top(size: int) -> int:
     return (1 << size) - 1 if size < 64 else (1 << 63) - 1
 
 
-def counters(rows: DataFrame, value: Column, amount: Column, width: int, depth: int, size: int = 64, by_row: bool = True) -> DataFrame:
+def _amount(amount: Column) -> Column:
+    return F.when(amount < 0, -F.greatest(-amount, F.lit(1))).otherwise(F.greatest(amount, F.lit(1))).cast("decimal(38,0)")
+
+
+def _held(total: Column, size: int) -> Column:
+    return F.greatest(F.least(total, F.lit(_top(size)).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).cast("bigint")
+
+
+def _who(value: Column) -> Column:
+    """64 bits that stand for an item; null is the empty item, as in its slots."""
+    return F.xxhash64(F.coalesce(value.cast("string"), F.lit("")))
+
+
+def counters(rows: DataFrame, value: Column, amount: Column, width: int, depth: int, size: int = 64, by_row: bool = True, owned: bool = False) -> DataFrame:
     """(row, slot, n): count-min rows (by_row) or one counting Bloom array; counters of ``size`` bits saturate.
 
-    An amount below 1 counts as 1, with its sign: negative amounts subtract, never below 0.
+    An amount below 1 counts as 1, with its sign: negative amounts subtract, never below 0. With ``owned``, (low, high)
+    are the least and greatest item hash of a counter: where they are equal, it counts one item only.
     """
-    n = F.when(amount < 0, -F.greatest(-amount, F.lit(1))).otherwise(F.greatest(amount, F.lit(1)))
-    each = rows.select(n.cast("decimal(38,0)").alias("n"), F.posexplode(slots(value.cast("string"), width, depth)).alias("row", "slot"))
+    who = [_who(value).alias("who")] if owned else []
+    each = rows.select(_amount(amount).alias("n"), *who, F.posexplode(slots(value.cast("string"), width, depth)).alias("row", "slot"))
     key = ["row", "slot"] if by_row else ["slot"]
-    return each.groupBy(*key).agg(F.greatest(F.least(F.sum("n"), F.lit(_top(size)).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).cast("bigint").alias("n"))
+    return each.groupBy(*key).agg(_held(F.sum("n"), size).alias("n"), *([F.min("who").alias("low"), F.max("who").alias("high")] if owned else []))
 
 
 def counters_merge(*tables: DataFrame, size: int = 64) -> DataFrame:
@@ -114,6 +128,22 @@ def counters_estimate(table: DataFrame, items: DataFrame, width: int, depth: int
     return asked.join(table, key, "left").groupBy("item").agg(F.min(F.coalesce("n", F.lit(0))).alias("estimate"))
 
 
+def counters_exact(rows: DataFrame, value: Column, amount: Column, items: DataFrame, width: int, depth: int, size: int = 64, by_row: bool = True) -> DataFrame:
+    """items (item) with their amounts, exactly, however many items share the counters.
+
+    An item that meets an empty counter, or one of a single item, is told by it: by its own, the amount; else 0. Those
+    whose counters are all shared are added up from the rows.
+    """
+    key = ["row", "slot"] if by_row else ["slot"]
+    table = counters(rows, value, amount, width, depth, size, by_row, owned=True)
+    asked = items.select("item", _who(F.col("item")).alias("who"), F.posexplode(slots(F.col("item"), width, depth)).alias("row", "slot"))
+    sure = F.when(F.col("low").isNull(), F.lit(0)).when(F.col("low") == F.col("high"), F.when(F.col("low") == F.col("who"), F.col("n")).otherwise(F.lit(0)))
+    told = asked.join(table, key, "left").groupBy("item").agg(F.min(sure).alias("sure"))
+    shared = told.filter(F.col("sure").isNull()).select("item")
+    rest = rows.select(F.coalesce(value.cast("string"), F.lit("")).alias("_item"), _amount(amount).alias("n")).join(shared.select(F.coalesce("item", F.lit("")).alias("_item")).distinct(), "_item").groupBy("_item").agg(_held(F.sum("n"), size).alias("n"))
+    return told.join(rest, F.coalesce(told["item"], F.lit("")) == rest["_item"], "left").select("item", F.coalesce("sure", "n", F.lit(0)).alias("estimate"))
+
+
 class Cuckoo:
     """A cuckoo filter: four fingerprints a bucket, two buckets an item; a failed insert is undone."""
 

@@ -584,6 +584,18 @@ def test_loads_of_base64(spark, tmp_path):
     assert got == {"k": "Sofia", "j": "Bonn"}
 
 
+@pytest.mark.parametrize("by_row", [True, False])
+def test_counters_are_exact_where_all_are_shared(spark, by_row):
+    rows = spark.range(3000).select(F.concat(F.lit("item-number-"), F.col("id") % 400).alias("item"), F.when(F.col("id") % 6 == 0, -1).otherwise(1).alias("times")).unionByName(spark.createDataFrame([(None, 1), ("", 1)], "item string, times int"))
+    asked = spark.range(900).select(F.concat(F.lit("item-number-"), "id").alias("item")).unionByName(spark.createDataFrame([("",)], "item string"))
+    want: dict = {"": 2}
+    for i in range(3000):
+        want[f"item-number-{i % 400}"] = want.get(f"item-number-{i % 400}", 0) + (-1 if i % 6 == 0 else 1)
+    for width in (64, 512, 1 << 14):
+        got = {r["item"]: r.estimate for r in sketches.counters_exact(rows, F.col("item"), F.col("times"), asked, width, 4, by_row=by_row).collect()}
+        assert len(got) == 901 and all(got[i] == max(0, want.get(i, 0)) for i in got)
+
+
 def test_loads_of_very_many_files(spark):
     """More files than a shift of their rank had room for; the later file is the newer version."""
     n = 20_000
