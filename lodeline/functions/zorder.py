@@ -11,41 +11,73 @@ from pyspark.sql import functions as F
 BITS = {1: 64, 2: 32, 3: 32, 4: 32, 8: 8, 16: 8}
 
 
+#: Bits of each coordinate in one long of a key, by number of dimensions.
+_PER_WORD = {1: 64, 2: 32, 3: 16, 4: 16, 8: 8, 16: 4}
+
+
+def _mask(dims: int, bits: int, group: int) -> Column:
+    """``bits`` ones in groups of ``group``, a group beginning every dims * group bits, as a signed long."""
+    ones = sum(((1 << group) - 1) << (dims * group * i) for i in range(bits // group)) & (1 << 64) - 1
+    return F.lit(ones - (1 << 64) if ones >> 63 else ones).cast("bigint")
+
+
+def _spread(x: Column, dims: int, bits: int) -> Column:
+    """The low ``bits`` bits of x, each dims places from the next."""
+    x = x.bitwiseAND(_mask(dims, bits, bits))
+    group = bits // 2
+    while dims > 1 and group:
+        # From three dimensions on, what is moved meets nothing, so a product writes x once; no product reaches 2**63.
+        moved = x.bitwiseOR(F.shiftleft(x, group)) if dims == 2 else x * F.lit(1 + (1 << group * (dims - 1))).cast("bigint")
+        x = moved.bitwiseAND(_mask(dims, bits, group))
+        group //= 2
+    return x
+
+
+def _gather(x: Column, dims: int, bits: int) -> Column:
+    """The inverse: every dims-th bit of x, side by side."""
+    x = x.bitwiseAND(_mask(dims, bits, 1))
+    group = 1
+    while dims > 1 and group < bits:
+        x = x.bitwiseOR(F.shiftrightunsigned(x, group * (dims - 1))).bitwiseAND(_mask(dims, bits, 2 * group))
+        group *= 2
+    return x
+
+
 def encode(*coords: Column) -> Column:
-    """Bit-interleaved key: from the highest bit on, one bit of each coordinate, the last coordinate first."""
-    bits = BITS[len(coords)]
-    parts = []
-    for b in range(bits - 1, -1, -1):
-        for c in reversed(coords):
-            parts.append(F.shiftrightunsigned(c.cast("bigint"), b).bitwiseAND(F.lit(1)))
-    nibbles = []
-    while len(parts) % 4:
-        parts.insert(0, F.lit(0))
-    for i in range(0, len(parts), 4):
-        nibbles.append(parts[i] * 8 + parts[i + 1] * 4 + parts[i + 2] * 2 + parts[i + 3])
-    # Eight nibbles at a time fit a long, and hex() of each is padded to keep the width.
+    """Bit-interleaved key: from the highest bit on, one bit of each coordinate, the last coordinate first.
+
+    A key is one or two longs; coordinates are spread over them by shifts and masks, half as far each time.
+    """
+    n = len(coords)
+    per = _PER_WORD[n]
     words = []
-    for i in range(0, len(nibbles), 8):
-        total = F.lit(0).cast("bigint")
-        for n in nibbles[i : i + 8]:
-            total = total * 16 + n
-        words.append(F.lower(F.lpad(F.hex(total), len(nibbles[i : i + 8]), "0")))
+    for w in reversed(range(BITS[n] // per)):
+        word = None
+        for i, c in enumerate(coords):
+            part = _spread(F.shiftrightunsigned(c.cast("bigint"), w * per) if w else c.cast("bigint"), n, per)
+            part = F.shiftleft(part, i) if i else part
+            word = part if word is None else word.bitwiseOR(part)
+        words.append(F.lower(F.lpad(F.hex(word), n * per // 4, "0")))
     return F.concat(*words)
 
 
-def decode(key: Column, dims: int) -> Column:
-    """array<long> of the coordinates of a key."""
-    bits = BITS[dims]
-    width = -(-dims * bits // 4)
-    pad = width * 4 - dims * bits
-    flat = F.concat(*[F.lpad(F.conv(F.substring(key, i + 1, 1), 16, 2), 4, "0") for i in range(width)])
+def longs(key: Column, dims: int) -> list[Column]:
+    """The one or two longs of a key, the highest first."""
+    size = dims * _PER_WORD[dims] // 4
+    return [F.conv(F.substring(key, 1 + size * w, size), 16, -10).cast("bigint") for w in range(BITS[dims] // _PER_WORD[dims])]
 
-    def split(digits: Column) -> Column:
-        own = lambda d: F.concat(*[F.substring(digits, pad + i * dims + (dims - 1 - d) + 1, 1) for i in range(bits)])
-        return F.array(*[F.conv(own(d), 2, 10).cast("bigint") for d in range(dims)])
 
-    # A one-element array binds the digits to a name, so they are written once and not once for every bit.
-    return F.get(F.transform(F.array(flat), split), F.lit(0))
+def decode(key: Column, dims: int) -> Column:
+    """array<long> of the coordinates of a key."""
+    per = _PER_WORD[dims]
+    coords = []
+    for d in range(dims):
+        value = F.lit(0).cast("bigint")
+        for word in longs(key, dims):
+            part = _gather(F.shiftrightunsigned(word, d) if d else word, dims, per)
+            value = part if per == BITS[dims] else F.shiftleft(value, per).bitwiseOR(part)
+        coords.append(value)
+    return F.array(*coords)
 
 
 def key_of(coords: list[int]) -> int:
