@@ -52,15 +52,16 @@ def write_postings(changes: DataFrame, path: str, buckets: int = BUCKETS) -> Non
     """Append postings (word, sort, sub) to a stored index; with columns seq and is_tombstone they are later versions.
 
     Folders by hash of the word, files sorted by word, sort and sub: a search reads the folders of its words and skips
-    row groups by statistics. Files are dealt by ranges, so a very common word spreads over many tasks.
+    row groups by statistics. A folder is dealt to several tasks by hash of the document, so a very common word spreads
+    over them; terms are made once, as no bounds are sampled, and columns that are the same in all rows are not moved.
     """
-    if "seq" not in changes.columns:
-        changes = changes.withColumn("seq", F.lit(0).cast("long"))
-    if "is_tombstone" not in changes.columns:
-        changes = changes.withColumn("is_tombstone", F.lit(False))
-    rows = changes.select("word", "sort", "sub", "seq", "is_tombstone", _bucket(F.col("word"), buckets).alias("bucket"))
-    order = ["bucket", "word", "sort", "sub"]
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("append").partitionBy("bucket").parquet(path)
+    fixed = {"seq": F.lit(0).cast("long"), "is_tombstone": F.lit(False)}
+    sides = max(1, int(changes.sparkSession.conf.get("spark.sql.shuffle.partitions")) // buckets)
+    moved = changes.select("word", "sort", "sub", *[c for c in fixed if c in changes.columns])
+    side = F.pmod(F.xxhash64("sub"), F.lit(sides)).cast("int")
+    dealt = moved.repartitionById(buckets * sides, _bucket(F.col("word"), buckets) * sides + side)
+    rows = dealt.select("word", "sort", "sub", *[F.col(c) if c in changes.columns else v.alias(c) for c, v in fixed.items()], _bucket(F.col("word"), buckets).alias("bucket"))
+    rows.sortWithinPartitions("bucket", "word", "sort", "sub").write.mode("append").partitionBy("bucket").parquet(path)
 
 
 def stored_postings(spark: SparkSession, path: str, words: list[str], buckets: int = BUCKETS) -> DataFrame:
