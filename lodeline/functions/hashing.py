@@ -93,6 +93,13 @@ def mixed(value: Column) -> Column:
     return F.when(value.isNotNull(), mix(known).cast("decimal(20,0)"))
 
 
+def slots_of(raw: list[bytes], width: int, count: int) -> np.ndarray:
+    """[value, seed]: the values' slots, as of ``slots``."""
+    if not raw:
+        return np.zeros((0, count), np.int64)
+    return np.stack([(murmur64a(raw, i) % np.uint64(width)).astype(np.int64) for i in range(count)], axis=1)
+
+
 def slots(value: Column, width: int, count: int) -> Column:
     """array<long>: the value's hash modulo ``width`` under each of the seeds 0 to count - 1.
 
@@ -103,8 +110,6 @@ def slots(value: Column, width: int, count: int) -> Column:
 
     @F.pandas_udf("array<long>")
     def each(s: pd.Series) -> pd.Series:
-        raw = as_bytes(s)
-        both = np.stack([(murmur64a(raw, i) % np.uint64(width)).astype(np.int64) for i in range(count)], axis=1) if raw else np.zeros((0, count), np.int64)
-        return pd.Series(list(both))
+        return pd.Series(list(slots_of(as_bytes(s), width, count)))
 
     return each(value)

@@ -10,11 +10,15 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodeline.functions.hashing import as_bytes, murmur64a, slots
+from lodeline.functions.hashing import as_bytes, murmur64a, slots, slots_of
 from lodeline.functions.session import ship
+from lodeline.sources import blocks
 
 # Distinct counts: 4,096 registers
 
@@ -72,16 +76,79 @@ def hll_relations(registers: DataFrame, by: str, names: list) -> DataFrame:
 # Membership and frequencies: (slot[, row], n)
 
 
+#: Slots that a task adding to a filter holds before it passes words on, words of the filter that a task asking it holds
+#: at once, and items that it asks for at once where the filter has more.
+BLOOM_HELD, BLOOM_BLOCK, BLOOM_ASKED = 1 << 20, 1 << 18, 1 << 16
+
+
 def bloom(rows: DataFrame, value: Column, bits: int, hashes: int) -> DataFrame:
-    """(slot): the set bits."""
-    return rows.select(F.explode(slots(value.cast("string"), bits, hashes)).alias("slot")).distinct()
+    """(word, mask): the words of 64 bits that have set bits. Tasks pass on words, not a row for each slot of an item."""
+    ship(rows.sparkSession)
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(np.unique(slots_of(as_bytes(pc.unique(batch.column(0)).to_pylist()), bits, hashes)))
+            size += len(held[-1])
+            if size >= BLOOM_HELD:
+                held = [np.unique(np.concatenate(held))]
+                size = len(held[0])
+                if size >= BLOOM_HELD // 2:
+                    yield words(held[0])
+                    held, size = [], 0
+        if size:
+            yield words(np.unique(np.concatenate(held)))
+
+    def words(slot: np.ndarray) -> pa.RecordBatch:
+        word, first = np.unique(slot >> 6, return_index=True)
+        mask = np.bitwise_or.reduceat(np.uint64(1) << (slot & 63).astype(np.uint64), first)
+        return pa.RecordBatch.from_arrays([pa.array(word), pa.array(mask.view(np.int64))], ["word", "mask"])
+
+    found = rows.select(value.cast("string").alias("item")).mapInArrow(run, "word long, mask long")
+    return found.groupBy("word").agg(F.bit_or("mask").alias("mask"))
 
 
 def bloom_exists(filter_: DataFrame, items: DataFrame, bits: int, hashes: int) -> DataFrame:
-    """items (item) with 1 where all bits are set. Never 0 for an item that was added."""
-    asked = items.select("item", F.explode(F.array_distinct(slots(F.col("item"), bits, hashes))).alias("slot")).distinct()
-    hit = filter_.withColumn("hit", F.lit(1))
-    return asked.join(hit, "slot", "left").groupBy("item").agg(F.min(F.coalesce("hit", F.lit(0))).alias("found"))
+    """items (item and others) with found, 1 where all bits are set. Never 0 for an item that was added.
+
+    The filter is written to the shared folder in blocks; a task asks one after the other for the items of a batch, so it
+    holds a block and a batch, and items are neither shuffled nor repeated for each of their slots.
+    """
+    files = blocks.write(filter_.select("word", "mask"), BLOOM_BLOCK, -(-bits // 64))
+
+    def run(batches):
+        for batch in batches if len(files) <= 1 else joined(batches):
+            slot = slots_of(as_bytes(batch.column("item").to_pylist()), bits, hashes)
+            hit = np.zeros(slot.shape, bool)
+            for file in files:
+                word, mask = block(file)
+                at = np.minimum(np.searchsorted(word, slot >> 6), len(word) - 1)
+                hit |= (word[at] == slot >> 6) & (mask[at] >> (slot & 63).astype(np.uint64) & np.uint64(1) == 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit.all(axis=1).astype(np.int32))], [*batch.schema.names, "found"])
+
+    def joined(batches):
+        """More items at once, as each time all blocks are read."""
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= BLOOM_ASKED:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    last: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    def block(file: str) -> tuple[np.ndarray, np.ndarray]:
+        if file not in last:
+            last.clear()
+            pdf = blocks.read(file).sort_values("word")
+            last[file] = pdf["word"].to_numpy(), pdf["mask"].to_numpy().view(np.uint64)
+        return last[file]
+
+    kinds = T.StructType([f for f in items.schema.fields if f.name != "found"] + [T.StructField("found", T.IntegerType())])
+    return items.drop("found").mapInArrow(run, kinds)
 
 
 def _top(size: int) -> int:

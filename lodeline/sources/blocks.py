@@ -16,8 +16,11 @@ from lodeline.functions.session import fresh_path, ship
 _held: dict[str, pd.DataFrame] = {}
 
 
-def write(rows: DataFrame, most: int) -> list[str]:
-    """Write ``rows`` as files of at most ``most`` rows; their names, sorted. Only names go to the driver."""
+def write(rows: DataFrame, most: int, n: int | None = None) -> list[str]:
+    """Write ``rows`` as files of at most ``most`` rows; their names, sorted. Only names go to the driver.
+
+    Rows are counted where ``n``, how many there are at most, is not given.
+    """
     ship(rows.sparkSession)
     folder = fresh_path(rows.sparkSession, "blocks")
     folder = folder if "://" in folder else f"file://{folder.removeprefix('file:')}"
@@ -43,8 +46,9 @@ def write(rows: DataFrame, most: int) -> list[str]:
         if held is not None and held.num_rows:
             yield flush(held)
 
-    n = rows.count()
-    dealt = rows.coalesce(1) if n <= most else rows.repartition(-(-n // most))
+    n = rows.count() if n is None else n
+    # By a shuffle, even to one file: what makes the rows stays in tasks of its own.
+    dealt = rows.repartition(max(1, -(-n // most)))
     return sorted(f"{folder}/{r.name}" for r in dealt.mapInArrow(run, "name string").select(F.col("name")).collect())
 
 

@@ -257,6 +257,25 @@ def test_membership_and_frequencies(spark):
     assert [full.add(f"x{i}".encode()) for i in range(6)] == [True] * 4 + [False] * 2 and full.exists(b"x3")
 
 
+@pytest.mark.parametrize("block", [1 << 18, 8])
+def test_filters_do_not_repeat_items_for_their_slots(spark, monkeypatch, block):
+    """Items that ask stay in their rows, however many bits they ask for; words may pass in parts and lie in many blocks."""
+    monkeypatch.setattr(sketches, "BLOOM_BLOCK", block)
+    monkeypatch.setattr(sketches, "BLOOM_HELD", 200)
+    monkeypatch.setattr(sketches, "BLOOM_ASKED", 50)
+    rows = spark.range(0, 2000, 1, 3).select((F.col("id") % 500).alias("id")).select(F.when(F.col("id") > 0, F.concat(F.lit("item-"), "id")).alias("item"))
+    words = sketches.bloom(rows, F.col("item"), 5000, 7)
+    asked = spark.range(0, 1000, 1, 2).select(F.concat(F.lit("item-"), "id").alias("item"), "id").unionByName(spark.createDataFrame([(None, 0), ("item-1", 1), ("", 0)], "item string, id long"))
+    found = sketches.bloom_exists(words, asked, 5000, 7)
+    assert not any(x in found._jdf.queryExecution().executedPlan().toString() for x in ("Exchange", "Aggregate", "Generate"))
+    want = {x for i in range(500) for x in hashing.slots_of([f"item-{i}".encode() if i else b""], 5000, 7)[0].tolist()}
+    assert {64 * r.word + b for r in words.collect() for b in range(64) if r.mask >> b & 1} == want
+    got = [tuple(r) for r in found.collect()]
+    own = lambda item: int(set(hashing.slots_of([(item or "").encode()], 5000, 7)[0].tolist()) <= want)
+    assert len(got) == 1003 and all(n == own(item) for item, _, n in got)
+    assert sum(n for *_, n in got) < 550 and sketches.bloom_exists(words.filter("word < 0"), asked, 5000, 7).agg(F.max("found")).first()[0] == 0
+
+
 def test_heavy_hitters_and_samples(spark):
     rnd = random.Random(3)
     items = ["hot"] * 600 + ["warm"] * 250 + [f"c{rnd.randrange(300)}" for _ in range(400)]
