@@ -276,6 +276,12 @@ def test_filters_do_not_repeat_items_for_their_slots(spark, monkeypatch, block):
     assert sum(n for *_, n in got) < 550 and sketches.bloom_exists(words.filter("word < 0"), asked, 5000, 7).agg(F.max("found")).first()[0] == 0
 
 
+def test_asked_customers_are_grouped_by_nothing(spark):
+    """What each customer asks and is told lies in its row: customers are joined with their counts only."""
+    plan = QUERIES["bf_exists"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.split("== Initial Plan ==")[0].count("Join") == 1
+
+
 def test_heavy_hitters_and_samples(spark):
     rnd = random.Random(3)
     items = ["hot"] * 600 + ["warm"] * 250 + [f"c{rnd.randrange(300)}" for _ in range(400)]
