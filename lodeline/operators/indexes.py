@@ -50,8 +50,16 @@ def with_z(rows: DataFrame, coords: list[str]) -> DataFrame:
     return rows.withColumn("z", zorder.encode(*[F.col(c) for c in coords]))
 
 
-def write_z_ordered(rows: DataFrame, coords: list[str], path: str, files: int) -> None:
-    """Files clustered along the curve: box reads skip files and row groups by the coordinates' statistics."""
+#: Rows that a task sorts and writes as one file along the curve, and the least number of such files.
+Z_ROWS, Z_FILES = 1 << 20, 8
+
+
+def write_z_ordered(rows: DataFrame, coords: list[str], path: str, files: int | None = None) -> None:
+    """Files clustered along the curve: box reads skip files and row groups by the coordinates' statistics.
+
+    Unless stated, there are as many files as the rows take, so that a task sorts no more of a larger table.
+    """
+    files = max(Z_FILES, -(-rows.count() // Z_ROWS)) if files is None else files
     with_z(rows, coords).repartitionByRange(files, "z").sortWithinPartitions("z").write.parquet(path)
 
 

@@ -620,6 +620,18 @@ def test_ranges_of_the_curve_hold_the_box():
     assert zorder.ranges([3], [2]) == []
 
 
+def test_files_along_the_curve_grow_in_number(spark, tmp_path, monkeypatch):
+    """A larger table takes more files, not larger ones; each holds a range of keys of its own."""
+    monkeypatch.setattr(indexes, "Z_ROWS", 100)
+    rows = spark.range(3000).select(*[(F.col("id") * (i + 3) % 61).alias(f"x{i}") for i in range(3)], F.col("id").alias("sub"))
+    for n, least in ((300, 1), (3000, 20)):
+        path = str(tmp_path / f"z{n}")
+        indexes.write_z_ordered(rows.filter(F.col("sub") < n), ["x0", "x1", "x2"], path)
+        each = spark.read.parquet(path).groupBy(F.input_file_name().alias("file")).agg(F.min("z").alias("a"), F.max("z").alias("b"), F.count(F.lit(1)).alias("n")).orderBy("a").collect()
+        assert sum(r.n for r in each) == n and least <= len(each) <= max(8, n // 100)
+        assert all(x.b < y.a for x, y in zip(each, each[1:], strict=False))
+
+
 def test_several_additions_to_one_key(spark):
     log = store.put(spark.createDataFrame([("a", "x")], "key string, val string"), 5)
     more = spark.createDataFrame([("a", "2", 2), ("a", "1", 1), ("b", "z", 1)], "key string, more string, pos int")
